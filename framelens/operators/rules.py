@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framelens.config import BASELINE_FEATURES, GAZE_FEATURES, NormalRule
 from framelens.functions.numeric import all_of, half_even
-from framelens.operators.series import CHUNK_ROWS, Series, scan
+from framelens.operators.series import Series, scan
 from framelens.operators.windows import sliding_count_windows
 
 RULE_STATS = ("perclos", "mean_ear", "std_ear", "mean_abs_yaw", "mean_abs_pitch", "max_abs_yaw", "max_abs_pitch")
@@ -68,8 +68,9 @@ def extract_normal_frames(cleaned: DataFrame, size: int, step: int, s: Series =
     texts = {}
     for n in (*numbers, "window_start_time", "window_end_time", *RULE_STATS):
         out = n if n.startswith("window_") else f"window_{n}"
-        show = (lambda x, n=n: x[n].cast("string")) if n in numbers else (lambda x, n=n: _short(x[n]))
-        texts[out] = _joined(F.transform("_w", show))
+        values = F.col("_w").getField(n)
+        shown = F.transform(values, (lambda v: v.cast("string")) if n in numbers else _short)
+        texts[out] = _joined(shown)
     return grouped.withColumns(texts).withColumn("window_label", F.lit("normal")).drop("_w")
 
 

@@ -57,7 +57,7 @@ def time_windows(df: DataFrame, size: float, step: float | None = None, s: Serie
     else:
         low = F.greatest(F.lit(0), F.ceil((t - size) / F.lit(float(step))).cast("long") - 1)
         high = F.floor(t / F.lit(float(step))).cast("long") + 1
-        placed = timed.withColumn("window_id", F.explode(F.sequence(low, F.greatest(low, high))) + 1)
+        placed = timed.withColumn("window_id", F.explode(F.sequence(low + 1, F.greatest(low, high) + 1)))
     start = (F.col("window_id") - 1) * F.lit(float(step))
     end = start + F.lit(float(size))
     inside = ((t > start) | ((F.col("window_id") == 1) & (t >= start))) & (t <= end)
