@@ -72,7 +72,7 @@ def audit_window_table(actual: DataFrame, expected: DataFrame, sources: DataFram
 
 
 def diff_normal_frames(actual: DataFrame, expected: DataFrame, s: Series, *, order: str | None = None) -> DataFrame:
-    """Frame lists compared in order (status) and as sets (missing and extra frames)."""
+    """Frame lists of the series in ``actual``, compared in order (status) and as sets (missing, extra frames)."""
     keys, order = list(s.keys), order or s.order
     listed = s.ordered(order)
     side = lambda df, name: _positions(df.filter(F.col(s.order).isNotNull()), listed).select(
@@ -88,7 +88,7 @@ def diff_normal_frames(actual: DataFrame, expected: DataFrame, s: Series, *, ord
         F.count(F.when(missing, 1)).alias("missing_frame_count"), F.count(F.when(extra, 1)).alias("extra_frame_count"),
         F.min(F.when(missing, F.col("f"))).alias("first_missing_frame"),
         F.min(F.when(extra, F.col("f"))).alias("first_extra_frame"))
-    return in_order.join(sets, keys).withColumn(
+    return in_order.filter("actual_rows > 0").join(sets, keys).withColumn(
         "status", F.when(F.col("_differs"), "frame_mismatch").otherwise("exact_match")).drop("_differs")
 
 
