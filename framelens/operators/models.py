@@ -1,4 +1,376 @@
-from pyspark.ml.feature import IndexToString, StringIndexer
-def label_codec(train, label="label"):
+"""Classifier registry on Spark ML.
+
+Where Spark ML has no class of the wanted kind, the substitute is named at the builder. Trees are limited to depth
+30 by Spark, and balanced weights are taken over the whole training side instead of per bootstrap sample.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from framelens.operators import knn
+from framelens.operators.scoring import complete_probabilities
+from framelens.operators.series import stage
+from framelens.operators.split import balanced_weight, class_counts
+
+SEED = 42
+
+
+def label_codec(train: DataFrame, label: str = "label") -> tuple[StringIndexerModel, IndexToString]:
+    """Encoder of the sorted label list and its decoder."""
     model = StringIndexer(inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc").fit(train)
     return model, IndexToString(inputCol="label_code", outputCol="decoded", labels=model.labels)
+
+
+class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features of a Gaussian kernel (Rahimi and Recht, 2007)."""
+
+    gamma = Param(Params._dummy(), "gamma", "kernel coefficient", TypeConverters.toFloat)
+    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the projection", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, width=256, seed=SEED):
+        super().__init__()
+        self._setDefault(gamma=1.0, width=256, seed=SEED)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        gamma, width, seed = (self.getOrDefault(p) for p in (self.gamma, self.width, self.seed))
+
+        @F.pandas_udf("array<double>")
+        def project(vec: pd.Series) -> pd.Series:
+            if len(vec) == 0:
+                return pd.Series([], dtype=object)
+            x = np.vstack(vec.to_numpy())
+            draw = np.random.default_rng(seed)
+            w = draw.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], width))
+            z = math.sqrt(2.0 / width) * np.cos(x @ w + draw.uniform(0.0, 2.0 * math.pi, width))
+            return pd.Series(list(z))
+
+        return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
+
+
+# --- fitted models -------------------------------------------------------------------------------------------
+
+def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).coalesce(1).write.mode("overwrite").text(path + "/meta")
+
+
+def _read_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path + "/meta").first()[0])
+
+
+def _named(df: DataFrame, classes: list[str], shares: Column) -> DataFrame:
+    return df.withColumns({f"prob_{c}": F.get(shares, F.lit(i)) for i, c in enumerate(classes)})
+
+
+@dataclass
+class PipelineFit:
+    """A fitted Spark ML pipeline; ``output`` tells how class probabilities are obtained."""
+
+    model: PipelineModel
+    features: list[str]
+    classes: list[str]
+    output: str
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(df)
+        chosen = F.get(F.array(*[F.lit(c) for c in self.classes]), F.col("prediction").cast("int"))
+        out = out.withColumn("predicted_label", chosen)
+        if self.output == "probability":
+            out = _named(out.withColumn("_p", vector_to_array("probability")), self.classes, F.col("_p"))
+        elif self.output == "margin":
+            raw = out.withColumn("_p", F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(m * -2.0))))
+            total = F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
+            out = _named(raw, self.classes, F.transform("_p", lambda p: p / total))
+        else:
+            out = out.withColumns({f"prob_{c}": F.when(F.col("predicted_label") == c, 1.0).otherwise(0.0) for c in self.classes})
+        added = ["predicted_label", *[f"prob_{c}" for c in self.classes]]
+        return complete_probabilities(out.select(*[c for c in df.columns if c not in added], *added))
+
+    def importances(self) -> list[float] | None:
+        last = self.model.stages[-1]
+        parts = last.models if hasattr(last, "models") else [last]
+        if all(hasattr(m, "featureImportances") for m in parts):
+            return list(np.mean([m.featureImportances.toArray() for m in parts], axis=0))
+        if any(isinstance(s, RandomFourier) for s in self.model.stages):
+            return None
+        if hasattr(last, "coefficientMatrix") and not hasattr(last, "models"):
+            return list(np.abs(last.coefficientMatrix.toArray()).mean(axis=0))
+        return list(np.mean([np.abs(m.coefficients.toArray()) for m in parts], axis=0))
+
+    def save(self, spark: SparkSession, path: str, extra: dict) -> None:
+        self.model.write().overwrite().save(path + "/model")
+        _write_meta(spark, path, {"kind": "pipeline", "features": self.features, "classes": self.classes,
+                                  "output": self.output, **extra})
+
+
+def _tree(node, names: list[str]):
+    """A fitted tree as nested lists: a class index, or ``[feature, threshold, left, right]``."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return int(node.prediction())
+    split = node.split()
+    return [names[split.featureIndex()], float(split.threshold()), _tree(node.leftChild(), names), _tree(node.rightChild(), names)]
+
+
+def _walk(tree) -> Column:
+    if not isinstance(tree, list):
+        return F.lit(int(tree))
+    name, threshold, left, right = tree
+    return F.when(F.col(name) <= F.lit(threshold), _walk(left)).otherwise(_walk(right))
+
+
+@dataclass
+class BoostFit:
+    """Weighted vote of shallow trees, kept as data so that scoring is one column expression per class."""
+
+    rounds: list
+    features: list[str]
+    classes: list[str]
+    gains: list[float]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        k = len(self.classes)
+        total = sum(a for a, _ in self.rounds) or 1.0
+        votes = F.array(*[F.struct(F.lit(float(a)).alias("a"), _walk(t).alias("c")) for a, t in self.rounds])
+        score = lambda i: F.aggregate(F.col("_votes"), F.lit(0.0), lambda acc, v: acc + F.when(
+            v["c"] == i, v["a"]).otherwise(-v["a"] / (k - 1))) / F.lit(total)
+        raised = df.withColumn("_votes", votes).withColumns({f"_s{i}": score(i) for i in range(k)})
+        e = {c: F.exp(F.col(f"_s{i}") / F.lit(float(k - 1))) for i, c in enumerate(self.classes)}
+        norm = sum(e.values(), F.lit(0.0))
+        best = F.greatest(*[F.col(f"_s{i}") for i in range(k)]) if k > 1 else F.col("_s0")
+        chosen = F.coalesce(*[F.when(F.col(f"_s{i}") == best, c) for i, c in enumerate(self.classes)])
+        out = raised.withColumns({"predicted_label": chosen, **{f"prob_{c}": v / norm for c, v in e.items()}})
+        return complete_probabilities(out.drop("_votes", *[f"_s{i}" for i in range(k)]))
+
+    def importances(self) -> list[float]:
+        return self.gains
+
+    def save(self, spark: SparkSession, path: str, extra: dict) -> None:
+        _write_meta(spark, path, {"kind": "boost", "rounds": self.rounds, "features": self.features,
+                                  "classes": self.classes, "gains": self.gains, **extra})
+
+
+@dataclass
+class NeighbourFit:
+    """Stored training vectors; prediction is an exact distributed search."""
+
+    train: DataFrame
+    features: list[str]
+    classes: list[str]
+    k: int
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        named = stage(df.withColumn("_id", F.monotonically_increasing_id()))
+        base, rows = knn.standardize(self.train, [named], self.features)
+        near = stage(knn.nearest_neighbours(
+            rows.select(F.col("_id").alias("id"), knn.vector(self.features).alias("vec")),
+            base.select("id", knn.vector(self.features).alias("vec")), self.k))
+        labels = self.train.select(F.col("id").alias("train_id"), "label")
+        shares = knn.vote(near, labels)
+        weight = lambda c: F.coalesce(F.max(F.when(F.col("label") == c, F.col("share"))), F.lit(0.0))
+        wide = shares.groupBy("query_id").agg(*[weight(c).alias(f"prob_{c}") for c in self.classes])
+        chosen = knn.classify(near, labels)
+        out = named.join(wide, F.col("_id") == F.col("query_id")).drop("query_id").join(
+            chosen, F.col("_id") == F.col("query_id")).drop("query_id", "_id")
+        return complete_probabilities(out)
+
+    def importances(self) -> None:
+        return None
+
+    def save(self, spark: SparkSession, path: str, extra: dict) -> None:
+        self.train.write.mode("overwrite").parquet(path + "/train")
+        _write_meta(spark, path, {"kind": "neighbours", "features": self.features, "classes": self.classes,
+                                  "k": self.k, **extra})
+
+
+Fit = PipelineFit | BoostFit | NeighbourFit
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[Fit, dict]:
+    meta = _read_meta(spark, path)
+    f, c = meta["features"], meta["classes"]
+    if meta["kind"] == "pipeline":
+        return PipelineFit(PipelineModel.load(path + "/model"), f, c, meta["output"]), meta
+    if meta["kind"] == "boost":
+        return BoostFit(meta["rounds"], f, c, meta["gains"]), meta
+    return NeighbourFit(spark.read.parquet(path + "/train"), f, c, meta["k"]), meta
+
+
+# --- builders ------------------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Prepared:
+    """Training rows with encoded labels and weights."""
+
+    rows: DataFrame
+    features: list[str]
+    classes: list[str]
+    n: int
+
+
+def prepare(train: DataFrame, features: list[str], weighted: bool) -> Prepared:
+    counts = class_counts(train)
+    classes = sorted(counts)
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    weight = balanced_weight(counts) if weighted else F.lit(1.0)
+    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], "label",
+                        code.cast("double").alias("code"), weight.alias("weight"))
+    return Prepared(rows, features, classes, sum(counts.values()))
+
+
+def _pipeline(p: Prepared, estimator, output: str, scaled: bool = False, between: list | None = None) -> PipelineFit:
+    assemble = VectorAssembler(inputCols=p.features, outputCol="_raw" if scaled else "_features", handleInvalid="skip")
+    stages = [assemble]
+    if scaled:
+        stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled" if between else "_features", withMean=True, withStd=True))
+    stages += [*(between or []), estimator]
+    return PipelineFit(Pipeline(stages=stages).fit(p.rows), p.features, p.classes, output)
+
+
+COMMON = {"featuresCol": "_features", "labelCol": "code", "weightCol": "weight"}
+
+
+def _forest(p: Prepared, o: dict) -> PipelineFit:
+    return _pipeline(p, RandomForestClassifier(**COMMON, seed=SEED, **o), "probability")
+
+
+def _tree_model(p: Prepared, o: dict) -> PipelineFit:
+    return _pipeline(p, DecisionTreeClassifier(**COMMON, seed=SEED, **o), "probability")
+
+
+def _boosted(p: Prepared, o: dict) -> PipelineFit:
+    """Spark's boosted trees are binary, so one model per class."""
+    one = GBTClassifier(featuresCol="_features", labelCol="code", seed=SEED, **o)
+    rest = OneVsRest(classifier=one, **COMMON, rawPredictionCol="rawPrediction", parallelism=3)
+    return _pipeline(p, rest, "margin")
+
+
+def _logistic(p: Prepared, o: dict) -> PipelineFit:
+    fit = LogisticRegression(**COMMON, family="multinomial", regParam=1.0 / p.n, standardization=False, **o)
+    return _pipeline(p, fit, "probability", scaled=True)
+
+
+def _svm(p: Prepared, o: dict, between: list | None = None) -> PipelineFit:
+    one = LinearSVC(featuresCol="_features", labelCol="code", regParam=1.0 / p.n, standardization=False, **o)
+    return _pipeline(p, OneVsRest(classifier=one, **COMMON, parallelism=3), "vote", scaled=True, between=between)
+
+
+def _kernel_svm(p: Prepared, o: dict) -> PipelineFit:
+    """Gaussian kernel through random Fourier features; scaled inputs have unit variance, so gamma is 1/features."""
+    o = dict(o)
+    width = o.pop("width")
+    lift = RandomFourier(inputCol="_scaled", outputCol="_features", gamma=1.0 / len(p.features), width=width)
+    return _svm(p, o, [lift])
+
+
+def _ada(p: Prepared, o: dict) -> BoostFit:
+    """SAMME (Zhu et al., 2009) over shallow trees; each round reweights the rows by a column expression."""
+    rate, k = o["rate"], len(p.classes)
+    assemble = VectorAssembler(inputCols=p.features, outputCol="_features", handleInvalid="skip")
+    total = p.rows.agg(F.sum("weight")).first()[0]
+    rows = stage(assemble.transform(p.rows).withColumn("weight", F.col("weight") / F.lit(float(total))))
+    rounds, gains, weights = [], np.zeros(len(p.features)), 0.0
+    for r in range(o["rounds"]):
+        model = DecisionTreeClassifier(**COMMON, maxDepth=o["depth"], seed=SEED + r).fit(rows)
+        tree = _tree(model._call_java("rootNode"), p.features)
+        missed = F.when(_walk(tree) != F.col("code").cast("int"), 1.0).otherwise(0.0)
+        wrong, mass = rows.agg(F.sum(F.col("weight") * missed), F.sum("weight")).first()
+        error = wrong / mass
+        if error >= 1.0 - 1.0 / k:
+            break
+        alpha = rate * (math.log((1.0 - error) / max(error, 1e-300)) + math.log(k - 1.0)) if error > 0 else 1.0
+        rounds.append([alpha, tree])
+        gains += alpha * model.featureImportances.toArray()
+        weights += alpha
+        if error <= 0:
+            break
+        rows = rows.withColumn("weight", F.col("weight") / F.lit(float(mass)) * F.exp(F.lit(alpha) * missed))
+        if (r + 1) % 8 == 0:
+            rows = stage(rows)
+    return BoostFit(rounds, p.features, p.classes, list(gains / weights) if weights else list(gains))
+
+
+def _neighbours(p: Prepared, o: dict) -> NeighbourFit:
+    kept = stage(p.rows.select(*p.features, "label").withColumn("id", F.monotonically_increasing_id()))
+    return NeighbourFit(kept, p.features, p.classes, o["k"])
+
+
+def _gradient(p: Prepared, o: dict) -> PipelineFit:
+    """The xgboost Spark estimator where it is installed, else boosted trees per class."""
+    try:
+        from xgboost.spark import SparkXGBClassifier
+    except ImportError:
+        return _boosted(p, o)
+    fit = SparkXGBClassifier(features_col="_features", label_col="code", n_estimators=o["maxIter"], max_depth=o["maxDepth"],
+                             learning_rate=o["stepSize"], subsample=o["subsamplingRate"], colsample_bytree=0.9,
+                             tree_method="hist", random_state=SEED)
+    return _pipeline(p, fit, "probability")
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    key: str
+    label: str
+    build: Callable[[Prepared, dict], Fit]
+    options: dict
+    weighted: bool = True
+
+
+# The ten models with their settings.
+REGISTRY = {m.key: m for m in (
+    ModelSpec("random_forest", "Random Forest", _forest, {"numTrees": 300, "maxDepth": 30}),
+    ModelSpec("extra_trees", "Extra Trees", _forest,
+              {"numTrees": 400, "maxDepth": 30, "bootstrap": False, "featureSubsetStrategy": "sqrt", "maxBins": 16}),
+    ModelSpec("gradient_boosting", "Gradient Boosting", _boosted, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}),
+    ModelSpec("decision_tree", "Decision Tree", _tree_model, {"maxDepth": 30}),
+    ModelSpec("adaboost", "AdaBoost", _ada, {"rounds": 300, "depth": 2, "rate": 0.05}),
+    ModelSpec("logistic_regression", "Logistic Regression", _logistic, {"maxIter": 4000}),
+    ModelSpec("linear_svm", "Linear SVM", _svm, {"maxIter": 6000}),
+    ModelSpec("rbf_svm", "RBF SVM", _kernel_svm, {"maxIter": 1000, "width": 256}),
+    ModelSpec("knn", "KNN", _neighbours, {"k": 7}, weighted=False),
+    ModelSpec("xgboost", "XGBoost", _gradient,
+              {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"},
+              weighted=False),
+)}
+
+
+def resolve_models(names: str | list[str] = "all") -> list[str]:
+    """``all``, a comma list, or a list; an unknown name is an error."""
+    wanted = list(REGISTRY) if names == "all" else names.split(",") if isinstance(names, str) else list(names)
+    wanted = [w.strip() for w in wanted]
+    unknown = [w for w in wanted if w not in REGISTRY]
+    if unknown:
+        raise ValueError(f"unknown model: {', '.join(unknown)}")
+    return wanted
+
+
+def train_model(key: str, train: DataFrame, features: list[str], options: dict | None = None) -> Fit:
+    spec = REGISTRY[resolve_models(key)[0]]
+    return spec.build(prepare(train, features, spec.weighted), {**spec.options, **(options or {})})
+
+
+def feature_importance(spark: SparkSession, fit: Fit) -> DataFrame | None:
+    """Importance per feature, largest first; one row per feature."""
+    values = fit.importances()
+    if values is None:
+        return None
+    rows = [(f, float(v)) for f, v in zip(fit.features, values)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelens.config import LABELS
 from framelens.operators import features, metrics, rules, scoring, split
+from framelens.operators.series import stage
 from framelens.plans.registry import CTE, K, Inputs, query, shown, sql
 from framelens.plans.window_queries import HC_SQL, KEYS, window_table
 
@@ -55,7 +56,7 @@ def _(x):
 FROM train JOIN (SELECT group_id, (row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1) % 5 AS fold FROM grp) USING (group_id)
 GROUP BY ALL""", "train", "grp"))
 def _(x):
-    train, test = split.group_split(training(x))
+    train, test = split.group_split(stage(training(x)))
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return both.groupBy("side", "label").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("group_id").alias("groups"))
 
@@ -130,9 +131,9 @@ SCENES = {"baseline": 0, "high_confidence": 7}
 
 def scenario_summaries(x: Inputs):
     """Scores of three stand-in models in two scenarios."""
-    out = {}
+    out, rows_all = {}, stage(training(x))
     for scene, shift in SCENES.items():
-        base = training(x)
+        base = rows_all
         base = rules.high_confidence_filter(base) if scene == "high_confidence" else base
         rows = [metrics.metrics_row(base.withColumn("predicted_label", rule_label(seed + shift)), base, model_key=key, model_label=label)
                 for key, (label, seed) in MODELS.items()]
