@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framelens.config import AUDIT_COLUMNS, GazeConfig
 from framelens.operators.gaze import gaze_window_features
-from framelens.operators.series import Series, scan
+from framelens.operators.series import Series, scan, settle, stage
 from framelens.operators.windows import time_window_count
 
 TOLERANCE = 1e-4
@@ -75,8 +75,8 @@ def diff_normal_frames(actual: DataFrame, expected: DataFrame, s: Series, *, ord
     """Frame lists of the series in ``actual``, compared in order (status) and as sets (missing, extra frames)."""
     keys, order = list(s.keys), order or s.order
     listed = s.ordered(order)
-    side = lambda df, name: _positions(df.filter(F.col(s.order).isNotNull()), listed).select(
-        *keys, "position", F.col(s.order).alias(name))
+    side = lambda df, name: settle(_positions(df.filter(F.col(s.order).isNotNull()), listed).select(
+        *keys, "position", F.col(s.order).alias(name)), s)
     a, e = side(actual, "a"), side(expected, "e")
     in_order = a.join(e, [*keys, "position"], "full").groupBy(*keys).agg(
         F.count("a").alias("actual_rows"), F.count("e").alias("expected_rows"),
@@ -145,11 +145,11 @@ def repair(samples: DataFrame, outputs: DataFrame, s: Series, cfg: GazeConfig =
            report_only: bool = False, rounded: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rebuild the window tables that are not complete; returns the tables and a before/after report."""
     keys = list(s.keys)
-    before = audit_windows(samples, outputs, s, cfg)
+    before = stage(audit_windows(samples, outputs, s, cfg))
     if report_only:
         return outputs, before.select(*keys, F.col("status").alias("status_before"), F.col("status").alias("status_after"))
     faulty = before.filter("status <> 'complete'").select(*keys)
-    rebuilt = gaze_window_features(samples.join(faulty, keys, "left_semi"), s, cfg, rounded)
+    rebuilt = stage(gaze_window_features(settle(samples.join(faulty, keys, "left_semi"), s), s, cfg, rounded))
     repaired = outputs.join(faulty, keys, "left_anti").unionByName(rebuilt, allowMissingColumns=True)
     after = audit_windows(samples, repaired, s, cfg)
     report = before.select(*keys, F.col("status").alias("status_before"), F.col("actual_rows").alias("rows_before")).join(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framelens.config import EVENT_KINDS, FIRST_USABLE_WIDE, FRAME_COLUMNS, SIGNAL_COLUMNS
 from framelens.functions.numeric import all_of, first_non_null, is_one
-from framelens.operators.series import Series, scan
+from framelens.operators.series import Series, scan, settle
 
 
 def dedupe_frames(df: DataFrame, s: Series = Series(), *, ordinal: str) -> DataFrame:
@@ -80,13 +80,13 @@ def clean_normal_source(df: DataFrame, s: Series = Series(), *, ordinal: str | N
     valid = valid_frames(kept, "normal")
     if ordinal:
         valid = dedupe_frames(valid, s, ordinal=ordinal)
-    return impute_mean(valid, s, tuple(c for c in FRAME_COLUMNS if c != s.order))
+    return settle(impute_mean(settle(valid, s), s, tuple(c for c in FRAME_COLUMNS if c != s.order)), s)
 
 
 def clean_normal_audit(df: DataFrame, s: Series = Series()) -> DataFrame:
     """The auditor's own recipe: narrower trim, no face or suspicion test, no dedupe."""
     kept, _ = trim_to_first_usable(df, s, ("avg_ear", "yaw", "pitch"))
-    return impute_mean(valid_frames(kept, "normal_audit"), s, SIGNAL_COLUMNS)
+    return settle(impute_mean(settle(valid_frames(kept, "normal_audit"), s), s, SIGNAL_COLUMNS), s)
 
 
 def fill_zero_duration(df: DataFrame, prefix: str = "gaze_") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framelens.config import EVENT_KINDS, GazeConfig
 from framelens.functions.numeric import count_if, half_even
 from framelens.operators.clean import valid_flag
-from framelens.operators.series import Series, attach, median_positive_step
+from framelens.operators.series import Series, attach, median_positive_step, settle
 from framelens.operators.windows import count_windows_strict, time_windows
 
 
@@ -117,7 +117,7 @@ def idt_lengths(points: Column, least: Column, dispersion: float) -> Column:
 def gaze_runs(samples: DataFrame, s: Series, cfg: GazeConfig, placed: DataFrame) -> DataFrame:
     """Every row of the placed windows with validity, segment, step, speed and run columns."""
     facts = sample_period(samples, s, cfg).join(frame_step(samples, s), list(s.keys))
-    rows = attach(placed, s, facts).withColumn("valid", valid_flag("gaze"))
+    rows = attach(settle(placed, s), s, facts).withColumn("valid", valid_flag("gaze"))
     return velocity_runs(step_and_velocity(segments(rows, s), s), s, cfg)
 
 

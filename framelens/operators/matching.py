@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framelens.operators.clean import fill_zero_duration
-from framelens.operators.series import stage
+from framelens.operators.series import CHUNK_ROWS, Series, longest, ordinal, scan, stage
 
 NO_NUMBER = 10**9
 
@@ -34,7 +34,7 @@ def series_profile(frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def match_candidates(sources: DataFrame, partners: DataFrame, tolerance: float, *,
-                     group: tuple[str, ...] = ("label", "modality")) -> DataFrame:
+                     group: tuple[str, ...] = ("label", "modality"), limit: int = CHUNK_ROWS) -> DataFrame:
     """Ranked partners within ``tolerance`` of each source *profile*.
 
     Sources of equal duration and row count have the same candidates in the same order, so the list is kept once
@@ -51,9 +51,8 @@ def match_candidates(sources: DataFrame, partners: DataFrame, tolerance: float,
         *group, "duration", "rows", "partner",
         F.round(F.abs(F.col("duration") - F.col("_pd")), 6).alias("duration_diff"),
         F.abs(F.col("rows") - F.col("_pr")).alias("row_diff"))
-    w = Window.partitionBy(*group, "duration", "rows").orderBy(
-        "duration_diff", "row_diff", gaze_name_key(F.col("partner")))
-    return pairs.withColumn("position", F.row_number().over(w).cast("long"))
+    return ordinal(stage(pairs), [*group, "duration", "rows"],
+                   ["duration_diff", "row_diff", gaze_name_key(F.col("partner"))], "position", limit)
 
 
 def candidate_summary(sources: DataFrame, candidates: DataFrame, *,
@@ -69,7 +68,7 @@ def candidate_summary(sources: DataFrame, candidates: DataFrame, *,
 
 
 def greedy_assign(sources: DataFrame, partners: DataFrame, tolerance: float, *,
-                  group: tuple[str, ...] = ("label", "modality"), max_rounds: int | None = None) -> DataFrame:
+                  group: tuple[str, ...] = ("label", "modality"), limit: int = CHUNK_ROWS) -> DataFrame:
     """Each source, by (fewest candidates, best score, name), takes its best partner that is still free.
 
     Solved in rounds over all groups at once instead of walking one group in order: every source proposes to a
@@ -77,15 +76,15 @@ def greedy_assign(sources: DataFrame, partners: DataFrame, tolerance: float, *,
     move on. A source never lands before a better-placed source of its own profile, so positions inside a
     profile are kept strictly increasing, which lets many equal sources settle in the same round.
     """
-    candidates = stage(match_candidates(sources, partners, tolerance, group=group))
+    candidates = stage(match_candidates(sources, partners, tolerance, group=group, limit=limit))
     profile = [*group, "duration", "rows"]
     ranked = candidate_summary(sources, candidates, group=group)
     turn = F.struct("candidates", "best_duration_diff", "best_row_diff", gaze_name_key(F.col("best_partner")).alias("k"),
                     natural_key(F.col("source")).alias("n"))
-    inside = Window.partitionBy(*profile).orderBy(natural_key(F.col("source")))
-    place = F.row_number().over(inside).cast("long")
-    state = stage(ranked.withColumns({"turn": turn, "_place": place, "pos": place}))
-    rounds = 0
+    placed = ordinal(stage(ranked.withColumn("turn", turn)), profile, [natural_key(F.col("source"))], "_place", limit)
+    state = stage(placed.withColumn("pos", F.col("_place")))
+    top = longest(state, profile, limit)
+    s = Series(tuple(profile), "_place", None if top <= limit else limit)
     while True:
         offers = state.join(candidates.select(*profile, F.col("position").alias("pos"), "partner"),
                             [*profile, "pos"], "left")
@@ -94,13 +93,9 @@ def greedy_assign(sources: DataFrame, partners: DataFrame, tolerance: float, *,
             "_lost", F.col("partner").isNotNull() & (F.col("turn") != F.col("_first"))))
         if judged.filter("_lost").isEmpty():
             break
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError("matching did not settle")
-        upto = Window.partitionBy(*profile).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        moved = judged.withColumn("_p", F.col("pos") + F.col("_lost").cast("long"))
-        state = moved.withColumn("pos", F.max(F.col("_p") - F.col("_place")).over(upto) + F.col("_place")).select(
-            *state.columns)
+        moved = judged.withColumn("_p", F.col("pos") + F.col("_lost").cast("long") - F.col("_place"))
+        pushed = scan(moved, s, highest={"_least": F.col("_p")})
+        state = pushed.withColumn("pos", F.col("_least") + F.col("_place")).select(*state.columns)
     status = (F.when(F.col("candidates") == 0, "no candidate").when(F.col("partner").isNull(), "all taken")
               .otherwise("matched"))
     return judged.select(*group, "source", "partner", "candidates", "best_partner", status.alias("status"))

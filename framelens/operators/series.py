@@ -11,13 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framelens.config import STREAM_KEYS
 
 CHUNK_ROWS = 262_144
-MAX_SPLITS = 4_096
 _CHUNK = "_chunk"
 _LAST_CHUNK = 2**62
 
@@ -44,49 +42,46 @@ class Series:
 def measure(df: DataFrame, keys: tuple[str, ...] = STREAM_KEYS, order: str = "frame",
             limit: int = CHUNK_ROWS) -> Series:
     """Series description of ``df`` whose plan choice rests on counted rows."""
-    if df.count() <= limit:
-        return Series(keys, order, None)
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return Series(keys, order, None if longest <= limit else limit)
+    return Series(keys, order, None if longest(df, keys, limit) <= limit else limit)
 
 
 def scan(df: DataFrame, s: Series, *, running: dict[str, Column] | None = None,
-         totals: dict[str, tuple[str, Column]] | None = None,
+         highest: dict[str, Column] | None = None, totals: dict[str, tuple[str, Column]] | None = None,
          previous: dict[str, Column] | None = None) -> DataFrame:
     """Add ordered and whole-series values to every row.
 
     ``running``  inclusive running sums;
+    ``highest``  inclusive running maxima;
     ``totals``   whole-series ``sum``, ``min`` or ``max``;
     ``previous`` the value at the preceding row, null at the first.
     """
-    running, totals, previous = running or {}, totals or {}, previous or {}
-    if s.chunk_rows is None:
-        return _scan_short(df, s, running, totals, previous)
-    return _scan_chunked(df, s, running, totals, previous)
+    folds = {**{n: (F.sum, c) for n, c in (running or {}).items()}, **{n: (F.max, c) for n, c in (highest or {}).items()}}
+    plan = _scan_short if s.chunk_rows is None else _scan_chunked
+    return plan(df, s, folds, totals or {}, previous or {})
 
 
 def _order(s: Series) -> Column:
     return F.col(s.order).asc_nulls_last()
 
 
-def _scan_short(df, s, running, totals, previous):
+def _scan_short(df, s, folds, totals, previous):
     ordered = Window.partitionBy(*s.keys).orderBy(_order(s))
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*s.keys)
     return df.select(
         "*",
-        *[F.sum(c).over(upto).alias(n) for n, c in running.items()],
+        *[fn(c).over(upto).alias(n) for n, (fn, c) in folds.items()],
         *[F.lag(c).over(ordered).alias(n) for n, c in previous.items()],
         *[getattr(F, fn)(c).over(whole).alias(n) for n, (fn, c) in totals.items()],
     )
 
 
-def _scan_chunked(df, s, running, totals, previous):
+def _scan_chunked(df, s, folds, totals, previous):
     keyed = df.withColumn(_CHUNK, s.chunk())
     position = F.coalesce(F.col(s.order), F.lit(_LAST_CHUNK))
     parts = keyed.groupBy(*s.keys, _CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(c).alias(f"_r_{n}") for n, c in running.items()],
+        *[fn(c).alias(f"_r_{n}") for n, (fn, c) in folds.items()],
         *[getattr(F, fn)(c).alias(f"_t_{n}") for n, (fn, c) in totals.items()],
         *[F.max_by(c, position).alias(f"_p_{n}") for n, c in previous.items()],
     )
@@ -95,7 +90,7 @@ def _scan_chunked(df, s, running, totals, previous):
     whole = Window.partitionBy(*s.keys)
     offsets = parts.select(
         *s.keys, _CHUNK,
-        *[F.sum(f"_r_{n}").over(before).alias(f"_r_{n}") for n in running],
+        *[fn(f"_r_{n}").over(before).alias(f"_r_{n}") for n, (fn, _) in folds.items()],
         *[F.lag(f"_p_{n}").over(chunks).alias(f"_p_{n}") for n in previous],
         *[getattr(F, fn)(f"_t_{n}").over(whole).alias(n) for n, (fn, _) in totals.items()],
     )
@@ -103,57 +98,63 @@ def _scan_chunked(df, s, running, totals, previous):
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = keyed.select(
         "*",
-        *[F.sum(c).over(upto).alias(f"_l_{n}") for n, c in running.items()],
+        *[fn(c).over(upto).alias(f"_l_{n}") for n, (fn, c) in folds.items()],
         *[F.lag(c).over(inner).alias(f"_q_{n}") for n, c in previous.items()],
         *([F.row_number().over(inner).alias("_at")] if previous else []),
     )
     joined = local.join(offsets, [*s.keys, _CHUNK])
     return joined.select(
         *df.columns,
-        *[_add_offset(f"_l_{n}", f"_r_{n}").alias(n) for n in running],
+        *[_with_before(fn, f"_l_{n}", f"_r_{n}").alias(n) for n, (fn, _) in folds.items()],
         *[F.when(F.col("_at") == 1, F.col(f"_p_{n}")).otherwise(F.col(f"_q_{n}")).alias(n) for n in previous],
         *totals,
     )
 
 
-def _add_offset(local: str, before: str) -> Column:
-    """Sum of two sums in which null means that nothing was added yet."""
-    return F.when(F.col(local).isNull(), F.col(before)).otherwise(
-        F.col(local) + F.coalesce(F.col(before), F.lit(0)))
-
+def _with_before(fn, local: str, before: str) -> Column:
+    """A chunk's own running value joined with that of the chunks before it; null means nothing was seen yet."""
+    if fn is F.max:
+        return F.greatest(local, before)
+    return F.coalesce(F.col(local) + F.col(before), F.col(local), F.col(before))
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "frame",
-            limit: int = CHUNK_ROWS) -> DataFrame:
-    """Row number per key in the order of ``order``, also where one key holds most rows.
 
-    Keys with more than ``limit`` rows are cut at quantiles of the first order column taken over the whole
-    table, so a piece holds at most about ``total / splits`` rows whatever its key; other keys stay whole.
-    """
-    by_order = [F.col(c).asc_nulls_last() for c in order]
+def longest(df: DataFrame, keys: list[str] | tuple[str, ...], limit: int = CHUNK_ROWS) -> int:
+    """Rows of the largest group; a table within the limit is not grouped at all, its size is the answer."""
     total = df.count()
     if total <= limit:
-        w = Window.partitionBy(*keys).orderBy(*by_order)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    splits = min(MAX_SPLITS, -(-total // limit) * 4)
-    at = F.col(order[0])
-    if dict(df.dtypes)[order[0]].startswith("timestamp"):
-        at = F.unix_micros(at.cast("timestamp"))
-    lead = df.withColumn("_at", at.cast("double"))
-    cuts = sorted(set(lead.approxQuantile("_at", [i / splits for i in range(1, splits)], 1 / (4 * splits))))
-    piece = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_piece",
-                       handleInvalid="keep")
-    # At most total / limit keys can exceed the limit, so this list is small by construction.
-    long_keys = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.lit(True).alias("_long"))
-    if total / limit <= 1_000_000:
-        long_keys = F.broadcast(long_keys)
-    cut = piece.transform(lead).join(long_keys, keys, "left").withColumn(
-        "_piece", F.when(F.col("_long"), F.col("_piece")).otherwise(F.lit(0.0)))
-    counts = cut.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+        return total
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "frame", limit: int = CHUNK_ROWS,
+            top: int | None = None) -> DataFrame:
+    """Row number per key in the order of ``order`` (column names or expressions), also if one key holds most rows.
+
+    Keys within ``limit`` rows are ranked by a plain window. The rows of longer keys are range-partitioned on the
+    whole sort key, which balances them by sampling however the values repeat, written once, and numbered by
+    partition offsets. ``top`` is the size of the largest key if it is known.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    w = Window.partitionBy(*keys).orderBy(*[c.asc_nulls_last() for c in by])
+    plain = lambda rows: rows.withColumn(name, F.row_number().over(w).cast("long"))
+    if (longest(df, keys, limit) if top is None else top) <= limit:
+        return plain(df)
+    sizes = df.groupBy(*keys).count().filter(F.col("count") > limit)
+    # A table of n rows has at most n / limit long keys, so their list is short by construction.
+    long_keys = stage(sizes.select(*keys))
+    rest = plain(df.join(long_keys, list(keys), "left_anti"))
+    rows = df.join(F.broadcast(long_keys) if long_keys.count() <= 1_000_000 else long_keys, list(keys), "left_semi")
+    pieces = max(2, -(-sizes.agg(F.sum("count")).first()[0] // limit))
+    lined = rows.repartitionByRange(pieces, *keys, *by).sortWithinPartitions(
+        *[F.col(k) for k in keys], *[c.asc_nulls_last() for c in by])
+    # The written copy fixes which row lies in which partition and at which place.
+    held = stage(lined.withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = held.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    w = Window.partitionBy(*keys, "_piece").orderBy(*by_order)
-    ranked = cut.withColumn("_rank", F.row_number().over(w)).join(offsets, [*keys, "_piece"])
-    return ranked.select(*df.columns, (F.col("_rank") + F.col("_before")).cast("long").alias(name))
+    offsets = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = held.join(offsets.select(*keys, "_piece", "_from", "_before"), [*keys, "_piece"])
+    place = (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("long")
+    return rest.unionByName(numbered.select(*df.columns, place.alias(name)))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -171,6 +172,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, s: Series) -> DataFrame:
+    """Write an intermediate of long series once, because every pass over them reads its input twice."""
+    return df if s.chunk_rows is None else stage(df)
+
+
 def attach(df: DataFrame, s: Series, facts: DataFrame) -> DataFrame:
     """Add per-series facts (one row per series) to every row, spreading a long series over its chunks."""
     if s.chunk_rows is None:

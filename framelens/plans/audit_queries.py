@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelens.config import AUDIT_COLUMNS, GazeConfig, WindowConfig
+from framelens.config import AUDIT_COLUMNS, WindowConfig
 from framelens.operators import audit, clean, features, rules, windows
+from framelens.operators.series import stage
 from framelens.plans.gaze_queries import CFG as GAZE_CFG
 from framelens.plans.gaze_queries import UID, gaze_windows
 from framelens.plans.registry import CTE, K, SIZE_S, WINDOW, Inputs, query, shown, sql
@@ -47,7 +48,7 @@ def diff_sql(actual: str, expected: str) -> dict[str, str]:
 @query("diff_windows", sql(f'SELECT {K}, position, "column", {shown("actual", "expected")} FROM diffs', "act", "wf",
                            extra=diff_sql("act", "wf")))
 def _(x):
-    table = window_table(x)
+    table = stage(window_table(x))
     return audit.diff_windows(altered(table), table, x.series().ordered("window_id"))
 
 
@@ -71,7 +72,7 @@ AUDIT_SQL = sql(status_sql("act", "wf", f"WHEN {UID} % 17 = 0 THEN 'source_missi
 def window_audit(x: Inputs):
     f, s = x.frames(), x.series()
     bounds = windows.perclos_windows(f, WINDOW, clean.valid_flag("perclos"), s)
-    expected = window_table(x)
+    expected = stage(window_table(x))
     return audit.audit_window_table(altered(expected), expected, f.filter(uid() % 17 != 0).select(*KEYS),
                                     s.ordered("window_id"), perclos=bounds.filter(uid() % 19 != 0).select(*KEYS))
 
@@ -93,7 +94,7 @@ def _(x):
     bounds = windows.perclos_windows(f, WINDOW, clean.valid_flag("perclos"), s)
     rows = windows.attach_frames(f, bounds.select(*KEYS, "window_id", "start_frame", "end_frame"), s)
     again = features._finish(features._aggregate(rows, s, clean.valid_flag("perclos"), CFG, []), CFG)
-    report = audit.audit_window_table(window_table(x), again, f.select(*KEYS), s.ordered("window_id"), perclos=bounds)
+    report = audit.audit_window_table(stage(window_table(x)), stage(again), f.select(*KEYS), s.ordered("window_id"), perclos=bounds)
     return report.select(*KEYS, "status", F.col("window_row_count").alias("windows"))
 
 
@@ -105,6 +106,7 @@ def _(x):
     """Series that do not fill whole blocks have a one-row stand-in output."""
     f, s = x.frames(), x.series()
     expected, errors = features.normal_window_features(f, s, CFG)
+    expected = stage(expected)
     stand_in = errors.select(*KEYS, F.lit(1).cast("long").alias("window_id"))
     actual = altered(expected).unionByName(stand_in, allowMissingColumns=True)
     return audit.audit_window_table(actual, expected, f.filter(uid() % 17 != 0).select(*KEYS), s.ordered("window_id"),
@@ -143,8 +145,8 @@ FROM (SELECT {K}, x.l AS a, coalesce(y.l, []) AS e FROM ({LIST_SQL} anact GROUP
   LEFT JOIN ({LIST_SQL} anormal GROUP BY {K}) y USING ({K}))""", "anact", "anormal"))
 def _(x):
     f, s = x.frames(), x.series()
-    actual = normal_frames(clean.clean_normal_source(f, s), s)
-    return audit.diff_normal_frames(actual, normal_frames(clean.clean_normal_audit(f, s), s), s)
+    actual = stage(normal_frames(clean.clean_normal_source(f, s), s))
+    return audit.diff_normal_frames(actual, stage(normal_frames(clean.clean_normal_audit(f, s), s)), s)
 
 
 @query("segment_stats", sql(f"""SELECT {K}, sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END)::BIGINT + 1 AS segment_count,
@@ -190,7 +192,7 @@ def _(x):
 
 def damaged(x: Inputs):
     """Gaze windows of which some series lost rows, lost all, or gained a copy."""
-    table = gaze_windows(x)
+    table = stage(gaze_windows(x))
     kept = table.filter(~((uid() % 5 == 0) & (F.col("window_id") == 2)) & (uid() % 7 != 0))
     return kept.unionByName(table.filter((uid() % 11 == 0) & (uid() % 7 != 0) & (F.col("window_id") == 1)))
 

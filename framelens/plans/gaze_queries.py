@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framelens.config import EVENT_COLUMNS, GAZE_STAT_COLUMNS, GazeConfig
 from framelens.operators import features, gaze, matching, rules, windows
 from framelens.operators.clean import clean_normal_source
+from framelens.operators.series import stage
 from framelens.plans.registry import CTE, K, SIZE_S, WINDOW, Inputs, query, shown, sql
 from framelens.plans.window_queries import KEYS, window_table
 
@@ -217,7 +218,8 @@ UNION ALL SELECT {K}, NULL, count(*), min(frame) FROM absent GROUP BY {K}""", "s
 def _(x):
     """Gaze rows lack every 97th event, so some series miss normal frames."""
     f, s = x.frames(), x.series()
-    wide = windows.sliding_count_windows(clean_normal_source(f, s), WINDOW, 5, s)
+    wide = stage(windows.sliding_count_windows(clean_normal_source(f, s), WINDOW, 5, s).select(
+        *KEYS, "frame", "window_index", "time_sec", "avg_ear", "yaw", "pitch"))
     normal = wide.join(rules.normal_window_table(wide, s).select(*KEYS, "window_index"), [*KEYS, "window_index"], "left_semi")
     good, errors = gaze.select_gaze_for_normal(f.filter("event_id % 97 <> 0"), normal, s)
     return good.select(*KEYS, "frame").unionByName(
@@ -344,6 +346,7 @@ LEFT JOIN (SELECT {K}, count(*) FILTER (samples IS NOT NULL) AS m FROM wf w LEFT
   WHERE ({K}) NOT IN (SELECT {K} FROM dup) GROUP BY {K}) USING ({K})""", "wf", "gz_dup", extra=JOINED))
 def _(x):
     left, right = merge_sides(x)
+    left, right = stage(left), stage(right)
     merged, _ = matching.one_to_one_left_join(left, right, tuple(KEYS))
     return matching.merge_report(left, right, merged, tuple(KEYS))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.operators.series import Series
-from framelens.sources.events import event_frames, event_series, table
+from framelens.operators.series import CHUNK_ROWS, Series, settle
+from framelens.sources.events import event_frames, event_series, longest_user, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,27 +20,36 @@ SIZE_S = 0.5
 
 @dataclass
 class Inputs:
-    """Lazy access to the stored tables of one folder."""
+    """Lazy access to the stored tables of one folder; the longest series is counted once."""
 
     spark: SparkSession
     root: str
+    limit: int = CHUNK_ROWS
+
+    @cached_property
+    def top(self) -> int:
+        return longest_user(self.spark, self.root, self.limit)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
+    @cached_property
+    def _frames(self) -> DataFrame:
+        return settle(event_frames(self.spark, self.root, self.limit, self.top), self.series())
+
     def frames(self) -> DataFrame:
-        return event_frames(self.spark, self.root)
+        return self._frames
 
     def series(self) -> Series:
-        return event_series(self.spark, self.root)
+        return event_series(self.top, self.limit)
 
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(inputs) -> DataFrame`` under ``name``; doubles are compared at seven decimals."""
 
     def add(fn):
-        def run(spark: SparkSession, root: str) -> DataFrame:
-            return rounded(fn(Inputs(spark, root)))
+        def run(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> DataFrame:
+            return rounded(fn(Inputs(spark, root, limit)))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

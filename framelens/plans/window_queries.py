@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelens.config import FRAME_COLUMNS, SIGNAL_COLUMNS, NormalRule, WindowConfig
 from framelens.operators import clean, features, rules, windows
 from framelens.operators.audit import quarantine
-from framelens.operators.series import Series
+from framelens.operators.series import Series, stage
 from framelens.plans.registry import (
     K, RATIOS, SIZE_S, WF_OUT, WINDOW, CTE, Inputs, flag_share, query, shown, sql, STATS_SQL, RATIO_SQL, USABLE_SQL)
 
@@ -339,9 +339,9 @@ LEFT JOIN (SELECT {K}, count(DISTINCT frame) AS f FROM slid JOIN normal_w USING
 LEFT JOIN (SELECT {K}, count(*) AS w FROM normal_w GROUP BY {K}) USING ({K})""", "slid", "normal_w"))
 def _(x):
     f, s = x.frames(), x.series()
-    cleaned = clean.clean_normal_source(f, s)
+    cleaned = stage(clean.clean_normal_source(f, s))
     wide = windows.sliding_count_windows(cleaned, WINDOW, STEP, s)
-    normal_w = rules.normal_window_table(wide, s)
+    normal_w = stage(rules.normal_window_table(wide, s))
     chosen = wide.join(normal_w.select(*KEYS, "window_index"), [*KEYS, "window_index"], "left_semi").select(
         *KEYS, "frame").distinct()
     return rules.extraction_summary(f, cleaned, chosen, normal_w, WINDOW, tuple(KEYS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.operators.series import CHUNK_ROWS, Series, measure, ordinal
+from framelens.operators.series import CHUNK_ROWS, Series, longest, ordinal
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -15,7 +15,11 @@ def _double(value: float):
     return F.lit(float(value))
 
 
-def event_frames(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> DataFrame:
+def longest_user(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> int:
+    return longest(table(spark, root, "events"), ["user_id"], limit)
+
+
+def event_frames(spark: SparkSession, root: str, limit: int = CHUNK_ROWS, top: int | None = None) -> DataFrame:
     """One series per user: events in time order play the part of video frames."""
     events = table(spark, root, "events").select("event_id", "ts", "user_id", "value")
     e, k = F.col("event_id"), F.col("user_id") % 3
@@ -26,7 +30,7 @@ def event_frames(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> Dat
     value = F.col("value")
     ear = (F.when(e % 17 == 0, _double(0.05)).when(k == 1, (value % _double(35)) / _double(100))
            .otherwise(_double(0.24) + (value % _double(10)) / _double(200)))
-    ranked = ordinal(events, ["user_id"], ["ts", "event_id"], "frame", limit)
+    ranked = ordinal(events, ["user_id"], ["ts", "event_id"], "frame", limit, top)
     flagged = ranked.select(
         F.when(k == 0, "normal").when(k == 1, "drowsiness").otherwise("distraction").alias("label"),
         F.when(F.col("user_id") % 2 == 0, "IR").otherwise("RGB").alias("modality"),
@@ -43,7 +47,6 @@ def event_frames(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> Dat
         (F.col("ear_valid") == 1) & (F.col("yaw").isNull() | (F.abs("yaw") > 35)), 1).otherwise(0))
 
 
-def event_series(spark: SparkSession, root: str, limit: int = CHUNK_ROWS) -> Series:
+def event_series(top: int, limit: int = CHUNK_ROWS) -> Series:
     """Series description of :func:`event_frames`; the plan choice rests on counted rows."""
-    counted = measure(table(spark, root, "events"), ("user_id",), "ts", limit)
-    return Series(chunk_rows=counted.chunk_rows)
+    return Series(chunk_rows=None if top <= limit else limit)
