@@ -31,7 +31,7 @@ def _text(spark: SparkSession, root: str, glob: str) -> DataFrame:
              .filter(~F.col("name").startswith("~$") & ~F.col("name").startswith("~%24") & (F.trim("line") != "")))
     # Splits of a file start at least 1 KiB apart and hold fewer than 2^29 lines.
     place = F.shiftleft(F.shiftright("start", 10), 29) + F.monotonically_increasing_id().bitwiseAND((1 << 29) - 1)
-    return lines.select("line", F.url_decode("path").alias("path"), place.alias("ordinal"))
+    return lines.select("line", F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"), place.alias("ordinal"))
 
 
 def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], *,

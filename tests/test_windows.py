@@ -87,17 +87,16 @@ def test_time_window_bounds(spark):
     df = frame_rows(spark, [{"time_sec": t} for t in times])
     for s in PLANS:
         got = ids(windows.time_windows(df, 3.0, 3.0, s), "window_id", "time_sec")
-        assert got == sorted([(1, 0.0), (1, 1.0), (1, 3.0), (2, 3.1), (2, 4.0), (2, 5.9999999999)], key=repr) or len(got) == 6
-        assert sorted(r[0] for r in got) == [1, 1, 1, 2, 2, 2]
+        want = [(1, 0.0), (1, 1.0), (1, 3.0), (2, 3.1), (2, 4.0), (2, round(5.9999999999, 9))]
+        assert got == sorted(want, key=repr)
     short = df.filter("time_sec < 5")
     assert {r[0] for r in ids(windows.time_windows(short, 3.0, 3.0, SHORT), "window_id")} == {1}
 
 
 @pytest.mark.parametrize("size", [0.1, 1 / 3, 0.7])
-def test_closed_form_equals_explode_at_inexact_bounds(spark, size):
+def test_closed_form_equals_the_loop_at_inexact_bounds(spark, size):
     df = frame_rows(spark, [{"time_sec": i * size / 4} for i in range(41)])
     closed = ids(windows.time_windows(df, size, size, SHORT), "window_id", "frame")
-    wide = windows.time_windows(df, size, size + 1e-18 if size + 1e-18 != size else size, SHORT)
     want = []
     last = 40 * size / 4
     for i in range(41):
@@ -107,7 +106,7 @@ def test_closed_form_equals_explode_at_inexact_bounds(spark, size):
             if (t > start or (k == 1 and t >= start)) and t <= end:
                 want.append((k, i + 1))
             k += 1
-    assert closed == sorted(want, key=repr) == ids(wide, "window_id", "frame")
+    assert closed == sorted(want, key=repr)
 
 
 def test_gate_uses_unrounded_ratio(spark):
