@@ -8,6 +8,7 @@ from framelens.operators.clean import fill_zero_duration
 from framelens.operators.series import CHUNK_ROWS, Series, longest, ordinal, scan, stage
 
 NO_NUMBER = 10**9
+LOOK_AHEAD = 32
 
 
 def natural_key(name: Column) -> Column:
@@ -73,7 +74,7 @@ def greedy_assign(sources: DataFrame, partners: DataFrame, tolerance: float, *,
 
     Solved in rounds over all groups at once instead of walking one group in order: every source proposes to a
     position of its profile's list, a partner keeps the proposer that comes first in the order, and the others
-    move on. A source never lands before a better-placed source of its own profile, so positions inside a
+    move on to the next place that nobody before them holds. A source never lands before a better-placed source of its own profile, so positions inside a
     profile are kept strictly increasing, which lets many equal sources settle in the same round.
     """
     candidates = stage(match_candidates(sources, partners, tolerance, group=group, limit=limit))
@@ -85,15 +86,24 @@ def greedy_assign(sources: DataFrame, partners: DataFrame, tolerance: float, *,
     state = stage(placed.withColumn("pos", F.col("_place")))
     top = longest(state, profile, limit)
     s = Series(tuple(profile), "_place", None if top <= limit else limit)
+    places = candidates.select(*profile, F.col("position").alias("pos"), "partner")
     while True:
-        offers = state.join(candidates.select(*profile, F.col("position").alias("pos"), "partner"),
-                            [*profile, "pos"], "left")
-        winners = offers.filter("partner is not null").groupBy(*group, "partner").agg(F.min("turn").alias("_first"))
-        judged = stage(offers.join(winners, [*group, "partner"], "left").withColumn(
+        offers = state.join(places, [*profile, "pos"], "left")
+        holders = offers.filter("partner is not null").groupBy(*group, "partner").agg(F.min("turn").alias("_first"))
+        judged = stage(offers.join(holders, [*group, "partner"], "left").withColumn(
             "_lost", F.col("partner").isNotNull() & (F.col("turn") != F.col("_first"))))
-        if judged.filter("_lost").isEmpty():
+        lost = judged.filter("_lost")
+        if lost.isEmpty():
             break
-        moved = judged.withColumn("_p", F.col("pos") + F.col("_lost").cast("long") - F.col("_place"))
+        taken = judged.filter("not _lost and partner is not null").select(*group, "partner", F.col("turn").alias("_holder"))
+        ahead = lost.select(*profile, "source", "turn", F.explode(F.sequence(
+            F.col("pos") + 1, F.col("pos") + LOOK_AHEAD)).alias("pos")).join(places, [*profile, "pos"], "left").join(
+            taken, [*group, "partner"], "left")
+        open_place = F.col("partner").isNull() | F.col("_holder").isNull() | (F.col("_holder") > F.col("turn"))
+        next_place = ahead.groupBy(*group, "source").agg(F.coalesce(
+            F.min(F.when(open_place, F.col("pos"))), F.max("pos") + 1).alias("_next"))
+        moved = judged.join(next_place, [*group, "source"], "left").withColumn(
+            "_p", F.coalesce("_next", "pos") - F.col("_place"))
         pushed = scan(moved, s, highest={"_least": F.col("_p")})
         state = pushed.withColumn("pos", F.col("_least") + F.col("_place")).select(*state.columns)
     status = (F.when(F.col("candidates") == 0, "no candidate").when(F.col("partner").isNull(), "all taken")

@@ -9,9 +9,11 @@ straggler, so it is cut into chunks of consecutive order values; each chunk is s
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from framelens.config import STREAM_KEYS
 
@@ -157,19 +159,26 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "frame", li
     return rest.unionByName(numbered.select(*df.columns, place.alias(name)))
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; only a session without one (a local test) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="framelens-"))
+    return context.getCheckpointDir()
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names.
+    """Write an intermediate as a table in the shared folder and go on from there.
 
-    Only a session without a checkpoint folder (a local test) gets one of its own.
+    The written copy outlives lost executors, ends the lineage, and is read back by column and with true sizes,
+    which keeps plans of many rounds small.
     """
-    import tempfile
-
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="framelens-"))
-    return df.checkpoint(eager=True)
+    path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, s: Series) -> DataFrame:
