@@ -26,6 +26,23 @@ def frame_step(df: DataFrame, s: Series = Series()) -> DataFrame:
     return steps.select(*s.keys, F.greatest(F.lit(1), F.rint("median").cast("long")).alias("frame_step"))
 
 
+def with_sampling(samples: DataFrame, s: Series = Series(), cfg: GazeConfig = GazeConfig()) -> DataFrame:
+    """Every sample with the ``period`` and ``frame_step`` of its series.
+
+    Short series get both in the ordered pass that the windows use anyway; long ones get them from the reduced tables.
+    """
+    if s.chunk_rows is not None:
+        samples = settle(samples, s)
+        return attach(samples, s, sample_period(samples, s, cfg).join(frame_step(samples, s), list(s.keys)))
+    step = lambda c: (F.col(c) - F.lag(c).over(Window.partitionBy(*s.keys).orderBy(F.col(s.order).asc_nulls_last()))).cast("double")
+    whole = Window.partitionBy(*s.keys)
+    median = lambda c: F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(0.5)).over(whole)
+    stepped = samples.withColumns({"_dt": step("time_sec"), "_df": step(s.order)})
+    return stepped.withColumns({
+        "period": F.coalesce(median("_dt"), F.lit(float(cfg.default_period))),
+        "frame_step": F.greatest(F.lit(1), F.rint(F.coalesce(median("_df"), F.lit(1.0))).cast("long"))}).drop("_dt", "_df")
+
+
 def min_samples(period: Column, cfg: GazeConfig) -> Column:
     return F.greatest(F.lit(2), F.rint(F.lit(float(cfg.min_duration_ms)) / (period * 1000.0)).cast("int"))
 
@@ -61,7 +78,7 @@ def step_and_velocity(segmented: DataFrame, s: Series = Series()) -> DataFrame:
 def velocity_runs(moving: DataFrame, s: Series = Series(), cfg: GazeConfig = GazeConfig()) -> DataFrame:
     """Maximal runs of one speed class per segment: ``slow`` below the threshold, ``fast`` above it.
 
-    The first sample of a segment has no speed and counts as slow. ``run_length`` is set on the first row of a run.
+    The first sample of a segment has no speed and counts as slow. ``run_length`` is set on the last row of a run.
     """
     limit = F.lit(float(cfg.velocity))
     speed = F.coalesce(F.col("velocity"), F.lit(0.0))
@@ -69,9 +86,10 @@ def velocity_runs(moving: DataFrame, s: Series = Series(), cfg: GazeConfig = Gaz
     w = _cell(s)
     changed = F.coalesce(F.lag("speed_class").over(w) != F.col("speed_class"), F.lit(True)) | F.col("new_segment")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = classed.withColumn("_c", changed.cast("int")).withColumn("run", F.sum("_c").over(upto))
-    whole = Window.partitionBy(*s.keys, "window_id", "valid", "run")
-    return numbered.withColumn("run_length", F.when(F.col("_c") == 1, F.count(F.lit(1)).over(whole))).drop("_c")
+    placed = classed.withColumns({"_new": changed, "_at": F.row_number().over(w)})
+    start = F.max(F.when(F.col("_new"), F.col("_at"))).over(upto)
+    last = F.coalesce(F.lead("_new").over(w), F.lit(True))
+    return placed.withColumn("run_length", F.when(last, F.col("_at") - start + 1)).drop("_new", "_at")
 
 
 def idt_lengths(points: Column, least: Column, dispersion: float) -> Column:
@@ -114,10 +132,9 @@ def idt_lengths(points: Column, least: Column, dispersion: float) -> Column:
     return F.aggregate(points, start, step, finish)
 
 
-def gaze_runs(samples: DataFrame, s: Series, cfg: GazeConfig, placed: DataFrame) -> DataFrame:
-    """Every row of the placed windows with validity, segment, step, speed and run columns."""
-    facts = sample_period(samples, s, cfg).join(frame_step(samples, s), list(s.keys))
-    rows = attach(settle(placed, s), s, facts).withColumn("valid", valid_flag("gaze"))
+def gaze_runs(placed: DataFrame, s: Series, cfg: GazeConfig = GazeConfig()) -> DataFrame:
+    """Every row of the placed windows (sampling columns included) with validity, segment, step, speed and runs."""
+    rows = placed.withColumn("valid", valid_flag("gaze"))
     return velocity_runs(step_and_velocity(segments(rows, s), s), s, cfg)
 
 
@@ -208,16 +225,16 @@ def gaze_table(runs: DataFrame, s: Series, cfg: GazeConfig, start: Column, end:
 
 def gaze_window_features(samples: DataFrame, s: Series = Series(), cfg: GazeConfig = GazeConfig(),
                          rounded: bool = True) -> DataFrame:
-    placed = time_windows(samples, cfg.window_sec, cfg.step_sec, s)
-    runs = gaze_runs(samples, s, cfg, placed)
+    placed = time_windows(with_sampling(samples, s, cfg), cfg.window_sec, cfg.step_sec, s)
+    runs = gaze_runs(placed, s, cfg)
     return gaze_table(runs, s, cfg, F.first("window_start_time"), F.first("window_end_time"), rounded)
 
 
 def normal_gaze_windows(samples: DataFrame, size: int, s: Series = Series(), cfg: GazeConfig = GazeConfig(),
                         rounded: bool = True) -> tuple[DataFrame, DataFrame]:
     """Gaze features of exact blocks of ``size`` samples, and the error rows."""
-    blocks, errors = count_windows_strict(samples, size, s)
-    runs = gaze_runs(samples, s, cfg, blocks)
+    blocks, errors = count_windows_strict(with_sampling(samples, s, cfg), size, s)
+    runs = gaze_runs(blocks, s, cfg)
     first, last = F.min_by("time_sec", s.order), F.max_by("time_sec", s.order)
     return gaze_table(runs, s, cfg, first, last, rounded), errors
 

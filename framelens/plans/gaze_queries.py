@@ -112,7 +112,7 @@ FROM base JOIN period USING ({K}) LEFT JOIN path USING ({C}) LEFT JOIN {prefix}i
 def moving(x: Inputs):
     """Placed gaze samples with every derived column."""
     f, s = x.frames(), x.series()
-    return gaze.gaze_runs(f, s, CFG, windows.time_windows(f, SIZE_S, SIZE_S, s)), s
+    return gaze.gaze_runs(windows.time_windows(gaze.with_sampling(f, s, CFG), SIZE_S, SIZE_S, s), s, CFG), s
 
 
 @query("sample_period", sql(f"SELECT {K}, {shown('period')} FROM period", "period"))
