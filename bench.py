@@ -26,7 +26,8 @@ HEADLINE = ("window_features", "summary_by", "time_windows", "sliding_windows",
 def session() -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{CPUS}]").appName("framelens-bench")
                .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g"))
+               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="framelens-bench-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -32,6 +32,8 @@ GAZE_COLUMNS = (
     "right_iris_x_norm", "right_iris_y_norm",
     "iris_x_norm", "iris_y_norm",
 )
+# Fixed value: ending of gaze file stems, which the series name leaves out.
+GAZE_FILE_SUFFIX = "_pymovements_input"
 GAZE_REQUIRED = ("frame", "time_sec", "face_detected", "iris_x_norm", "iris_y_norm")
 
 # Columns whose first non-null row starts a usable recording.

@@ -8,7 +8,7 @@ from framelens.config import LABELS, WindowConfig
 from framelens.functions.numeric import count_if, half_even, is_one, sample_std, share
 from framelens.operators.clean import valid_flag
 from framelens.operators.series import Series
-from framelens.operators.windows import assign_valid_windows, count_windows_strict
+from framelens.operators.windows import assign_valid_windows, attach_frames, count_windows_strict
 
 RATIOS = {"face_detect_ratio": "face_detected", "pose_valid_ratio": "pose_valid",
           "ear_valid_ratio": "ear_valid", "ear_suspicious_ratio": "ear_suspicious"}
@@ -72,6 +72,13 @@ def window_features(frames: DataFrame, s: Series = Series(), cfg: WindowConfig =
     return _finish(_aggregate(placed, s, F.col("valid"), cfg, []), cfg)
 
 
+def features_from_bounds(frames: DataFrame, bounds: DataFrame, s: Series = Series(),
+                         cfg: WindowConfig = WindowConfig()) -> DataFrame:
+    """The same table from stored window bounds, through the range join; audits recompute with it."""
+    spans = bounds.select(*s.keys, "window_id", "start_frame", "end_frame")
+    return _finish(_aggregate(attach_frames(frames, spans, s), s, valid_flag("perclos"), cfg, []), cfg)
+
+
 def normal_window_features(frames: DataFrame, s: Series = Series(), cfg: WindowConfig = WindowConfig(),
                            extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Features of exact blocks of normal frames, PERCLOS over all rows, and the error rows."""

@@ -92,8 +92,7 @@ def _(x):
     """The window table audited against a recomputation through the literal range join."""
     f, s = x.frames(), x.series()
     bounds = windows.perclos_windows(f, WINDOW, clean.valid_flag("perclos"), s)
-    rows = windows.attach_frames(f, bounds.select(*KEYS, "window_id", "start_frame", "end_frame"), s)
-    again = features._finish(features._aggregate(rows, s, clean.valid_flag("perclos"), CFG, []), CFG)
+    again = features.features_from_bounds(f, bounds, s, CFG)
     report = audit.audit_window_table(stage(window_table(x)), stage(again), f.select(*KEYS), s.ordered("window_id"), perclos=bounds)
     return report.select(*KEYS, "status", F.col("window_row_count").alias("windows"))
 

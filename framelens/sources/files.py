@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS
+from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_FILE_SUFFIX, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS
 from framelens.functions.naming import stream_keys
 from framelens.operators.series import Series
 
@@ -83,7 +83,7 @@ def read_frames(spark: SparkSession, root: str, glob: str = "*.csv") -> tuple[Da
 
 
 def read_gaze(spark: SparkSession, root: str, glob: str = "*.csv", strict: bool = False,
-              suffix: str = "_pymovements_input") -> tuple[DataFrame, DataFrame]:
+              suffix: str = GAZE_FILE_SUFFIX) -> tuple[DataFrame, DataFrame]:
     """Gaze series; ``strict`` asks for all fifteen columns instead of the five that features need."""
     rows, errors = read_delimited(spark, root, GAZE_COLUMNS, GAZE_COLUMNS if strict else GAZE_REQUIRED, glob=glob)
     return _split_errors(rows, errors, root, suffix)

@@ -13,6 +13,7 @@ def spark():
     session = (SparkSession.builder.master("local[8]").appName("framelens-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="framelens-checkpoint-")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
