@@ -89,7 +89,7 @@ def velocity_runs(moving: DataFrame, s: Series = Series(), cfg: GazeConfig = Gaz
     placed = classed.withColumns({"_new": changed, "_at": F.row_number().over(w)})
     start = F.max(F.when(F.col("_new"), F.col("_at"))).over(upto)
     last = F.coalesce(F.lead("_new").over(w), F.lit(True))
-    return placed.withColumn("run_length", F.when(last, F.col("_at") - start + 1)).drop("_new", "_at")
+    return placed.withColumn("run_length", F.when(last, (F.col("_at") - start + 1).cast("long"))).drop("_new", "_at")
 
 
 def idt_lengths(points: Column, least: Column, dispersion: float) -> Column:
