@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from framelens.plans.catalog import ORACLE, QUERIES
 
@@ -47,6 +48,16 @@ def test_chunked_plan_gives_the_same_rows(spark, root, name):
     assert rows(QUERIES[name](spark, root)) == rows(QUERIES[name](spark, root, 50))
 
 
+@pytest.mark.parametrize("name", ("window_features", "gaze_window_features", "segment_stats"))
+def test_one_series_with_a_third_of_all_rows(spark, root, tmp_path, name):
+    """The hot series takes the chunked plan beside short ones, and nothing changes."""
+    events = spark.read.parquet(f"{root}/events.parquet")
+    events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id"))).write.parquet(
+        f"{tmp_path}/events.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, str(tmp_path), 100))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
