@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: ASCII lower case, the rest of the text unchanged.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch; texts of a batch are held together, so it is small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -46,6 +46,40 @@ class Memo(dict):
         return value
 
 
+class Ragged:
+    """Lists of ids by key, laid out in one array; starts anew once it is full."""
+
+    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
+        self._make, self._limit = make, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self._at: dict = {}
+        self._flat, self._sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys one after the other, and how many each key has."""
+        if len(self._at) > self._limit:
+            self._clear()
+        new = list(dict.fromkeys(k for k in keys if k not in self._at))
+        if new:
+            made = self._make(new)
+            self._at.update(zip(new, range(len(self._at), len(self._at) + len(new))))
+            self._sizes = np.concatenate([self._sizes, lengths(made)])
+            self._flat = np.concatenate([self._flat, np.fromiter((i for m in made for i in m), np.int32)])
+        at = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
+        starts = np.cumsum(self._sizes) - self._sizes
+        sizes = self._sizes[at]
+        return self._flat[spread(starts[at], sizes)], sizes
+
+
+def in_slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """The batches in pieces of a few rows, because what is made of the texts is many times their size."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo:lo + rows]
+
+
 def mapped(df: DataFrame, batches: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     return df.mapInPandas(batches, schema)
 

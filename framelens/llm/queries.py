@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import simhash_vp, toxicity
+from framelens.llm import piece_transducer, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
 from framelens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,30 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def public_file(name: str) -> str:
+    """Place of a public tokenizer's file; another place is given by the operators' own parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def public_bytes(name: str) -> bytes:
+    with open(public_file(name), "rb") as f:
+        return f.read()
+
+
+@query("op2_piece_transducer")
+def op2_piece_transducer(spark: SparkSession, root: str) -> DataFrame:
+    return piece_transducer.encode(documents(spark, root), public_bytes("piece_bpe_32k.model"))
+
+
+@query("op4_rule_ledger", rule_ledger.SQL)
+def op4_rule_ledger(spark: SparkSession, root: str) -> DataFrame:
+    rows = rule_ledger.decide(rule_ledger.ledger(documents(spark, root)))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       "kept", "failed")
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root)
@@ -36,3 +60,14 @@ def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_simhash_vp")
 def op9_simhash_vp(spark: SparkSession, root: str) -> DataFrame:
     return simhash_vp.near_duplicates(documents(spark, root))
+
+
+@query("op8_spaced_seeds", spaced_seeds.SQL)
+def op8_spaced_seeds(spark: SparkSession, root: str) -> DataFrame:
+    return spaced_seeds.overlaps(documents(spark, root), table(spark, root, "benchmark"))
+
+
+@query("op10_secret_grammar")
+def op10_secret_grammar(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root)
+    return secret_grammar.scan(docs, secret_grammar.learn(docs))
