@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.llm import piece_transducer, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
+from framelens.llm import kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
 from framelens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +39,25 @@ def public_bytes(name: str) -> bytes:
         return f.read()
 
 
+@query("op1_rans_ids")
+def op1_rans_ids(spark: SparkSession, root: str) -> DataFrame:
+    vocabulary = public_bytes("word_bpe_49k.json").decode("utf-8")
+    rows = rans_ids.round_trip(documents(spark, root), vocabulary, 49_408)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op2_piece_transducer")
 def op2_piece_transducer(spark: SparkSession, root: str) -> DataFrame:
     return piece_transducer.encode(documents(spark, root), public_bytes("piece_bpe_32k.model"))
 
 
+@query("op3_kd_shards")
+def op3_kd_shards(spark: SparkSession, root: str) -> DataFrame:
+    return kd_shards.shards(documents(spark, root), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op4_rule_ledger", rule_ledger.SQL)
 def op4_rule_ledger(spark: SparkSession, root: str) -> DataFrame:
     rows = rule_ledger.decide(rule_ledger.ledger(documents(spark, root)))
