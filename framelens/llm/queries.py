@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.llm import kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
-from framelens.llm.common import documents
+from framelens.llm import bloom_lm, kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
+from framelens.llm.common import Scratch, documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,6 +65,12 @@ def op4_rule_ledger(spark: SparkSession, root: str) -> DataFrame:
                        "kept", "failed")
 
 
+@query("op5_bloom_lm")
+def op5_bloom_lm(spark: SparkSession, root: str) -> DataFrame:
+    docs, scratch, held_out = documents(spark, root), Scratch(spark), remainder("doc_id", 7) == 2
+    return bloom_lm.score(docs, bloom_lm.train(docs.filter(~held_out), scratch), scratch, held_out)
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root)
