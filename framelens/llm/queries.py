@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.llm import bloom_lm, kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, toxicity
+from framelens.llm import bloom_lm, kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, suffix_dedup, toxicity
 from framelens.llm.common import Scratch, documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op9_simhash_vp(spark: SparkSession, root: str) -> DataFrame:
     return simhash_vp.near_duplicates(documents(spark, root))
 
 
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, root))
+
+
 @query("op8_spaced_seeds", spaced_seeds.SQL)
 def op8_spaced_seeds(spark: SparkSession, root: str) -> DataFrame:
     return spaced_seeds.overlaps(documents(spark, root), table(spark, root, "benchmark"))
