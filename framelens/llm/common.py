@@ -47,15 +47,18 @@ class Memo(dict):
 
 
 class Ragged:
-    """Lists of ids by key, laid out in one array; starts anew once it is full."""
+    """Lists of ids by key, laid out in one array; starts anew once it is full.
 
-    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
+    ``make`` gives the ids of new keys as 32-bit numbers packed into bytes.
+    """
+
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 1_000_000):
         self._make, self._limit = make, limit
         self._clear()
 
     def _clear(self) -> None:
         self._at: dict = {}
-        self._flat, self._sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self._flat, self._starts, self._sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all keys one after the other, and how many each key has."""
@@ -65,12 +68,13 @@ class Ragged:
         if new:
             made = self._make(new)
             self._at.update(zip(new, range(len(self._at), len(self._at) + len(new))))
-            self._sizes = np.concatenate([self._sizes, lengths(made)])
-            self._flat = np.concatenate([self._flat, np.fromiter((i for m in made for i in m), np.int32)])
+            own = lengths(made) // 4
+            self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(own) - own])
+            self._sizes = np.concatenate([self._sizes, own])
+            self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(made), np.int32)])
         at = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
-        starts = np.cumsum(self._sizes) - self._sizes
         sizes = self._sizes[at]
-        return self._flat[spread(starts[at], sizes)], sizes
+        return self._flat[spread(self._starts[at], sizes)], sizes
 
 
 def in_slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:

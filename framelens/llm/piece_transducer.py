@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -65,9 +66,9 @@ class Transducer:
             raise ValueError("a piece with white space inside leaves no states to cut the composition at")
         #: Neighbouring characters within some piece; between any others no arc passes.
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._zero_paths = Memo(self._zero, 300_000)
+        self._zero_paths = Memo(lambda text: self._spelled(self._zero(text)), 600_000)
         self.cut_lines = self.prefix and not any("\n" in p for p in self.ids)
-        self._pair = Memo(lambda pair: self.merge(pair[0] + pair[1]) == [p for p in pair if p], 300_000)
+        self._pair = Memo(self._fits, 600_000)
 
     def normalise(self, text: str) -> str:
         """Spaces for U+2581 until a stretch is spelled out; what is cut here holds one symbol of each kind only."""
@@ -88,16 +89,27 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids of the least-weight path through the composition with ``text`` (already spelled with U+2581)."""
-        if self.kind == BPE:
-            pieces, start = [], 0
-            for end in [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside] + [len(text)]:
-                pieces += self._zero_paths[text[start:end]]  # no arc crosses the cut, so the parts are independent
-                start = end
-        else:
-            pieces = self._least(text)
-        return [i for piece in pieces for i in self._spell(piece)]
+    def _fits(self, key: str) -> bool:
+        """Whether merging the joined text of two pieces gives back the two; the key tells where the first one ends."""
+        cut, text = ord(key[0]), key[1:]
+        return self.merge(text) == ([text[:cut], text[cut:]] if cut else [text])
+
+    def shortest(self, text: str) -> bytes:
+        """Ids of the least-weight path through the composition with ``text`` (already spelled with U+2581), packed."""
+        if self.kind != BPE:
+            return self._spelled(self._least(text))
+        # No arc crosses a cut, so the parts are independent; texts share far more parts than stretches.
+        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside]
+        if not cuts:
+            return self._zero_paths[text]
+        return b"".join([self._zero_paths[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+
+    def _spelled(self, pieces: list[str]) -> bytes:
+        ids = self.ids
+        try:
+            return array("i", [ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            return array("i", [i for p in pieces for i in self._spell(p)]).tobytes()
 
     def _arcs(self, text: str, start: int) -> list[int]:
         """Where the pieces that begin at ``start`` end, shortest first; a lone character is always one."""
@@ -115,20 +127,24 @@ class Transducer:
         All other paths weigh infinity, so the first complete path is the shortest and the search is depth first,
         longest piece first. A position is reached by one piece only, hence a dead end is a property of the position.
         """
-        pieces, at, dead, waiting = [], 0, set(), [self._arcs(text, 0)]
-        while at < len(text):
-            ends, last = waiting[-1], pieces[-1] if pieces else ""
+        pieces, at, n, dead, pair = [], 0, len(text), set(), self._pair
+        waiting, last = [self._arcs(text, 0)], ""
+        while at < n:
+            ends = waiting[-1]
             while ends:
                 end = ends.pop()
-                if end not in dead and self._pair[last, text[at:end]]:
-                    pieces.append(text[at:end])
-                    at = end
-                    waiting.append(self._arcs(text, at) if at < len(text) else [])
+                piece = text[at:end]
+                if end not in dead and pair[chr(len(last)) + last + piece]:
+                    pieces.append(piece)
+                    at, last = end, piece
+                    if at < n:
+                        waiting.append(self._arcs(text, at))
                     break
             else:
                 dead.add(at)
                 waiting.pop()
                 at -= len(pieces.pop())
+                last = pieces[-1] if pieces else ""
         return pieces
 
     def _least(self, text: str) -> list[str]:
@@ -169,8 +185,8 @@ class Transducer:
         return [x[1:] if x[:1] == " " and x[1:2] not in (" ", "\n", "\0") else x if x[:1] == " " else "\0" + x
                 for x in found]
 
-    def path(self, key: str) -> list[int]:
-        """Ids of the stretch with this key."""
+    def path(self, key: str) -> bytes:
+        """Ids of the stretch with this key, packed."""
         if key[:1] == "\0" and not self.prefix:
             key = key[1:]
         elif key[:1] not in (" ", "\n"):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -132,15 +132,15 @@ def word_tokenizer(tokenizer_json: str):
 
     whole = Tokenizer.from_str(tokenizer_json)
 
-    def library(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    def library(texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
-    stems: dict[bytes, list[int]] = {}
+    stems: dict[bytes, bytes] = {}
 
-    def many(words: list[bytes]) -> list[list[int]]:
+    def many(words: list[bytes]) -> list[bytes]:
         marked = lambda w: len(w) > 1 and w[-1] in b".,!?;:" and 97 <= w[-2] <= 122
         parts = [(w[:-1], w[-1:]) if marked(w) else (w,) for w in words]
-        if len(stems) > 300_000:
+        if len(stems) > 500_000:
             stems.clear()
         new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in stems]
         stems.update(zip(new, library([p.decode("utf-8") for p in new])))
@@ -156,7 +156,7 @@ def word_tokenizer(tokenizer_json: str):
         ids = np.split(flat, np.cumsum(per)[:-1]) if len(texts) else []
         for i, s in enumerate(special):
             if s:
-                ids[i] = np.array(library([texts[i]])[0], np.int32)
+                ids[i] = np.frombuffer(library([texts[i]])[0], np.int32)
         return ids
 
     return encode

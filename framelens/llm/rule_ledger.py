@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framelens.llm.common import group_sums, lengths, mapped, words
+from framelens.llm.common import group_sums, in_slices, lengths, mapped
 
 WINDOW = 8
 _SPACE = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
@@ -114,7 +114,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``failed`` (one bit per rule) of every row; a null text measures as empty."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in in_slices(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **measure(pdf["text"])})
 
     measured = mapped(docs.select("doc_id", "text"), run,

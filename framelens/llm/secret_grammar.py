@@ -144,7 +144,8 @@ def infer(texts: Iterable[str]) -> Automaton | None:
 
 @dataclass(frozen=True)
 class Grammar:
-    """Credential automata and the ordinary one; without any, no candidate is a secret by its format."""
+    """Credential automata and the ordinary one; without any, no candidate is a secret by its format. A run of digits
+    is at least as ordinary as evenly spread digits, also where the ordinary sample holds few numbers."""
 
     credentials: tuple[Automaton, ...]
     ordinary: Automaton | None
@@ -152,7 +153,10 @@ class Grammar:
     def ratio(self, text: str) -> float:
         if not self.credentials or self.ordinary is None:
             return float("-inf")
-        return max(a.log_likelihood(text) for a in self.credentials) - self.ordinary.log_likelihood(text)
+        ordinary = self.ordinary.log_likelihood(text)
+        if text.isdigit():
+            ordinary = max(ordinary, len(text) * _UNIFORM[0])
+        return max(a.log_likelihood(text) for a in self.credentials) - ordinary
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:

@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from framelens.llm.common import Memo, group_sums, lengths, lower_words, mapped, remainder
+from framelens.llm.common import BATCH_ROWS, Memo, group_sums, lengths, lower_words, mapped, remainder
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 16, 3, 5
-PER_CLASS = {0: 4000, 1: 2000}
-EPOCHS, BATCH, RATE, SCALE, DECAY = 8, 64, 0.02, 20.0, 1.0
+PER_CLASS = {0: 3000, 1: 1500}
+STEPS, BATCH, RATE, SCALE, DECAY = 750, 64, 0.02, 20.0, 1.0
 #: Buckets that fewer texts of the sample have are left out: they would only help to learn single texts by heart.
 MIN_TEXTS = 10
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -74,36 +74,35 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
     for at, _ in bags:
         seen[at] += 1
     kept = np.flatnonzero(seen >= MIN_TEXTS)
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
     rows = [(place[at][place[at] >= 0], w[place[at] >= 0] * SCALE) for at, w in bags]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32),
               rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(n)
-        for lo in range(0, n, BATCH):
-            picked = order[lo:lo + BATCH]
-            a = np.zeros((len(picked), len(kept)), np.float32)
-            for i, r in enumerate(picked):
-                a[i, rows[r][0]] = rows[r][1]
-            e, v, b = params
-            h = a @ e
-            z = h @ v + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(picked)), labels[picked]] -= 1
-            p /= len(picked)
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            scaled = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for q, g, m, s in zip(params, [a.T @ (p @ v.T), h.T @ p, p.sum(0)], first, second):
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                q *= 1 - rate * DECAY
-                q -= scaled * m / (np.sqrt(s) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if not len(order):
+            order = rng.permutation(n)
+        picked, order = order[:BATCH], order[BATCH:]
+        a = np.zeros((len(picked), len(kept)), np.float32)
+        for i, r in enumerate(picked):
+            a[i, rows[r][0]] = rows[r][1]
+        e, v, b = params
+        h = a @ e
+        z = h @ v + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(picked)), labels[picked]] -= 1
+        p /= len(picked)
+        rate = RATE * (1 - step / (STEPS + 1))
+        scaled = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for q, g, m, s in zip(params, [a.T @ (p @ v.T), h.T @ p, p.sum(0)], first, second):
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            q *= 1 - rate * DECAY
+            q -= scaled * m / (np.sqrt(s) + 1e-8)
     e, v, b = params
     bucket[kept] = SCALE * (e @ (v[:, 1] - v[:, 0]))
     odds = lambda x: np.log(x / (1 - x))
@@ -143,6 +142,10 @@ def scorer(model: Toxicity, spark):
         memo = Memo(shared.value.word)
 
         def scores(texts) -> np.ndarray:
+            parts = [texts[lo:lo + BATCH_ROWS] for lo in range(0, len(texts), BATCH_ROWS)]
+            return np.concatenate([few(p) for p in parts]) if parts else np.zeros(0)
+
+        def few(texts) -> np.ndarray:
             found = [lower_words(t) for t in texts]
             sizes = lengths(found)
             values = np.fromiter((memo[w] for ws in found for w in ws), np.float64, sizes.sum())
