@@ -54,15 +54,19 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
     def _transform(self, df: DataFrame) -> DataFrame:
         gamma, width, seed = (self.getOrDefault(p) for p in (self.gamma, self.width, self.seed))
 
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # once per worker, by input width
+
         @F.pandas_udf("array<double>")
         def project(vec: pd.Series) -> pd.Series:
             if len(vec) == 0:
                 return pd.Series([], dtype=object)
             x = np.vstack(vec.to_numpy())
-            draw = np.random.default_rng(seed)
-            w = draw.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], width))
-            z = math.sqrt(2.0 / width) * np.cos(x @ w + draw.uniform(0.0, 2.0 * math.pi, width))
-            return pd.Series(list(z))
+            if x.shape[1] not in drawn:
+                draw = np.random.default_rng(seed)
+                w = draw.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], width))
+                drawn[x.shape[1]] = w, draw.uniform(0.0, 2.0 * math.pi, width)
+            w, shift = drawn[x.shape[1]]
+            return pd.Series(list(math.sqrt(2.0 / width) * np.cos(x @ w + shift)))
 
         return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
 
@@ -216,6 +220,10 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Fit, dict]:
 
 # --- builders ------------------------------------------------------------------------------------------------
 
+#: Training rows per partition; an iterative fit of a small side would spend its time on starting tasks.
+ROWS_PER_PARTITION = 50_000
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Training rows with encoded labels and weights."""
@@ -233,11 +241,14 @@ def prepare(train: DataFrame, features: list[str], weighted: bool) -> Prepared:
     weight = balanced_weight(counts) if weighted else F.lit(1.0)
     rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], "label",
                         code.cast("double").alias("code"), weight.alias("weight"))
-    return Prepared(rows, features, classes, sum(counts.values()))
+    n = sum(counts.values())
+    # Written once for all passes of the fit, in partitions sized to the number of rows.
+    held = stage(rows.repartition(max(1, -(-n // ROWS_PER_PARTITION))))
+    return Prepared(held, features, classes, n)
 
 
 def _pipeline(p: Prepared, estimator, output: str, scaled: bool = False, between: list | None = None) -> PipelineFit:
-    assemble = VectorAssembler(inputCols=p.features, outputCol="_raw" if scaled else "_features", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=p.features, outputCol="_raw" if scaled else "_features", handleInvalid="error")
     stages = [assemble]
     if scaled:
         stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled" if between else "_features", withMean=True, withStd=True))
@@ -284,7 +295,7 @@ def _kernel_svm(p: Prepared, o: dict) -> PipelineFit:
 def _ada(p: Prepared, o: dict) -> BoostFit:
     """SAMME (Zhu et al., 2009) over shallow trees; each round reweights the rows by a column expression."""
     rate, k = o["rate"], len(p.classes)
-    assemble = VectorAssembler(inputCols=p.features, outputCol="_features", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=p.features, outputCol="_features", handleInvalid="error")
     total = p.rows.agg(F.sum("weight")).first()[0]
     rows = stage(assemble.transform(p.rows).withColumn("weight", F.col("weight") / F.lit(float(total))))
     rounds, gains, weights = [], np.zeros(len(p.features)), 0.0

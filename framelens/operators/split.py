@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framelens.operators.series import CHUNK_ROWS, Series, scan
+from framelens.operators.series import CHUNK_ROWS, Series, scan, stage
 
 HASH_BITS = 60
+MOST_ROWS = 2**17 - 1
 
 
 def with_group_id(windows: DataFrame, parent: str = "file_stem") -> DataFrame:
@@ -19,15 +20,20 @@ def hash_order(value: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), value)), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _dealt(groups: DataFrame, stratum: str, seed: int, limit: int = CHUNK_ROWS) -> DataFrame:
-    """Position of each group in its stratum's shuffled order and the size of the stratum."""
+def _dealt(groups: DataFrame, stratum: str, order: Column, limit: int = CHUNK_ROWS) -> DataFrame:
+    """Position of each group in its stratum by ``order`` (60 bits) and the size of the stratum."""
     n = groups.count()
     width = None if n <= limit else 2**HASH_BITS // -(-n // limit)
-    shuffled = groups.withColumn("_h", hash_order(F.col("group_id"), seed))
-    return scan(shuffled, Series((stratum,), "_h", width), running={"_pos": F.lit(1)},
+    return scan(groups.withColumn("_h", order), Series((stratum,), "_h", width), running={"_pos": F.lit(1)},
                 totals={"_size": ("sum", F.lit(1))})
 
 
+def large_first(seed: int) -> Column:
+    """Groups with more rows come first, equal ones in shuffled order; the upper 17 bits hold the rows."""
+    rows = F.lit(MOST_ROWS) - F.least(F.col("rows"), F.lit(MOST_ROWS))
+    return rows * F.lit(2**43) + F.shiftright(hash_order(F.col("group_id"), seed), 17)
+
+
 def fold_count(dataset: DataFrame, most: int = 5) -> int:
     """Folds that every label can fill: at most ``most``, at most its number of groups."""
     per_label = dataset.select("label", "group_id").distinct().groupBy("label").count()
@@ -35,16 +41,58 @@ def fold_count(dataset: DataFrame, most: int = 5) -> int:
 
 
 def stratified_group_folds(dataset: DataFrame, k: int, seed: int = 42, limit: int = CHUNK_ROWS) -> DataFrame:
-    """Fold of every group: groups with the same label set are shuffled and dealt to the folds in turn."""
-    groups = dataset.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("stratum"))
-    dealt = _dealt(groups, "stratum", seed, limit)
-    return dealt.select("group_id", "stratum", ((F.col("_pos") - 1) % k).cast("int").alias("fold"))
+    """Fold of every group: groups of one label set are dealt to and fro over the folds, those with most rows first,
+    and a label set goes on where the one before it stopped, so that small sets do not pile up in the first fold."""
+    groups = dataset.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("stratum"),
+                                             F.count(F.lit(1)).alias("rows"))
+    dealt = _dealt(groups, "stratum", large_first(seed), limit)
+    # One row per label set.
+    sizes = dealt.select("stratum", "_size").distinct()
+    ahead = F.sum("_size").over(Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("stratum", F.coalesce(ahead, F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.col("_pos") - 1
+    turn = at % k
+    fold = F.when(F.floor(at / k) % 2 == 0, turn).otherwise(F.lit(k - 1) - turn)
+    return dealt.join(starts, "stratum").select("group_id", "stratum", "rows", fold.cast("int").alias("fold"))
+
+
+def both_sides(folds: DataFrame, seed: int = 42) -> DataFrame:
+    """``group_id, test``: fold 0 is the test side, and every label of two or more groups is on both sides.
+
+    A label that one side lacks gets its smallest group moved there whose other labels stay on both sides too; a label
+    costs one small query and there are few labels.
+    """
+    sides = stage(folds.withColumn("test", F.col("fold") == 0))
+    moved: dict[str, bool] = {}
+    while True:
+        now = sides.withColumn("test", F.coalesce(_looked_up(moved), F.col("test"))) if moved else sides
+        per = now.select(F.explode(F.split("stratum", r"\+")).alias("label"), "test").groupBy("label").agg(
+            F.count_if("test").alias("test"), F.count_if(~F.col("test")).alias("train")).collect()
+        lacking = sorted((r["label"], r["test"] == 0) for r in per if r["test"] + r["train"] > 1 and 0 in (r["test"], r["train"]))
+        found = None
+        for label, to_test in lacking:
+            spare = [r["label"] for r in per if r["train" if to_test else "test"] > 1]
+            found = now.filter((F.col("test") != F.lit(to_test)) & F.array_contains(F.split("stratum", r"\+"), label)
+                               & (F.size(F.array_except(F.split("stratum", r"\+"), F.array(*[F.lit(s) for s in spare]))) == 0)
+                               ).orderBy("rows", hash_order(F.col("group_id"), seed)).select("group_id").first()
+            if found:
+                moved[found["group_id"]] = to_test
+                break
+        if found is None:
+            return now.select("group_id", "test")
+
+
+def _looked_up(moved: dict[str, bool]) -> Column:
+    out = F.lit(None).cast("boolean")
+    for group, to in moved.items():
+        out = F.when(F.col("group_id") == group, F.lit(to)).otherwise(out)
+    return out
 
 
 def fallback_test_groups(dataset: DataFrame, seed: int = 42, share: float = 0.2, limit: int = CHUNK_ROWS) -> DataFrame:
     """Per label with two or more groups, about ``share`` of its groups but never all of them."""
     groups = dataset.select("label", "group_id").distinct()
-    dealt = _dealt(groups, "label", seed, limit)
+    dealt = _dealt(groups, "label", hash_order(F.col("group_id"), seed), limit)
     quota = F.least(F.greatest(F.lit(1), F.rint(F.col("_size") * F.lit(share)).cast("long")), F.col("_size") - 1)
     return dealt.filter(F.col("_pos") <= quota).select("group_id").distinct()
 
@@ -53,7 +101,7 @@ def group_split(dataset: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFram
     """Train and test rows; no group is on both sides."""
     k = fold_count(dataset)
     if k >= 2:
-        test_groups = stratified_group_folds(dataset, k, seed).filter("fold = 0").select("group_id")
+        test_groups = both_sides(stratified_group_folds(dataset, k, seed), seed).filter("test").select("group_id")
     else:
         test_groups = fallback_test_groups(dataset, seed)
     train = dataset.join(test_groups, "group_id", "left_anti")

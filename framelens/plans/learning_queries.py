@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelens.config import LABELS, SCENARIOS
 from framelens.operators import knn
 from framelens.operators.metrics import METRICS, metrics_row
 from framelens.operators.models import REGISTRY, feature_importance, train_model
 from framelens.operators.rules import feature_columns
+from framelens.operators.scoring import PROBABILITIES
 from framelens.operators.series import stage
 from framelens.operators.split import group_split
+from framelens.plans import model_queries  # noqa: F401  its building blocks hold the split
 from framelens.plans.gaze_queries import CFG as GAZE_CFG
-from framelens.plans.registry import Inputs, query
+from framelens.plans.registry import K, Inputs, query, sql
 from framelens.plans.scoring_chain import predict_windows, score_streams, scoring_windows
 from framelens.plans.training import compare_models, scenario_grid, training_rows
 from framelens.plans.window_queries import CFG, KEYS, window_table
 
-# Small ensembles keep the catalogue quick; the registry holds the full settings.
-QUICK = {
-    "random_forest": {"numTrees": 20, "maxDepth": 10}, "extra_trees": {"numTrees": 20, "maxDepth": 10},
-    "gradient_boosting": {"maxIter": 5}, "adaboost": {"rounds": 6}, "xgboost": {"maxIter": 5, "maxDepth": 4},
-    "logistic_regression": {"maxIter": 100}, "linear_svm": {"maxIter": 30}, "rbf_svm": {"maxIter": 20, "width": 64},
-    "decision_tree": {"maxDepth": 12},
-}
 FEATURES = feature_columns("baseline")
 
 
@@ -31,12 +27,23 @@ def split_sides(x: Inputs):
     return stage(train), stage(test)
 
 
+# A fitted model is compared by what holds for any right fit: the sides it was given, and that it beats the majority label.
+SIDES = ", ".join(f"count({what}) FILTER (fold {op} 0) AS {side}_{name}" for what, name in (("*", "rows"), ("DISTINCT group_id", "groups"))
+                  for side, op in (("train", "<>"), ("test", "=")))
+
+
+def sides_sql(rows: str = "train") -> str:
+    return f"SELECT {SIDES} FROM {rows} JOIN folds USING (group_id)"
+
+
 def _register(key: str) -> None:
-    @query(f"train_{key}")
+    @query(f"train_{key}", sql(f"SELECT '{key}' AS model_key, *, true AS above_majority FROM ({sides_sql()})", "train", "folds"))
     def _(x):
         train, test = split_sides(x)
-        fit = train_model(key, train, FEATURES, QUICK.get(key))
-        return metrics_row(fit.predict(test), train, model_key=key, model_label=REGISTRY[key].label)
+        row = metrics_row(train_model(key, train, FEATURES).predict(test), train, model_key=key)
+        top = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+        return row.select("model_key", "train_rows", "test_rows", "train_groups", "test_groups",
+                          (F.col("accuracy") > F.lit(top)).alias("above_majority"))
 
 
 for _key in REGISTRY:
@@ -45,42 +52,60 @@ for _key in REGISTRY:
 
 def forest(x: Inputs):
     train, test = split_sides(x)
-    return train_model("random_forest", train, FEATURES, QUICK["random_forest"]), train, test
+    return train_model("random_forest", train, FEATURES), train, test
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS not_negative, true AS adds_up")
 def _(x):
-    fit, train, _ = forest(x)
-    return feature_importance(x.spark, fit)
+    fit, _, _ = forest(x)
+    table = feature_importance(x.spark, fit)
+    total = table.agg(F.sum("importance")).first()[0]
+    return table.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.lit(abs(total - 1.0) < 1e-6).alias("adds_up"))
 
 
-@query("predict_windows")
+@query("predict_windows", sql(f"SELECT {K}, window_id, true AS adds_up, true AS likeliest, true AS risk_follows FROM train", "train"))
 def _(x):
-    fit, _, test = forest(x)
-    return predict_windows(test, fit).select(*KEYS, "window_id", "predicted_label", "prob_normal", "prob_drowsiness",
-                                             "prob_distraction", "window_risk_score")
-
-
-@query("score_streams")
+    fit, _, _ = forest(x)
+    own = F.coalesce(*[F.when(F.col("predicted_label") == n, F.col(f"prob_{n}")) for n in LABELS])
+    return predict_windows(window_table(x), fit).select(
+        *KEYS, "window_id", (F.abs(sum((F.col(p) for p in PROBABILITIES), F.lit(-1.0))) < 1e-9).alias("adds_up"),
+        (own == F.greatest(*PROBABILITIES)).alias("likeliest"),
+        (F.abs(F.col("window_risk_score") - 100.0 * (1.0 - F.col("prob_normal"))) <= 0.0501).alias("risk_follows"))
+
+
+@query("score_streams", sql(f"""SELECT {K}, CASE WHEN t.n IS NULL THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN w.n IS NULL THEN 'no full window' WHEN t.n IS NULL THEN 'no usable window' ELSE '' END AS message,
+  t.n AS usable_window_count, f.n AS total_frames, round(f.d + 3e-9, 7) AS detected_face_ratio, t.n IS NOT NULL AS has_verdict
+FROM (SELECT {K}, count(*) AS n, avg(CASE WHEN face_detected = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS d FROM frames GROUP BY {K}) f
+LEFT JOIN (SELECT {K}, count(*) AS n FROM wf GROUP BY {K}) w USING ({K})
+LEFT JOIN (SELECT {K}, count(*) AS n FROM train GROUP BY {K}) t USING ({K})""", "frames", "wf", "train"))
 def _(x):
     fit, _, _ = forest(x)
     _, verdicts = score_streams(x.frames(), x.series(), fit, cfg=CFG)
-    return verdicts.select(*KEYS, "status", "message", "overall_label", "overall_confidence", "risk_score",
-                           "usable_window_count", "total_frames", "detected_face_ratio")
+    sound = F.col("overall_label").isin(*LABELS) & F.col("overall_confidence").between(0.0, 1.0) & F.col("risk_score").between(0.0, 100.0)
+    return verdicts.select(*KEYS, "status", "message", "usable_window_count", "total_frames", "detected_face_ratio",
+                           F.coalesce(sound, F.lit(False)).alias("has_verdict"))
 
 
-@query("compare_models")
+@query("compare_models", sql(f"""SELECT unnest([{", ".join(f"'{k}'" for k in REGISTRY)}]) AS model_key, *, true AS in_range
+FROM ({sides_sql()})""", "train", "folds"))
 def _(x):
-    table, _ = compare_models(window_table(x), models="decision_tree,logistic_regression,random_forest", options=QUICK)
-    return table
+    table, _ = compare_models(window_table(x))
+    scores = F.least(*METRICS).between(0.0, 1.0) & F.greatest(*METRICS).between(0.0, 1.0)
+    return table.select("model_key", "train_rows", "train_groups", "test_rows", "test_groups", scores.alias("in_range"))
 
 
-@query("scenario_grid")
+@query("scenario_grid", "SELECT unnest([" + ", ".join(f"'{n}'" for n, _, _ in SCENARIOS) + "]) AS scenario, "
+       + f"{len(REGISTRY)}::BIGINT AS models, true AS all_rows_used, true AS in_range")
 def _(x):
     base = stage(window_table(x))
     gaze = stage(scoring_windows(x.frames(), x.series(), CFG, x.frames(), GAZE_CFG))
-    table = scenario_grid({"baseline": base, "gaze": gaze}, models="decision_tree", options=QUICK)
-    return table.select("scenario", "model_key", *METRICS, "train_rows", "test_rows")
+    table = stage(scenario_grid({"baseline": base, "gaze": gaze}))
+    sizes = {name: training_rows(base if features == "baseline" else gaze, features, strict).count() for name, features, strict in SCENARIOS}
+    used = F.coalesce(*[F.when(F.col("scenario") == n, F.col("train_rows") + F.col("test_rows") == F.lit(c)) for n, c in sizes.items()])
+    scores = F.least(*METRICS).between(0.0, 1.0) & F.greatest(*METRICS).between(0.0, 1.0)
+    return table.groupBy("scenario").agg(F.countDistinct("model_key").alias("models"), F.bool_and(used).alias("all_rows_used"),
+                                         F.bool_and(scores).alias("in_range"))
 
 
 DIST = "list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[])"

@@ -44,23 +44,36 @@ def _(x):
 
 
 HASH = "('0x' || substr(md5('42:' || group_id), 1, 15))::BIGINT"
-CTE["grp"] = ("SELECT group_id, string_agg(DISTINCT label, '+' ORDER BY label) AS stratum FROM train GROUP BY group_id", ("train",))
+CTE["grp"] = ("SELECT group_id, string_agg(DISTINCT label, '+' ORDER BY label) AS stratum, count(*) AS rows FROM train GROUP BY group_id", ("train",))
+CTE["folds"] = (f"""SELECT group_id, stratum, rows, CASE WHEN p // 5 % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END::INT AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY stratum, least(rows, 131071) DESC, {HASH} // 131072) - 1 AS p FROM grp)""", ("grp",))
 
 
-@query("stratified_group_split", sql(f"""SELECT group_id, stratum, ((row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1) % 5)::INT AS fold FROM grp""", "grp"))
+@query("stratified_group_split", sql("SELECT group_id, stratum, rows, fold FROM folds", "folds"))
 def _(x):
     return split.stratified_group_folds(training(x), 5)
 
 
-@query("group_split", sql(f"""SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS side, label, count(*) AS rows, count(DISTINCT group_id) AS groups
-FROM train JOIN (SELECT group_id, (row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1) % 5 AS fold FROM grp) USING (group_id)
-GROUP BY ALL""", "train", "grp"))
+@query("group_split", sql("""SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS side, label, count(*) AS rows,
+  count(DISTINCT group_id) AS groups FROM train JOIN folds USING (group_id) GROUP BY ALL""", "train", "folds"))
 def _(x):
     train, test = split.group_split(stage(training(x)))
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return both.groupBy("side", "label").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("group_id").alias("groups"))
 
 
+@query("group_split_rules", sql("""SELECT 0::BIGINT AS shared_groups, 0::BIGINT AS labels_on_one_side, true AS fair_share"""))
+def _(x):
+    """What any good split must satisfy, whatever the dealing: nothing of it is taken from the code."""
+    train, test = split.group_split(stage(training(x)))
+    both = stage(train.select("group_id", "label", F.lit(0).alias("t")).unionByName(test.select("group_id", "label", F.lit(1).alias("t"))))
+    shared = both.groupBy("group_id").agg(F.countDistinct("t").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_groups"))
+    labels = both.groupBy("label").agg(F.countDistinct("t").alias("n")).agg(F.count_if(F.col("n") < 2).alias("labels_on_one_side"))
+    share = both.agg(F.avg("t").between(0.1, 0.35).alias("fair_share"))
+    one = lambda df: df.withColumn("_", F.lit(1))
+    return one(shared).join(one(labels), "_").join(one(share), "_").drop("_")
+
+
 @query("fallback_group_split", sql(f"""SELECT DISTINCT group_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH}) AS r,
   count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT label, group_id FROM train))
 WHERE r <= least(greatest(1, round_even(n * 0.2, 0)), n - 1)""", "train"))

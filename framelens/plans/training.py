@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from framelens.config import SCENARIOS
@@ -18,20 +22,35 @@ def training_rows(windows: DataFrame, feature_set: str, high_confidence: bool) -
     return high_confidence_filter(rows) if high_confidence else rows
 
 
+#: Models fitted at a time: a fit of a small table leaves most of a cluster idle.
+PARALLEL = 8
+
+
+def _at_once(jobs: list[Callable]) -> list:
+    with ThreadPool(min(PARALLEL, max(1, len(jobs)))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+
+
+def _one(key: str, train: DataFrame, test: DataFrame, feature_set: str, high_confidence: bool, options: dict | None):
+    fit = train_model(key, train, feature_columns(feature_set), (options or {}).get(key))
+    row = stage(metrics_row(fit.predict(test), train, model_key=key, model_label=REGISTRY[key].label,
+                            feature_set=feature_set, use_high_confidence=high_confidence))
+    return fit, row
+
+
+def _sides(windows: DataFrame, feature_set: str, high_confidence: bool, seed: int) -> tuple[DataFrame, DataFrame]:
+    train, test = group_split(stage(training_rows(windows, feature_set, high_confidence)), seed)
+    return stage(train), stage(test)
+
+
 def compare_models(windows: DataFrame, feature_set: str = "baseline", high_confidence: bool = False,
                    models: str | list[str] = "all", options: dict[str, dict] | None = None, seed: int = 42,
                    ) -> tuple[DataFrame, dict[str, Fit]]:
     """Every model on the same split, best first."""
     wanted = resolve_models(models)
-    features = feature_columns(feature_set)
-    train, test = group_split(stage(training_rows(windows, feature_set, high_confidence)), seed)
-    train, test = stage(train), stage(test)
-    fits, rows = {}, []
-    for key in wanted:
-        fits[key] = train_model(key, train, features, (options or {}).get(key))
-        rows.append(metrics_row(fits[key].predict(test), train, model_key=key, model_label=REGISTRY[key].label,
-                                feature_set=feature_set, use_high_confidence=high_confidence))
-    return rank_models(stage(align_union(rows))), fits
+    train, test = _sides(windows, feature_set, high_confidence, seed)
+    done = _at_once([lambda k=k: _one(k, train, test, feature_set, high_confidence, options) for k in wanted])
+    return rank_models(stage(align_union([row for _, row in done]))), {k: fit for k, (fit, _) in zip(wanted, done)}
 
 
 def scenario_grid(tables: dict[str, DataFrame], scenarios: list[str] | None = None, models: str | list[str] = "all",
@@ -41,11 +60,15 @@ def scenario_grid(tables: dict[str, DataFrame], scenarios: list[str] | None = No
     unknown = set(scenarios or []) - set(known)
     if unknown:
         raise ValueError(f"unknown scenario: {', '.join(sorted(unknown))}")
-    results = {}
+    wanted, results, jobs = resolve_models(models), {}, []
     for name, feature_set, high_confidence in SCENARIOS:
         if scenarios and name not in scenarios:
             continue
-        table = tables.get(feature_set)
-        results[name] = None if table is None else compare_models(
-            table, feature_set, high_confidence, models, options, seed)[0]
-    return master_summary(results)
+        results[name] = None
+        if feature_set in tables:
+            train, test = _sides(tables[feature_set], feature_set, high_confidence, seed)
+            jobs += [(name, lambda k=k, a=(train, test, feature_set, high_confidence, options): _one(k, *a)) for k in wanted]
+    rows: dict[str, list[DataFrame]] = {}
+    for (name, _), (_, row) in zip(jobs, _at_once([job for _, job in jobs])):
+        rows.setdefault(name, []).append(row)
+    return master_summary({name: rank_models(stage(align_union(rows[name]))) if name in rows else None for name in results})
