@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from framelens.config import LABELS, MODALITIES
 
+#: Scheme and authority of a path, such as ``file:///`` or ``hdfs://host:port/``.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
+
 
 def label_of(name: Column) -> Column:
     """Ordered name parts and the label each one means."""
@@ -31,7 +36,8 @@ def source_group_of(stem: Column) -> Column:
 
 def stream_keys(path: Column, root: str, suffix: str = "") -> dict[str, Column]:
     """Label, modality, stem, relative path and error of ``root/label/modality/.../name.ext``."""
-    relative = F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), "^/*" + _literal(root.strip("/")) + "/*", "")
+    plain = re.sub(_SCHEME, "/", root).strip("/")
+    relative = F.regexp_replace(F.regexp_replace(path, _SCHEME, "/"), "^/*" + _literal(plain) + "/*", "")
     parts = F.split(relative, "/")
     name = F.element_at(parts, -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")

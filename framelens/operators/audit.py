@@ -61,7 +61,7 @@ def audit_window_table(actual: DataFrame, expected: DataFrame, sources: DataFram
               .when(F.col("_odd"), "source_not_divisible")
               .when(F.col("window_row_count") != expected_rows, "row_count_mismatch")
               .when(F.col("mismatch_count") > 0, "value_mismatch").otherwise("exact_match"))
-    problem = (F.when(F.col("status") == "row_count_mismatch", "Window row count does not match expected row count.")
+    problem = (F.when(F.col("status") == "row_count_mismatch", "other number of windows than expected")
                .when(F.col("status") == "value_mismatch", F.concat(
                    F.lit("Window "), F.col("_p.position").cast("string"), F.lit(", column '"), F.col("_p.column"),
                    F.lit("'"))).otherwise(""))

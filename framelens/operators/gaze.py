@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framelens.config import EVENT_KINDS, GazeConfig
 from framelens.functions.numeric import count_if, half_even
 from framelens.operators.clean import valid_flag
-from framelens.operators.series import Series, attach, median_positive_step, settle
+from framelens.operators.series import Series, attach, line_up, median_positive_step, settle
 from framelens.operators.windows import count_windows_strict, time_windows
 
 
@@ -34,7 +34,7 @@ def with_sampling(samples: DataFrame, s: Series = Series(), cfg: GazeConfig = Ga
     if s.chunk_rows is not None:
         samples = settle(samples, s)
         return attach(samples, s, sample_period(samples, s, cfg).join(frame_step(samples, s), list(s.keys)))
-    step = lambda c: (F.col(c) - F.lag(c).over(Window.partitionBy(*s.keys).orderBy(F.col(s.order).asc_nulls_last()))).cast("double")
+    step = lambda c: (F.col(c) - F.lag(c).over(Window.partitionBy(*s.keys).orderBy(*line_up(s)))).cast("double")
     whole = Window.partitionBy(*s.keys)
     median = lambda c: F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(0.5)).over(whole)
     stepped = samples.withColumns({"_dt": step("time_sec"), "_df": step(s.order)})
@@ -49,7 +49,7 @@ def min_samples(period: Column, cfg: GazeConfig) -> Column:
 
 def _cell(s: Series) -> Window:
     """Valid rows of one window in frame order; invalid rows form their own cell and are never looked at."""
-    return Window.partitionBy(*s.keys, "window_id", "valid").orderBy(s.order)
+    return Window.partitionBy(*s.keys, "window_id", "valid").orderBy(*line_up(s))
 
 
 def segments(placed: DataFrame, s: Series = Series()) -> DataFrame:
@@ -183,7 +183,8 @@ EVENT_DIGITS = {"mean_duration_ms": 3, "max_duration_ms": 3, "ratio": 4}
 
 def gaze_table(runs: DataFrame, s: Series, cfg: GazeConfig, start: Column, end: Column, rounded: bool = True) -> DataFrame:
     """One row per window; the features of a window without a valid row are null."""
-    point = F.struct(F.col(s.order).alias("at"), F.col("new_segment").alias("cut"),
+    tie = [F.col(s.tie).alias("tie")] if s.tie else []
+    point = F.struct(F.col(s.order).alias("at"), *tie, F.col("new_segment").alias("cut"),
                      F.col("iris_x_norm").alias("x"), F.col("iris_y_norm").alias("y"))
     table = runs.groupBy(*s.keys, "window_id").agg(
         start.alias("window_start_time"), end.alias("window_end_time"),

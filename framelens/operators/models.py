@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framelens.operators import knn
 from framelens.operators.scoring import complete_probabilities
-from framelens.operators.series import stage
+from framelens.operators.series import drop_stage, stage
 from framelens.operators.split import balanced_weight, class_counts
 
 SEED = 42
@@ -298,7 +298,7 @@ def _ada(p: Prepared, o: dict) -> BoostFit:
     assemble = VectorAssembler(inputCols=p.features, outputCol="_features", handleInvalid="error")
     total = p.rows.agg(F.sum("weight")).first()[0]
     rows = stage(assemble.transform(p.rows).withColumn("weight", F.col("weight") / F.lit(float(total))))
-    rounds, gains, weights = [], np.zeros(len(p.features)), 0.0
+    held, rounds, gains, weights = rows, [], np.zeros(len(p.features)), 0.0
     for r in range(o["rounds"]):
         model = DecisionTreeClassifier(**COMMON, maxDepth=o["depth"], seed=SEED + r).fit(rows)
         tree = _tree(model._call_java("rootNode"), p.features)
@@ -315,7 +315,9 @@ def _ada(p: Prepared, o: dict) -> BoostFit:
             break
         rows = rows.withColumn("weight", F.col("weight") / F.lit(float(mass)) * F.exp(F.lit(alpha) * missed))
         if (r + 1) % 8 == 0:
-            rows = stage(rows)
+            before, rows = held, stage(rows)
+            held = rows
+            drop_stage(before)
     return BoostFit(rounds, p.features, p.classes, list(gains / weights) if weights else list(gains))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from framelens.config import LABELS, PRESETS
 
 PROBABILITIES = tuple(f"prob_{label}" for label in LABELS)
+# Columns of the result tables.
 TIMELINE = ("window_id", "window_start_time", "window_end_time", "predicted_label", *PROBABILITIES,
             "window_risk_score", "perclos_percent", "mean_ear", "max_abs_yaw")
 

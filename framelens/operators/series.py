@@ -18,17 +18,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from framelens.config import STREAM_KEYS
 
 CHUNK_ROWS = 262_144
+MOST_PIECES = 20_000
 _CHUNK = "_chunk"
 _LAST_CHUNK = 2**62
 
 
 @dataclass(frozen=True)
 class Series:
-    """Keys and order of the series in a table; ``chunk_rows=None`` means all series are known to be short."""
+    """Keys and order of the series in a table; ``chunk_rows=None`` means all series are known to be short.
+
+    ``tie`` names a column that orders rows of equal or missing order value, so that both plans see one order.
+    """
 
     keys: tuple[str, ...] = STREAM_KEYS
     order: str = "frame"
     chunk_rows: int | None = CHUNK_ROWS
+    tie: str | None = None
 
     def by(self, *extra: str, order: str | None = None) -> "Series":
         return replace(self, keys=self.keys + extra, order=order or self.order)
@@ -44,7 +49,8 @@ class Series:
 def measure(df: DataFrame, keys: tuple[str, ...] = STREAM_KEYS, order: str = "frame",
             limit: int = CHUNK_ROWS) -> Series:
     """Series description of ``df`` whose plan choice rests on counted rows."""
-    return Series(keys, order, None if longest(df, keys, limit) <= limit else limit)
+    tie = "ordinal" if "ordinal" in df.columns else None
+    return Series(keys, order, None if longest(df, keys, limit) <= limit else limit, tie)
 
 
 def scan(df: DataFrame, s: Series, *, running: dict[str, Column] | None = None,
@@ -62,12 +68,12 @@ def scan(df: DataFrame, s: Series, *, running: dict[str, Column] | None = None,
     return plan(df, s, folds, totals or {}, previous or {})
 
 
-def _order(s: Series) -> Column:
-    return F.col(s.order).asc_nulls_last()
+def line_up(s: Series) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in (s.order, s.tie) if c]
 
 
 def _scan_short(df, s, folds, totals, previous):
-    ordered = Window.partitionBy(*s.keys).orderBy(_order(s))
+    ordered = Window.partitionBy(*s.keys).orderBy(*line_up(s))
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*s.keys)
     return df.select(
@@ -81,6 +87,8 @@ def _scan_short(df, s, folds, totals, previous):
 def _scan_chunked(df, s, folds, totals, previous):
     keyed = df.withColumn(_CHUNK, s.chunk())
     position = F.coalesce(F.col(s.order), F.lit(_LAST_CHUNK))
+    if s.tie:
+        position = F.struct(position, F.col(s.tie))
     parts = keyed.groupBy(*s.keys, _CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[fn(c).alias(f"_r_{n}") for n, (fn, c) in folds.items()],
@@ -96,7 +104,7 @@ def _scan_chunked(df, s, folds, totals, previous):
         *[F.lag(f"_p_{n}").over(chunks).alias(f"_p_{n}") for n in previous],
         *[getattr(F, fn)(f"_t_{n}").over(whole).alias(n) for n, (fn, _) in totals.items()],
     )
-    inner = Window.partitionBy(*s.keys, _CHUNK).orderBy(_order(s))
+    inner = Window.partitionBy(*s.keys, _CHUNK).orderBy(*line_up(s))
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = keyed.select(
         "*",
@@ -145,8 +153,9 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "frame", li
     # A table of n rows has at most n / limit long keys, so their list is short by construction.
     long_keys = stage(sizes.select(*keys))
     rest = plain(df.join(long_keys, list(keys), "left_anti"))
-    rows = df.join(F.broadcast(long_keys) if long_keys.count() <= 1_000_000 else long_keys, list(keys), "left_semi")
-    pieces = max(2, -(-sizes.agg(F.sum("count")).first()[0] // limit))
+    rows = df.join(long_keys, list(keys), "left_semi")
+    # Offsets do not depend on the size of a piece, so their number is bounded.
+    pieces = min(MOST_PIECES, max(2, -(-sizes.agg(F.sum("count")).first()[0] // limit)))
     lined = rows.repartitionByRange(pieces, *keys, *by).sortWithinPartitions(
         *[F.col(k) for k in keys], *[c.asc_nulls_last() for c in by])
     # The written copy fixes which row lies in which partition and at which place.
@@ -160,12 +169,14 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "frame", li
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; only a session without one (a local test) gets its own."""
+    """The shared folder the session names; only a local master may go without one and gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="framelens-"))
     return context.getCheckpointDir()
 
@@ -174,11 +185,25 @@ def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate as a table in the shared folder and go on from there.
 
     The written copy outlives lost executors, ends the lineage, and is read back by column and with true sizes,
-    which keeps plans of many rounds small.
+    which keeps plans of many rounds small. It is removed when the session's JVM ends, or by ``drop_stage`` before.
     """
-    path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{stage_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged = path
+    return back
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read again; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "_staged", None)
+        if path:
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame, s: Series) -> DataFrame:

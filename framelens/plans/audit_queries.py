@@ -55,7 +55,7 @@ def _(x):
 def status_sql(actual: str, expected: str, checks: str) -> str:
     return f"""SELECT {K}, status, window_row_count, expected_row_count,
   CASE WHEN status = 'value_mismatch' THEN m ELSE 0 END AS mismatch_count,
-  CASE WHEN status = 'row_count_mismatch' THEN 'Window row count does not match expected row count.'
+  CASE WHEN status = 'row_count_mismatch' THEN 'other number of windows than expected'
     WHEN status = 'value_mismatch' THEN 'Window ' || p || ', column ''' || c || '''' ELSE '' END AS first_problem
 FROM (SELECT a.*, coalesce(e.n, 0) AS expected_row_count, coalesce(m, 0) AS m, p, c,
   CASE {checks} WHEN window_row_count <> coalesce(e.n, 0) THEN 'row_count_mismatch' WHEN coalesce(m, 0) > 0 THEN 'value_mismatch'

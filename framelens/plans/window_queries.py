@@ -267,6 +267,7 @@ def _(x):
 
 # --- rules ---------------------------------------------------------------------------------------------------
 
+# Thresholds of the rule.
 RULE_SQL = ("perclos < 0.15 AND mean_ear > 0.22 AND std_ear < 0.03 AND mean_abs_yaw < 15 AND mean_abs_pitch < 10 "
             "AND max_abs_yaw < 20 AND max_abs_pitch < 15")
 
@@ -347,6 +348,7 @@ def _(x):
     return rules.extraction_summary(f, cleaned, chosen, normal_w, WINDOW, tuple(KEYS))
 
 
+# Thresholds of the high-confidence filter.
 HC_SQL = """(label = 'normal' AND perclos <= 0.05 AND mean_ear >= 0.24 AND std_ear <= 0.025 AND mean_abs_yaw <= 12
   AND max_abs_yaw <= 18 AND mean_abs_pitch <= 7 AND max_abs_pitch <= 12)
  OR (perclos >= 0.20 AND mean_ear <= 0.20 AND min_ear <= 0.08 AND mean_abs_yaw <= 10 AND max_abs_yaw <= 18)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_FILE_SUFFIX, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS
+from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_FILE_SUFFIX, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS, STREAM_KEYS
 from framelens.functions.naming import stream_keys
 from framelens.operators.series import Series
 
@@ -34,6 +34,20 @@ def _text(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return lines.select("line", F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"), place.alias("ordinal"))
 
 
+def _listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Paths of the files, without their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    shown = files.filter(~name.startswith("~$") & ~name.startswith("~%24"))
+    return shown.select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"))
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The folder as its file system names it, with scheme and without a relative part."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], *,
                    glob: str = "*.csv", anchor: str = "frame") -> tuple[DataFrame, DataFrame]:
     """Numeric tables of a folder, whatever each file's delimiter and column order, and error rows.
@@ -48,10 +62,16 @@ def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], req
     headers = lines.filter(is_header).groupBy("path").agg(F.min_by("line", "ordinal").alias("line")).select(
         "path", sep.alias("_sep"), names.alias("_names"))
     missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.coalesce("_names", F.array().cast("array<string>")))
-    files = lines.select("path").distinct().join(headers, "path", "left").withColumn("_missing", missing)
-    errors = files.filter(F.size("_missing") > 0).select(
-        "path", F.concat(F.lit("missing columns: "), F.array_join("_missing", ", ")).alias("error"))
-    known = files.filter(F.size("_missing") == 0).select("path", "_sep", "_names")
+    # The listing, and not the lines, tells which files there are: an empty one has no line.
+    filled = lines.filter(~is_header).select("path").distinct().withColumn("_filled", F.lit(True))
+    files = (_listing(spark, root, glob).join(headers, "path", "left").join(filled, "path", "left")
+             .withColumn("_missing", missing))
+    error = (F.when(F.col("_names").isNull() & F.col("_filled").isNull(), "no rows")
+             .when(F.size("_missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("_missing", ", ")))
+             .when(F.col("_filled").isNull(), "no rows"))
+    files = files.withColumn("error", error)
+    errors = files.filter("error IS NOT NULL").select("path", "error")
+    known = files.filter("error IS NULL").select("path", "_sep", "_names")
     cells = lines.filter(~is_header).join(known, "path").withColumn("_cells", F.split(F.col("line"), F.col("_sep")))
     return cells.select("path", "ordinal", *[_cell(c) for c in columns]), errors
 
@@ -64,15 +84,20 @@ def _cell(name: str) -> Column:
 
 
 def _with_keys(df: DataFrame, root: str, suffix: str = "") -> DataFrame:
-    keys = stream_keys(F.col("path"), root, suffix)
+    keys = stream_keys(F.col("path"), qualified(df.sparkSession, root), suffix)
     return df.withColumns({n: c for n, c in keys.items()})
 
 
 def _split_errors(rows: DataFrame, errors: DataFrame, root: str, suffix: str) -> tuple[DataFrame, DataFrame]:
     keyed = _with_keys(rows, root, suffix)
     bad = keyed.filter("path_error is not null").select("path", F.col("path_error").alias("error")).distinct()
-    good = keyed.filter("path_error is null").drop("path", "path_error", "relative_path")
-    return good, errors.unionByName(bad)
+    good = keyed.filter("path_error is null")
+    # Files that would become one series are errors, not a series with every frame twice.
+    named = good.select(*STREAM_KEYS, "path").distinct()
+    several = named.groupBy(*STREAM_KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*STREAM_KEYS)
+    twice = named.join(several, list(STREAM_KEYS)).select("path", F.lit("series name of several files").alias("error"))
+    good = good.join(several, list(STREAM_KEYS), "left_anti").drop("path", "path_error", "relative_path")
+    return good, errors.unionByName(bad).unionByName(twice)
 
 
 def read_frames(spark: SparkSession, root: str, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
@@ -104,6 +129,7 @@ def write_versioned(df: DataFrame, folder: str, name: str, now: datetime | None
 
 def read_latest(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The newest version of a table."""
-    versions = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
-    newest = versions.agg(F.max(F.col("run_ts").cast("string")).alias("v")).first()["v"]
-    return versions.filter(F.col("run_ts").cast("string") == newest).drop("run_ts")
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    found = [f.getPath().getName() for f in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)]
+    newest = max(f for f in found if f.startswith("run_ts="))
+    return spark.read.parquet(f"{folder}/{name}/{newest}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelens.config import GazeConfig
 from framelens.operators import gaze
+from framelens.operators.series import Series
 from tests.helpers import LONG, PLANS, SHORT, rows
 
 SAMPLE = "id string, frame long, time_sec double, face_detected int, iris_x_norm double, iris_y_norm double"
@@ -118,3 +119,16 @@ def test_select_for_normal_reports_missing_frames(spark):
     assert [r["frame"] for r in good.orderBy("frame").collect()] == [2, 3] and errors.count() == 0
     good, errors = gaze.select_gaze_for_normal(df, normal.unionByName(spark.createDataFrame([("a", 9)], normal.schema)), SHORT)
     assert good.count() == 0 and rows(errors) == [("a", 1, 9)]
+
+
+def test_repeated_frame_after_a_gap_opens_the_new_segment(spark):
+    """Six samples, a gap, a frame sampled twice and five more: two fixations of six, whatever the input order."""
+    frames = [1, 2, 3, 4, 5, 6, 20, 20, 21, 22, 23, 24]
+    data = [("a", f, f / 30.0, 1, 0.5, 0.5, i) for i, f in enumerate(frames)]
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, SAMPLE + ", ordinal long")
+        for s in (SHORT, LONG):
+            s = Series(s.keys, s.order, s.chunk_rows, "ordinal")
+            row = gaze.normal_gaze_windows(df, len(frames), s, GazeConfig(min_duration_ms=100))[0].first()
+            assert row["idt_fixation_count"] == 2 and row["idt_fixation_ratio"] == 1.0
+            assert row["idt_fixation_max_duration_ms"] == 200.0

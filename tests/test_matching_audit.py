@@ -14,22 +14,12 @@ SIDE = "label string, modality string, {} string, duration double, rows long"
 
 
 def sequential(sources, partners, tol):
-    """The assignment walked source by source."""
-    import re
-
-    def natural(name):
-        m = re.search(r"(\d+)$", name)
-        return (int(m.group(1)) if m else 10**9, name)
-
-    def key(name):
-        m = re.match(r"g([A-Z])_(\d+)_s(\d+)", name)
-        panel = int("panel" in name.lower())
-        return (ord(m.group(1)), int(m.group(2)), int(m.group(3)), panel, name) if m else (10**9, 10**9, 10**9, panel, name)
-
-    listed = {s[2]: sorted(((round(abs(s[3] - p[3]), 6), abs(s[4] - p[4]), key(p[2])), p[2]) for p in partners
+    """The assignment walked source by source; every row carries the place of its name among its like."""
+    listed = {s[2]: sorted(((round(abs(s[3] - p[3]), 6), abs(s[4] - p[4]), p[5]), p[2]) for p in partners
                            if p[:2] == s[:2] and abs(s[3] - p[3]) <= tol) for s in sources}
+    turn = lambda s: (len(listed[s[2]]), listed[s[2]][0][0] if listed[s[2]] else (float("inf"),), s[5])
     used, out = set(), {}
-    for s in sorted(sources, key=lambda s: (len(listed[s[2]]), listed[s[2]][0][0] if listed[s[2]] else (float("inf"),), natural(s[2]))):
+    for s in sorted(sources, key=turn):
         free = [p for _, p in listed[s[2]] if p not in used]
         out[s[2]] = free[0] if free else None
         used.update(free[:1])
@@ -40,11 +30,12 @@ def sequential(sources, partners, tol):
 def test_rounds_equal_the_sequential_walk(spark, seed, n, m, grid):
     """Many equal profiles, ties between shorter and longer partners, and too few partners."""
     rng = random.Random(seed)
-    pick = lambda name: ("normal", "IR", name, 10.0 + rng.randrange(grid) * 0.5, 300 + rng.randrange(2))
-    sources = [pick(f"video{i}") for i in range(n)]
-    partners = [pick(f"g{rng.choice('AB')}_{i % 7}_s{i}" + ("_panel" if i % 4 == 0 else "")) for i in range(m)]
-    s = spark.createDataFrame(sources, SIDE.format("source"))
-    p = spark.createDataFrame(partners, SIDE.format("partner"))
+    pick = lambda name, place: ("normal", "IR", name, 10.0 + rng.randrange(grid) * 0.5, 300 + rng.randrange(2), place)
+    sources = [pick(f"video{i}", i) for i in range(n)]
+    lanes = [rng.choice("AB") for _ in range(m)]
+    partners = [pick(f"g{lane}_{i % 7}_s{i}" + ("_panel" if i % 4 == 0 else ""), (lane, i % 7, i)) for i, lane in enumerate(lanes)]
+    s = spark.createDataFrame([r[:5] for r in sources], SIDE.format("source"))
+    p = spark.createDataFrame([r[:5] for r in partners], SIDE.format("partner"))
     want = sequential(sources, partners, 1.0)
     for limit in (10_000, 8):
         got = matching.greedy_assign(s, p, 1.0, limit=limit)
