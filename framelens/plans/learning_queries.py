@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelens.config import LABELS, SCENARIOS
 from framelens.operators import knn
 from framelens.operators.metrics import METRICS, metrics_row
-from framelens.operators.models import REGISTRY, feature_importance, train_model
+from framelens.operators.models import REGISTRY, feature_importance, load_bundle, train_model
 from framelens.operators.rules import feature_columns
 from framelens.operators.scoring import PROBABILITIES
-from framelens.operators.series import stage
+from framelens.operators.series import stage, stage_folder
 from framelens.operators.split import group_split
 from framelens.plans import model_queries  # noqa: F401  its building blocks hold the split
 from framelens.plans.gaze_queries import CFG as GAZE_CFG
@@ -87,6 +89,20 @@ def _(x):
                            F.coalesce(sound, F.lit(False)).alias("has_verdict"))
 
 
+@query("saved_model", sql(f"SELECT {K}, window_id, true AS same FROM train", "train"))
+def _(x):
+    """A model that was saved and loaded predicts what the fitted one does."""
+    train, _ = split_sides(x)
+    fit = train_model("logistic_regression", train, FEATURES)
+    path = f"{stage_folder(x.spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    fit.save(x.spark, path, {"feature_set": "baseline"})
+    again, _ = load_bundle(x.spark, path)
+    keys = [*KEYS, "window_id"]
+    own = predict_windows(window_table(x), fit).select(*keys, F.col("prob_normal").alias("_a"))
+    other = predict_windows(window_table(x), again).select(*keys, F.col("prob_normal").alias("_b"))
+    return own.join(other, keys).select(*keys, (F.abs(F.col("_a") - F.col("_b")) < 1e-12).alias("same"))
+
+
 @query("compare_models", sql(f"""SELECT unnest([{", ".join(f"'{k}'" for k in REGISTRY)}]) AS model_key, *, true AS in_range
 FROM ({sides_sql()})""", "train", "folds"))
 def _(x):

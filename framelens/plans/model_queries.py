@@ -214,12 +214,9 @@ def scored(x: Inputs):
     return scoring.window_risk(base.withColumn("predicted_label", chosen))
 
 
-@query("window_risk", sql(f"SELECT {K}, window_id, predicted_label, {shown(*scoring.PROBABILITIES)}, round(risk - 1e-9, 1) AS window_risk_score FROM prob", "prob"))
+@query("window_risk", sql(f"SELECT {K}, window_id, predicted_label, {shown(*scoring.PROBABILITIES)}, round_even(risk, 1) AS window_risk_score FROM prob", "prob"))
 def _(x):
-    """Ties at the first decimal are half to even on both sides of the comparison."""
-    table = scored(x).withColumn("window_risk_score", F.round(
-        (F.col("prob_drowsiness") + F.col("prob_distraction")) * 100.0 - 1e-9, 1))
-    return table.select(*KEYS, "window_id", "predicted_label", *scoring.PROBABILITIES, "window_risk_score")
+    return scored(x).select(*KEYS, "window_id", "predicted_label", *scoring.PROBABILITIES, "window_risk_score")
 
 
 CTE["verdict"] = (f"""SELECT {K}, avg(prob_normal) AS mn, avg(prob_drowsiness) AS md, avg(prob_distraction) AS mt, count(*) AS n,
@@ -262,11 +259,10 @@ def _(x):
 
 
 @query("append_predictions", sql(f"""SELECT ('0x' || substr(md5(slug || '#' || window_id), 1, 15))::BIGINT AS id, ('0x' || substr(md5(slug), 1, 15))::BIGINT AS analysis_id,
-  window_id, predicted_label, is_usable, {shown('window_start_time', *scoring.PROBABILITIES, 'perclos_percent', 'mean_ear', 'max_abs_yaw')}
-FROM (SELECT *, label || '_' || modality || '_' || file_stem || '_20240102_030405' AS slug FROM prob)""", "prob"))
+  window_id, predicted_label, is_usable, {shown('window_start_time', 'window_end_time', *scoring.PROBABILITIES, 'perclos_percent', 'mean_ear', 'max_abs_yaw')},
+  round_even(risk, 1) AS window_risk_score FROM (SELECT *, label || '_' || modality || '_' || file_stem || '_20240102_030405' AS slug FROM prob)""", "prob"))
 def _(x):
-    rows = scoring.prediction_rows(scored(x), tuple(KEYS), created_at=F.to_timestamp(F.lit(CREATED)))
-    return rows.drop("window_end_time", "window_risk_score")
+    return scoring.prediction_rows(scored(x), tuple(KEYS), created_at=F.to_timestamp(F.lit(CREATED)))
 
 
 @query("recent_runs", sql(f"SELECT id, source_video_name, source_label, source_modality, model_key, overall_label FROM ({RUN_SQL}) ORDER BY analysis_slug DESC LIMIT 5", "verdict"))
@@ -274,9 +270,9 @@ def _(x):
     return scoring.recent_runs(runs(x)).drop("created_at", "overall_confidence", "risk_score")
 
 
-@query("timeline", sql(f"SELECT {K}, window_id, predicted_label, {shown('window_start_time', 'window_end_time', *scoring.PROBABILITIES, 'perclos_percent', 'mean_ear', 'max_abs_yaw')} FROM prob", "prob"))
+@query("timeline", sql(f"SELECT {K}, window_id, predicted_label, {shown('window_start_time', 'window_end_time', *scoring.PROBABILITIES, 'perclos_percent', 'mean_ear', 'max_abs_yaw')}, round_even(risk, 1) AS window_risk_score FROM prob", "prob"))
 def _(x):
-    return scoring.timeline(scored(x), tuple(KEYS)).drop("window_risk_score")
+    return scoring.timeline(scored(x), tuple(KEYS))
 
 
 @query("timeline_summary", sql(f"""SELECT {K}, {shown('total_duration')}, windows, {', '.join(f"round(count_{n} / windows + 3e-9, 7) AS share_{n}" for n in LABELS)}

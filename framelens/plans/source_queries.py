@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import uuid
+from datetime import datetime
+
 from framelens.functions import geometry, naming
+from framelens.operators.series import stage_folder
 from framelens.plans.registry import K, Inputs, query, shown, sql
 from framelens.plans.window_queries import KEYS
-from framelens.sources import listing
+from framelens.sources import files, listing
 
 URL_PATH = "regexp_replace(url, '^https?://|[?#].*$', '', 'g')"
 
@@ -32,6 +36,48 @@ def _(x):
     return paths.select("page_id", *[c.alias(n) for n, c in keys.items()])
 
 
+def folder(x: Inputs) -> str:
+    """A folder of its own in the shared place, gone when the session ends."""
+    path = f"{stage_folder(x.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    place = x.spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(x.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+@query("read_delimited", sql(f"SELECT frame, {shown('time_sec', 'avg_ear')} FROM frames", "frames"))
+def _(x):
+    """Frames written as text with another delimiter, quoted names and columns in another order, and read back."""
+    root = folder(x)
+    rows = x.frames().select("avg_ear", F.col("time_sec").alias(" time_sec "), F.lit("?").alias("note"), "frame")
+    rows.write.option("header", "true").option("sep", ";").option("quoteAll", "true").csv(root)
+    return files.read_delimited(x.spark, root, ("frame", "time_sec", "avg_ear"), ("frame", "avg_ear"))[0].drop("path", "ordinal")
+
+
+@query("read_errors", "SELECT 'missing columns: absent' AS error, true AS nothing_read")
+def _(x):
+    """Files without a wanted column give error rows and nothing else."""
+    root = folder(x)
+    x.frames().select("frame", "avg_ear").write.option("header", "true").csv(root)
+    rows, errors = files.read_delimited(x.spark, root, ("frame", "absent"), ("frame", "absent"))
+    return errors.select("error", F.lit(rows.isEmpty()).alias("nothing_read")).distinct()
+
+
+@query("write_per_stream", sql(f"SELECT {K}, frame, {shown('avg_ear')} FROM frames", "frames"))
+def _(x):
+    root = folder(x)
+    files.write_per_stream(x.frames().select(*KEYS, "frame", "avg_ear"), root, x.series())
+    return x.spark.read.parquet(root).select(*KEYS, "frame", "avg_ear")
+
+
+@query("read_latest", sql(f"SELECT {K}, frame FROM frames WHERE frame % 2 = 0", "frames"))
+def _(x):
+    """Two versions are written, the newer one is read."""
+    root, rows = folder(x), x.frames().select(*KEYS, "frame")
+    files.write_versioned(rows, root, "frames", datetime(2024, 1, 1))
+    files.write_versioned(rows.filter("frame % 2 = 0"), root, "frames", datetime(2024, 1, 2))
+    return files.read_latest(x.spark, root, "frames")
+
+
 @query("limit_streams", sql(f"""SELECT {K}, frame FROM frames WHERE ({K}) IN (SELECT {K} FROM (SELECT DISTINCT {K} FROM frames)
   ORDER BY {K} LIMIT 20)""", "frames"))
 def _(x):
