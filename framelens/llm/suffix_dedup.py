@@ -35,7 +35,7 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 GROUP_BYTES, BUCKET_BYTES, BUCKET_STRINGS = 8 << 20, 16 << 20, 1_000_000
 #: Bytes hashed at a time, entries of a task that are packed at a time, documents the splitters are taken from.
-CHUNK, FLUSH, SAMPLE = 1 << 21, 1_500_000, 2_000
+CHUNK, FLUSH, SAMPLE = 1 << 20, 1_000_000, 2_000
 _U = np.uint64
 _NO_ID = -(1 << 63)
 _P = 0x9E3779B97F4A7C15
