@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from framelens.llm.common import BATCH_ROWS, Memo, group_sums, lengths, lower_words, mapped, remainder
+from framelens.llm.common import BATCH_ROWS, Memo, Scratch, group_sums, lengths, lower_words, mapped, remainder
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 16, 3, 5
 PER_CLASS = {0: 3000, 1: 1500}
@@ -61,7 +61,7 @@ class Toxicity:
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float | None = None,
         seed: int = 7) -> Toxicity:
-    """Vectors and softmax trained together by Adam with weight decay on the cross entropy.
+    """Vectors and softmax trained together by Adam with weight decay on the cross entropy; ``bags`` is used up.
 
     ``share`` is the share of label 1 among all labelled rows: the sample takes the labels in other proportions, and
     the bias is moved back by the difference of the log odds. A single class gives a constant score.
@@ -76,7 +76,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
     kept = np.flatnonzero(seen >= MIN_TEXTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    rows = [(place[at][place[at] >= 0], w[place[at] >= 0] * SCALE) for at, w in bags]
+    rows = bags
+    for i, (at, w) in enumerate(bags):  # in place, the original is not needed twice
+        column = place[at]
+        rows[i] = column[column >= 0], w[column >= 0] * np.float32(SCALE)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32),
               rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
@@ -126,12 +129,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "o": pdf["_o"], "label": pdf["label"],
                                 "at": [x.tobytes() for x, _ in made], "w": [y.tobytes() for _, y in made]})
 
-    rows = mapped(texts.select("doc_id", "text", "_o", "label"), weights,
-                  "doc_id long, o long, label int, at binary, w binary").orderBy("o", "doc_id", "at").limit(
-                      sum(PER_CLASS.values())).collect()
-    bags = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["w"], np.float32)) for r in rows]
-    return fit(bags, np.array([r["label"] for r in rows], np.int64),
-               counts.get(1, 0) / max(1, sum(counts.values())))
+    # Written once by all tasks, then read a partition at a time, so that the driver holds the sample only once.
+    made = Scratch(docs.sparkSession).write(mapped(texts.select("doc_id", "text", "_o", "label"), weights,
+                                                   "doc_id long, o long, label int, at binary, w binary"))
+    held = [(r["o"], r["doc_id"], r["at"], r["w"], r["label"]) for r in made.coalesce(8).toLocalIterator()]
+    held.sort(key=lambda x: x[:3], reverse=True)
+    bags, truth = [], []
+    while held and len(bags) < sum(PER_CLASS.values()):  # repeated rows count within the bound
+        _, _, at, w, label = held.pop()
+        bags.append((np.frombuffer(at, np.int32), np.frombuffer(w, np.float32)))
+        truth.append(label)
+    held.clear()
+    return fit(bags, np.array(truth, np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def scorer(model: Toxicity, spark):
