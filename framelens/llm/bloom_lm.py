@@ -214,10 +214,10 @@ class Model:
 
     def load(self, first: int, last: int) -> Pass:
         rows = self.table.filter((F.col("kind") == 0) | F.col("segment").between(first, last - 1)).select(
-            "kind", "segment", "bits", F.when(F.col("segment").between(first, last - 1), F.col("exact")).alias("exact")).collect()
+            "kind", "segment", "bits", F.when(F.col("segment").between(first, last - 1), F.col("exact")).alias("exact"))
         words, both, exact = {}, {}, {}
-        for r in rows:
-            (both if r["kind"] else words)[r["segment"]] = bytes(r["bits"])
+        for r in rows.coalesce(8).toLocalIterator():  # a partition at a time, so that the driver holds the pieces once
+            (both if r["kind"] else words)[r["segment"]] = r["bits"]
             if r["exact"] is not None:
                 exact[r["segment"]] = unpack(r["exact"])
         held = [exact[s] for s in sorted(exact)]
