@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -64,15 +65,17 @@ class Ragged:
         """Ids of all keys one after the other, and how many each key has."""
         if len(self._at) > self._limit:
             self._clear()
-        new = list(dict.fromkeys(k for k in keys if k not in self._at))
-        if new:
+        at = np.fromiter(map(self._at.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([keys[i] for i in missing]))
             made = self._make(new)
             self._at.update(zip(new, range(len(self._at), len(self._at) + len(new))))
             own = lengths(made) // 4
             self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(own) - own])
             self._sizes = np.concatenate([self._sizes, own])
             self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(made), np.int32)])
-        at = np.fromiter(map(self._at.__getitem__, keys), np.int64, len(keys))
+            at[missing] = [self._at[keys[i]] for i in missing]
         sizes = self._sizes[at]
         return self._flat[spread(self._starts[at], sizes)], sizes
 

@@ -29,6 +29,7 @@ MAGIC, LANES, CHECKPOINT, BLOCK = b"RNS1", 256, 64, 1 << 17
 SCALE, LOW = 20, np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIII")
 _U = np.uint64
+_MARKS = frozenset(b".,!?;:")
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -128,22 +129,29 @@ def word_tokenizer(tokenizer_json: str):
     its stem and the mark, which the tokenizer separates too. A text with "<|", where special tokens are spelled, goes
     through the library as a whole.
     """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would wait on it
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(tokenizer_json)
+    model = whole.model
 
     def library(texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     stems: dict[bytes, bytes] = {}
 
     def many(words: list[bytes]) -> list[bytes]:
-        marked = lambda w: len(w) > 1 and w[-1] in b".,!?;:" and 97 <= w[-2] <= 122
-        parts = [(w[:-1], w[-1:]) if marked(w) else (w,) for w in words]
+        parts = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in _MARKS and 97 <= w[-2] <= 122 else (w,) for w in words]
         if len(stems) > 500_000:
             stems.clear()
         new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in stems]
-        stems.update(zip(new, library([p.decode("utf-8") for p in new])))
+        # A word of a-z passes the normaliser unchanged and is one piece for the model.
+        plain = [p for p in new if p.isalpha()]
+        stems.update((p, array("i", [t.id for t in model.tokenize(p.decode("ascii"))]).tobytes()) for p in plain)
+        rest = [p for p in new if not p.isalpha()]
+        stems.update(zip(rest, library([p.decode("utf-8") for p in rest])))
         return [stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]] for ps in parts]
 
     table = Ragged(many)
@@ -162,12 +170,17 @@ def word_tokenizer(tokenizer_json: str):
     return encode
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    return ids.astype("<u4").tobytes()
+def _packed(ids: np.ndarray, width: str = "<u4") -> bytes:
+    return ids.astype(width).tobytes()
+
+
+def width_of(vocabulary: int) -> str:
+    """Numbers between the steps: two bytes where they hold every id, else four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def tokenise(docs: DataFrame, tokenizer_json: str, end: int) -> DataFrame:
-    """``doc_id, ids`` with ``end`` behind every document; ids are little-endian unsigned 32-bit numbers."""
+def tokenise(docs: DataFrame, tokenizer_json: str, end: int, width: str) -> DataFrame:
+    """``doc_id, ids`` with ``end`` behind every document; ids are packed as numbers of the given type."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary file, whatever the table
 
     def run(batches):
@@ -175,19 +188,19 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end: int) -> DataFrame:
         tail = np.array([end], np.int32)
         for pdf in in_slices(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [
-                _packed(np.concatenate([x, tail])) for x in encode(list(pdf["text"]))]})
+                _packed(np.concatenate([x, tail]), width) for x in encode(list(pdf["text"]))]})
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
-def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+def frequencies(tokens: DataFrame, vocabulary: int, width: str) -> np.ndarray:
     """Quantised frequencies over the whole table; tasks pass on one count per id, at most the vocabulary."""
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for pdf in batches:
             for raw in pdf["ids"]:
-                total += np.bincount(np.frombuffer(raw, "<u4"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(raw, width), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
@@ -197,7 +210,7 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return quantise(counts)
 
 
-def write(tokens: DataFrame, freq: np.ndarray, scratch: Scratch, path: str) -> None:
+def write(tokens: DataFrame, freq: np.ndarray, width: str, path: str) -> None:
     """Write ``doc_id, ids`` in ascending ``doc_id`` order (ties by their ids) to the folder ``path``."""
     spark = tokens.sparkSession
     raw = freq.astype("<u4").tobytes()
@@ -215,7 +228,7 @@ def write(tokens: DataFrame, freq: np.ndarray, scratch: Scratch, path: str) -> N
         total = 0
         for pdf in batches:
             for doc, raw in zip(pdf["doc_id"], pdf["ids"]):
-                own = np.frombuffer(raw, "<u4")
+                own = np.frombuffer(raw, width)
                 ids.append(own)
                 docs.append(None if pd.isna(doc) else int(doc))
                 sizes.append(len(own))
@@ -242,9 +255,10 @@ def read(spark, path: str) -> DataFrame:
         raise ValueError("the frequency table does not match its checksum")
     shared = spark.sparkContext.broadcast(np.frombuffer(raw, "<u4").astype(np.int64))
     blocks = spark.read.parquet(f"{path}/blocks")
-    files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row per file
+    files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.join(files.select("file", ahead.alias("ahead")), "file").withColumn("start", F.col("ahead") + F.col("before"))
+    # One number per file, and there are as many files as the writer had partitions: payloads need not move.
+    placed = blocks.join(F.broadcast(files.select("file", ahead.alias("ahead"))), "file").withColumn("start", F.col("ahead") + F.col("before"))
 
     def run(batches):
         coder = Coder(shared.value)
@@ -267,8 +281,8 @@ def round_trip(docs: DataFrame, tokenizer_json: str, vocabulary: int, end: int =
     A null or empty text has the end id alone. Repeated rows are written each; rows without an id come first.
     """
     scratch = Scratch(docs.sparkSession)
-    tokens = scratch.write(tokenise(docs, tokenizer_json, end), compression="zstd")
-    path = f"{scratch.folder}/ids"
-    write(tokens, frequencies(tokens, vocabulary), scratch, path)
+    width, path = width_of(vocabulary), f"{scratch.folder}/ids"
+    tokens = scratch.write(tokenise(docs, tokenizer_json, end, width), compression="zstd")
+    write(tokens, frequencies(tokens, vocabulary, width), width, path)
     scratch.drop(tokens)
     return read(docs.sparkSession, path)
