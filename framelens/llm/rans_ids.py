@@ -14,6 +14,7 @@ states and a 32-bit word position each) and the 32-bit words.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -22,13 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framelens.llm.common import Ragged, Scratch, group_sums, in_slices, lengths, mapped
+from framelens.llm.common import Memo, Ragged, Scratch, group_sums, in_slices, lengths, mapped
 
 MAGIC, LANES, CHECKPOINT, BLOCK = b"RNS1", 256, 64, 1 << 17
 #: log2 of the sum of the quantised frequencies; the states stay in [LOW, LOW << 32).
 SCALE, LOW = 20, np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIII")
 _U = np.uint64
+#: a-z and the lower-case letters U+00DF to U+00FF (without the division sign) in UTF-8: composed, and unchanged by lower().
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies name a byte by itself if it prints in Latin-1, else by the next free character from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _MARKS = frozenset(b".,!?;:")
 
 
@@ -140,19 +146,16 @@ def word_tokenizer(tokenizer_json: str):
     def library(texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    stems: dict[bytes, bytes] = {}
+    def stem(word: bytes) -> bytes:
+        # A word of lower-case letters passes the normaliser unchanged and is one piece for the model.
+        if word.isalpha() or _LATIN.fullmatch(word):
+            return array("i", [t.id for t in model.tokenize(word.decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+        return array("i", whole.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+    stems = Memo(stem, 500_000)
 
     def many(words: list[bytes]) -> list[bytes]:
-        parts = [(w[:-1], w[-1:]) if len(w) > 1 and w[-1] in _MARKS and 97 <= w[-2] <= 122 else (w,) for w in words]
-        if len(stems) > 500_000:
-            stems.clear()
-        new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in stems]
-        # A word of a-z passes the normaliser unchanged and is one piece for the model.
-        plain = [p for p in new if p.isalpha()]
-        stems.update((p, array("i", [t.id for t in model.tokenize(p.decode("ascii"))]).tobytes()) for p in plain)
-        rest = [p for p in new if not p.isalpha()]
-        stems.update(zip(rest, library([p.decode("utf-8") for p in rest])))
-        return [stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]] for ps in parts]
+        return [stems[w[:-1]] + stems[w[-1:]] if w[-1] in _MARKS and len(w) > 1 and 97 <= w[-2] <= 122 else stems[w] for w in words]
 
     table = Ragged(many)
 
