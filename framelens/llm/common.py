@@ -131,6 +131,11 @@ class Scratch:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a ``row`` number for every row, as a written table, so that the numbers stay the same."""
+    return scratch.write(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
 def lengths(lists: list[list]) -> np.ndarray:
     return np.fromiter(map(len, lists), np.int64, len(lists))
 

@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from framelens.llm.common import Scratch, lower_words, mapped
+from framelens.llm.common import Scratch, lower_words, mapped, numbered
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 #: Points of the sample the tree of shards is built from, and points of a shard aimed at.
@@ -239,11 +239,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "point", "left").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def heads(found: DataFrame) -> DataFrame:
+    """``row`` of one row of each ``root``: the smallest id, the first row of equal ids, one without an id only if none
+    has one. Rows with neither id nor words are a group of their own."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")
+    blank = (F.col("doc_id").isNull() & F.col("wordless")).alias("blank")
+    return found.groupBy("root", blank).agg(first).select("x.row")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group; rows without an id stay."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").select(*docs.columns)
-    # Repeated rows of one id are one document.
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near-duplicates. Rows go by a number of their own, so ids may repeat or be missing."""
+    rows = numbered(docs, Scratch(docs.sparkSession))
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("root"), (F.col("fingerprint") == "0" * 16).alias("wordless"))
+    kept = heads(found.join(rows.select("row", "doc_id"), "row"))
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)

@@ -9,14 +9,17 @@ let only positions pass that may be seeds: first by the two words every mask sta
 size is fixed; a large benchmark fills them and more positions reach the join, with the same result.
 
 Words are runs of letters and digits in lower case. Items with fewer words than the shortest mask have no seeds and are
-never found; an item shorter than ``WINDOW`` words must agree as a whole. Null and empty texts have no words. Documents
-without an id cannot be named and are left out; rows that share an id count as one document, found if any of them is.
+never found; an item shorter than ``WINDOW`` words must agree as a whole. Null and empty texts have no words. In
+``overlaps``, documents without an id cannot be named and are left out, and rows that share an id count as one document,
+found if any of them is; ``decontaminate`` goes by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framelens.llm.common import Scratch, numbered
+
 MASKS = ("1110111", "11011011", "110011011", "110101011")
 WINDOW, SHARE_TENTHS, GATE = 13, 8, 18
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
@@ -106,9 +109,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item; rows without an id stay."""
-    bad = overlaps(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that overlap an item. Each row is a document of its own, also with a repeated id or none."""
+    rows = numbered(docs, Scratch(docs.sparkSession))
+    bad = overlaps(rows.select(F.col("row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(*docs.columns)
 
 
 def _sql() -> str:

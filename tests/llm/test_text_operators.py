@@ -417,6 +417,16 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash_vp.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_cleaning_goes_by_row_and_not_by_id(spark):
+    a, b, c, item = prose(60, 71), prose(60, 72), prose(60, 73), prose(30, 74)
+    row = lambda i, t: (i, t, "en", "s", len(t), None, None, None, None, None)
+    docs = table(spark, [row(7, a), row(7, b), row(7, b), row(9, a), row(None, c), row(None, c), row(None, a)])
+    assert by_row(simhash_vp.one_of_each(docs), "doc_id", "text") == sorted([(7, a), (7, b), (None, c)], key=repr)
+    docs = table(spark, [row(7, a), row(7, b + " " + item), row(None, c), row(None, item + " " + c)])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert by_row(spaced_seeds.decontaminate(docs, items), "doc_id", "text") == sorted([(7, a), (None, c)], key=repr)
+
+
 # --- 10 secrets -------------------------------------------------------------------------------------------------------
 
 BASE = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
