@@ -16,7 +16,7 @@ from hypothesis import given, settings, strategies as st
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from cases import prose, rows, stored, table, texts_table
 
-from framelens.llm import (bloom_lm, kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp,
+from framelens.llm import (bloom_lm, kd_shards, near_copies, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp,
                            spaced_seeds, suffix_dedup, toxicity)
 from framelens.llm.common import Scratch, remainder
 from framelens.llm.queries import ORACLE, QUERIES, public_bytes, public_file
@@ -427,6 +427,35 @@ def test_cleaning_goes_by_row_and_not_by_id(spark):
     assert by_row(spaced_seeds.decontaminate(docs, items), "doc_id", "text") == sorted([(7, a), (None, c)], key=repr)
 
 
+def test_near_copies_are_those_with_similar_shingles(spark, monkeypatch):
+    """Of each group the stage of the pipeline keeps one, as comparing all pairs does; also where tasks are asked again."""
+    import corpus_pipeline
+    monkeypatch.setattr(near_copies, "LEAST", 40)
+    rng = np.random.default_rng(8)
+    texts = {}
+    for base, n in enumerate([200, 60, 1000]):
+        words = prose(n, 800 + base).split()
+        for k in range(60):
+            own = list(words)
+            for at in rng.integers(0, n, rng.integers(0, n // 22 + 1)):
+                own[at] = f"new{k}x{at}"
+            texts[len(texts)] = " ".join(own[rng.integers(0, 8):])
+    texts |= {500: "one two", 501: "One TWO", 502: None, 503: ""}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts.items()}
+    ids = sorted(sets)
+    forest, links = simhash_vp.Forest(len(ids)), 0
+    for x, i in enumerate(ids):
+        for y in range(x):
+            a, b = sets[i], sets[ids[y]]
+            if 10 * len(a & b) >= 8 * len(a | b):
+                forest.join(x, y)
+                links += a != b
+    want = [i for x, i in enumerate(ids) if forest.root(x) == x]
+    assert links > 500 and 10 < len(want) < 150
+    kept = corpus_pipeline.one_near_duplicate(spark, texts_table(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 # --- 10 secrets -------------------------------------------------------------------------------------------------------
 
 BASE = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
