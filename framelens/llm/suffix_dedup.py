@@ -105,7 +105,7 @@ def chunks(docs):
 
 
 def suffixes(held) -> dict[str, np.ndarray]:
-    """Per anchor: two digits of the sort key, document number, first start and number of the strings it anchors."""
+    """Per anchor: the digits of the sort key (``KEYS``), document number, first start and number of the strings it anchors."""
     parts = [np.frombuffer(t, np.uint8) for _, _, t in held]
     text = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts])
@@ -124,12 +124,14 @@ def suffixes(held) -> dict[str, np.ndarray]:
     stretch = _mix(hashes.at(lo, count + LENGTH - 1) + (q - lo).astype(_U) * _U(_P) + count.astype(_U))
     lead = sum(text[q + i].astype(_U) << _U(24 - 8 * i) for i in range(4))
     h = gram[q]
-    return {"k1": (lead << _U(32)) | (h >> _U(32)), "k2": (h & _U(0xFFFFFF00)) << _U(32) | (stretch >> _U(24)),
-            "doc": np.array([i for i, _, _ in held])[part], "lo": lo - base[part] + np.array([o for _, o, _ in held])[part],
+    return {"k1": (lead << _U(32)) | (h >> _U(32)), "k2": h << _U(32) | (stretch >> _U(32)),
+            "tail": stretch & _U(0xFFFFFFFF), "doc": np.array([i for i, _, _ in held])[part], "lo": lo - base[part] + np.array([o for _, o, _ in held])[part],
             "count": count}
 
 
-_STRETCH_BITS = _U(40)
+#: Leading bytes, 64 bits of the gram's hash, 64 bits of the stretch's hash; k2 has half of each hash.
+KEYS = ("k1", "k2", "tail")
+_STRETCH_BITS = _U(32)
 
 
 def multikey_order(digits: list[np.ndarray]) -> np.ndarray:
@@ -290,16 +292,16 @@ def first_step(docs: DataFrame, groups: int, splitters: tuple[np.ndarray, np.nda
                 held.append(_placed(suffixes(part), ids, places))
                 n += len(held[-1]["k1"])
                 if n > FLUSH:
-                    yield from _flush(held, ("k1", "k2"), deal, groups)
+                    yield from _flush(held, KEYS, deal, groups)
                     held, n = [], 0
         if held:
-            yield from _flush(held, ("k1", "k2"), deal, groups)
+            yield from _flush(held, KEYS, deal, groups)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         if int(pdf["kind"].iloc[0]) == REPEAT:
             return pdf
-        e = unpack(pdf["blob"], ("k1", "k2", "lo", "count"))
-        order, head = earliest(e, ("k1", "k2"))
+        e = unpack(pdf["blob"], (*KEYS, "lo", "count"))
+        order, head = earliest(e, KEYS)
         rows = _spans(e, order[~head], groups, REPEAT)
         kept = order[head]
         g1, g2 = e["k1"][kept], e["k2"][kept] >> _STRETCH_BITS

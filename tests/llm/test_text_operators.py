@@ -346,6 +346,17 @@ def test_repeats_in_awkward_rows(spark, tmp_path):
     assert suffix_dedup.remove_repeats(stored(spark, table(spark, []), tmp_path)).count() == 0
 
 
+def test_stretches_of_one_gram_are_told_apart_by_all_their_bits(monkeypatch):
+    """Hashes that differ in their low bits only, as some of a frequent gram's many contexts do."""
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda z: z & np.uint64(0xFFFFFF))
+    texts = [prose(60, 5).encode()[:suffix_dedup.LENGTH - 10] + b"%010d" % i for i in range(300)]
+    s = suffix_dedup.suffixes([(i, 0, t) for i, t in enumerate(texts)])
+    keys = tuple(k for k in s if k not in ("doc", "lo", "count"))
+    assert len(set(s["k1"].tolist())) < 50 < len(texts)
+    order, head = suffix_dedup.earliest({**s, "id": s["doc"], "place": s["doc"]}, keys)
+    assert head.sum() == len(texts)
+
+
 # --- 8 benchmark ------------------------------------------------------------------------------------------------------
 
 def test_overlaps_tolerate_replaced_words(spark):
