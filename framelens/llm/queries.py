@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelens.llm import bloom_lm, kd_shards, piece_transducer, rans_ids, rule_ledger, secret_grammar, simhash_vp, spaced_seeds, suffix_dedup, toxicity
+from framelens.llm import (bloom_lm, collocations, kd_shards, merge_counts, piece_transducer, rans_ids, rule_ledger,
+                           secret_grammar, simhash_vp, spaced_seeds, suffix_dedup, toxicity, whitening)
 from framelens.llm.common import Scratch, documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,18 @@ def op8_spaced_seeds(spark: SparkSession, root: str) -> DataFrame:
 def op10_secret_grammar(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root)
     return secret_grammar.scan(docs, secret_grammar.learn(docs))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"))
+
+
+@query("op12_merge_counts")
+def op12_merge_counts(spark: SparkSession, root: str) -> DataFrame:
+    return merge_counts.counts(documents(spark, root), public_bytes("byte_bpe_50k.json").decode("utf-8"))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.mine(documents(spark, root))
