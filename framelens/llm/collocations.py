@@ -6,7 +6,7 @@ the cut after that word, so its score is at most floor(1000 n / l); a phrase tha
 at most floor(1000 n / r). Both bounds are admissible and known before anything is counted but words.
 
 Phrases grow word by word from their prefixes, those with the greatest bound first. A wave takes a bounded number of open
-prefixes per language in turn, and one pass over the corpus counts everything that waits:
+prefixes, the best of each language, and one pass over the corpus counts everything that waits:
 
 * the words that follow an open prefix, whose frequent ones are new phrases;
 * parts of new phrases that are not counted yet, because their own first word is too common to be expanded;
@@ -27,17 +27,23 @@ no rows.
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framelens.llm.common import LOWER, UPPER, Scratch, in_slices
+from framelens.llm.common import LOWER, UPPER, Scratch, lengths
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 #: Phrases of each kind in a wave, bits of the table of frequent words, words a task counts before it sends them.
 WAVE, GATE, WORDS = 1 << 16, 22, 400_000
+#: Share of a language's words that the prefixes of a wave make up: one in ``SLOW`` in the first waves, which settle a
+#: first limit, then twice as much each time.
+SLOW, FIRST = 16, 4
 #: Bytes of text split at once, and counted pairs a task holds before it adds them up.
 PART, PAIRS = 1 << 22, 1 << 21
 GROW, LEFT, WANT = 0, 1, 2
@@ -49,31 +55,49 @@ _PLAIN = bytes.maketrans(UPPER.encode() + b"\t" + _SEPARATORS, LOWER.encode() +
 # --- the corpus as hashes -----------------------------------------------------------------------------------------
 
 
+def by_size(batches, column: str):
+    """The batches in pieces of about ``PART`` letters or bytes of a column, one row at least."""
+    for pdf in batches:
+        piece = np.cumsum(pdf[column].map(len, na_action="ignore").fillna(0).to_numpy(np.int64)) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(pdf)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                yield pdf.iloc[lo:hi]
+
+
 class Words(dict):
-    """Numbers of words in order of appearance; a break between pieces is number 0."""
+    """Numbers of words in order of appearance; a break between pieces is number 0, nothing is number 1."""
 
     def __init__(self):
-        super().__init__()
-        self[b","] = 0
+        super().__init__({b",": 0, b"": 1})
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
 
-def numbers(text: str, known: Words) -> np.ndarray:
-    """Numbers of the words of a text, with breaks between its pieces."""
-    raw = text.encode("utf-8").translate(_PLAIN)
-    parts, at = [], 0
-    while at < len(raw):
-        end = at + PART
-        if end < len(raw):  # between words, so that nothing is cut
-            end = raw.find(b" ", end)
-            end = len(raw) if end < 0 else end
-        found = raw[at:end].replace(b",", b" , ").split()
-        parts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-        at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+def parts_of(text: str | None) -> list[bytes]:
+    """A text in plain letters with commas as words of their own, in parts cut between words."""
+    raw = text.encode("utf-8").translate(_PLAIN) if text else b""
+    cuts = [0]
+    while len(raw) - cuts[-1] > PART and (end := raw.find(b" ", cuts[-1] + PART)) >= 0:
+        cuts.append(end)
+    return [raw[lo:hi].replace(b",", b" , ") for lo, hi in zip(cuts, cuts[1:] + [len(raw)])]
+
+
+def numbers(texts: list[str | None], known: Words) -> list[np.ndarray]:
+    """Numbers of the words of each text, with breaks between its pieces."""
+    parts = [parts_of(t) for t in texts]
+    found = pc.ascii_split_whitespace(pa.array([p for x in parts for p in x], pa.large_binary()).cast(pa.large_string()))
+    words = found.flatten().dictionary_encode()
+    names = words.dictionary.cast(pa.large_binary()).to_pylist()
+    at = np.fromiter(map(known.__getitem__, names), np.int32, len(names))[words.indices.to_numpy()]
+    # The ends of a part give empty words, number 1.
+    real = at != 1
+    upto = np.concatenate([[0], np.cumsum(real)])[found.offsets.to_numpy()]
+    ends = upto[np.cumsum(lengths(parts))].tolist()
+    at = at[real]
+    return [at[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
 
 def hashes(words: list[bytes], seed: int) -> np.ndarray:
@@ -87,24 +111,24 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
     """``lang, ids`` of every row with words, and ``lang, word, h, n`` of every word that a task has counted."""
 
     def run(batches):
-        known, code, counts = Words(), np.zeros(1, np.int64), {}
+        known, code, counts = Words(), np.zeros(2, np.int64), {}
 
         def counted():
             names = list(known)
             for lang, c in counts.items():
                 for lo in range(0, len(c), 1 << 16):
                     at = lo + np.flatnonzero(c[lo:lo + (1 << 16)])
-                    at = at[at > 0]
+                    at = at[at > 1]
                     yield pd.DataFrame({"lang": lang, "ids": None, "word": [names[i] for i in at.tolist()], "h": code[at], "n": c[at]})
 
-        for pdf in in_slices(batches):
-            ids = [numbers(t, known) if t else None for t in pdf["text"]]
+        for pdf in by_size(batches, "text"):
+            ids = numbers(pdf["text"].tolist(), known)
             if len(known) > len(code):
                 code = np.concatenate([code, hashes(list(known)[len(code):], seed)])
             langs = pdf["lang"].tolist()
-            some = [(lang, i) for lang, i in zip(langs, ids) if i is not None and i.any()]
-            for lang, i in some:
-                c = np.bincount(i, minlength=len(known))
+            some = [(lang, i) for lang, i in zip(langs, ids) if i.any()]
+            for lang in {lang for lang, _ in some}:
+                c = np.bincount(np.concatenate([i for x, i in some if x == lang]), minlength=len(known))
                 if lang in counts:
                     c[:len(counts[lang])] += counts[lang]
                 counts[lang] = c
@@ -112,7 +136,7 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
                 yield pd.DataFrame({"lang": [x for x, _ in some], "ids": [code[i].tobytes() for _, i in some], "word": None, "h": 0, "n": 0})
             if len(known) > WORDS or sum(map(len, counts.values())) > 8 * WORDS:
                 yield from counted()
-                known, code, counts = Words(), np.zeros(1, np.int64), {}
+                known, code, counts = Words(), np.zeros(2, np.int64), {}
         yield from counted()
 
     rows = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
@@ -223,6 +247,150 @@ def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray)
     return kind[new], request[new], h[new], np.add.reduceat(n, new)
 
 
+def counted():
+            names = list(known)
+            for lang, c in counts.items():
+                for lo in range(0, len(c), 1 << 16):
+                    at = lo + np.flatnonzero(c[lo:lo + (1 << 16)])
+                    at = at[at > 1]
+                    yield pd.DataFrame({"lang": lang, "ids": None, "word": [names[i] for i in at.tolist()], "h": code[at], "n": c[at]})
+
+        for pdf in by_size(batches, "text"):
+            ids = numbers(pdf["text"].tolist(), known)
+            if len(known) > len(code):
+                code = np.concatenate([code, hashes(list(known)[len(code):], seed)])
+            langs = pdf["lang"].tolist()
+            some = [(lang, i) for lang, i in zip(langs, ids) if i.any()]
+            for lang in {lang for lang, _ in some}:
+                c = np.bincount(np.concatenate([i for x, i in some if x == lang]), minlength=len(known))
+                if lang in counts:
+                    c[:len(counts[lang])] += counts[lang]
+                counts[lang] = c
+            if some:
+                yield pd.DataFrame({"lang": [x for x, _ in some], "ids": [code[i].tobytes() for _, i in some], "word": None, "h": 0, "n": 0})
+            if len(known) > WORDS or sum(map(len, counts.values())) > 8 * WORDS:
+                yield from counted()
+                known, code, counts = Words(), np.zeros(2, np.int64), {}
+        yield from counted()
+
+    rows = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+    return rows.mapInPandas(run, "lang string, ids binary, word binary, h long, n long")
+
+
+def corpus(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``lang, ids`` of texts (null in other rows) and the counted words ``lang, h, word, f`` of hashes
+    that no two words of a language share."""
+    seed = 0
+    while True:
+        rows = scratch.write(encoded(docs, seed), compression="zstd")
+        words = scratch.write(rows.filter("word IS NOT NULL").groupBy("lang", "h").agg(
+            F.sum("n").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")))
+        if words.filter("word <> other").isEmpty():
+            return rows, words
+        scratch.drop(rows, words)
+        seed += 1
+
+
+# --- one pass -----------------------------------------------------------------------------------------------------
+
+
+def _lang(lang: str) -> int:
+    return zlib.crc32(lang.encode("utf-8")) & ((1 << GATE) - 1)
+
+
+def gate(words: DataFrame) -> np.ndarray:
+    """Truth values by hash of language and word: all frequent words pass, few others do."""
+    langs = words.select("lang").distinct().withColumn("s", F.crc32("lang").bitwiseAND((1 << GATE) - 1))
+    slot = F.col("h").bitwiseAND((1 << GATE) - 1).bitwiseXOR(F.col("s")).cast("int")
+    bits = words.join(langs, "lang").select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))).alias("bits"))
+    table = np.zeros(1 << GATE - 6, np.int64)
+    for r in bits.collect():  # 2**GATE / 64 numbers at most
+        table[r["at"]] = r["bits"]
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+class Trie:
+    """The phrases of one language that a pass looks for, level by level.
+
+    A node of a level is its place among the sorted keys (node of the level before, word); ``roles[level][kind]`` has
+    the request that a node stands for, or -1.
+    """
+
+    def __init__(self, phrases: list[tuple[int, list[int], tuple[bool, bool, bool]]]):
+        size = np.array([len(w) for _, w, _ in phrases])
+        table = np.zeros((len(phrases), LONGEST), np.int64)
+        for i, (_, w, _) in enumerate(phrases):
+            table[i, :len(w)] = w
+        self.words = np.unique(table[table != 0])
+        self.width = len(self.words)
+        self.gate = np.zeros(1 << 18, bool)
+        self.gate[self.words & ((1 << 18) - 1)] = True
+        at = np.searchsorted(self.words, table)
+        request, kinds = np.array([r for r, _, _ in phrases]), np.array([k for _, _, k in phrases], bool)
+        node = np.zeros(len(phrases), np.int64)
+        self.keys, self.roles = [], []
+        for m in range(int(size.max())):
+            deep = size > m
+            key = node[deep] * self.width + at[deep, m]
+            self.keys.append(np.unique(key))
+            node[deep] = np.searchsorted(self.keys[-1], key)
+            own = size == m + 1
+            roles = np.full((3, len(self.keys[-1])), -1, np.int64)
+            for kind in (GROW, LEFT, WANT):
+                some = own & kinds[:, kind]
+                roles[kind, node[some]] = request[some]
+            self.roles.append(roles)
+
+    def find(self, ids: np.ndarray, may: np.ndarray, spread: int):
+        """(kind, requests, words) of what follows, what stands before and what is there. ``ids`` starts with a break
+        and ends with ``LONGEST`` of them."""
+        place = np.flatnonzero(self.gate[ids & ((1 << 18) - 1)])
+        where = np.searchsorted(self.words, ids[place])
+        real = self.words[np.minimum(where, self.width - 1)] == ids[place]
+        word = np.full(len(ids), -1, np.int32)
+        word[place[real]] = where[real]
+        at, node = place[real], np.zeros(int(real.sum()), np.int64)
+        mask = (1 << GATE) - 1
+        for m, (keys, roles) in enumerate(zip(self.keys, self.roles)):
+            step = word[at + m]
+            at, node, step = at[step >= 0], node[step >= 0], step[step >= 0]
+            key = node * self.width + step
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            here = keys[node] == key
+            at, node = at[here], node[here]
+            if not len(at):
+                return
+            for kind, beside in ((GROW, m + 1), (LEFT, -1)):
+                request = roles[kind][node]
+                near = ids[at + beside]
+                ok = (request >= 0) & (near != 0) & may[(near & mask) ^ spread]
+                yield kind, request[ok], near[ok]
+            request = roles[WANT][node]
+            request = request[request >= 0]
+            yield WANT, request, np.zeros(len(request), np.int64)
+
+
+def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` by the other columns."""
+    if not len(n):
+        return kind, request, h, n
+    order = np.lexsort((h, request, kind))
+    kind, request, h, n = kind[order], request[order], h[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (request[1:] != request[:-1]) | (h[1:] != h[:-1])]))
+    return kind[new], request[new], h[new], np.add.reduceat(n, new)
+
+
+def by_size(batches):
+    """The batches in pieces of about ``PART`` bytes of hashes, one row at least."""
+    for pdf in batches:
+        piece = np.cumsum(pdf["ids"].map(len).to_numpy(np.int64)) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(pdf)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                yield pdf.iloc[lo:hi]
+
+
 def counted(rows: DataFrame, tries: dict[str, Trie], may: np.ndarray, least: int) -> DataFrame:
     """``kind, request, h, n`` over the corpus, where n is at least ``least``."""
     shared = rows.sparkSession.sparkContext.broadcast((tries, np.packbits(may)))  # fixed size, see WAVE and GATE
@@ -240,7 +408,7 @@ def counted(rows: DataFrame, tries: dict[str, Trie], may: np.ndarray, least: int
                 yield pd.DataFrame(dict(zip(("kind", "request", "h", "n"), (x[lo:lo + (1 << 17)] for x in found))))
 
         ends = bytes(8 * LONGEST)
-        for pdf in in_slices(batches):
+        for pdf in by_size(batches, "ids"):
             for lang, ids in pdf.groupby("lang", sort=False)["ids"]:
                 if lang not in tries:
                     continue
@@ -297,8 +465,8 @@ def scored(nodes: DataFrame, limits: DataFrame, scratch: Scratch) -> tuple[DataF
     cuts = due.select("lang", "w", "f", "n", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.select("*", F.expr("slice(w, 1, k)").alias("head"), F.expr("slice(w, k + 1, size(w) - k)").alias("tail"))
     known = nodes.select("lang", "w", "f")
-    for part, count in (("head", "l"), ("tail", "r")):
-        cuts = cuts.join(known.select("lang", F.col("w").alias(part), F.col("f").alias(count)), ["lang", part], "left")
+    for part, f in (("head", "l"), ("tail", "r")):
+        cuts = cuts.join(known.select("lang", F.col("w").alias(part), F.col("f").alias(f)), ["lang", part], "left")
     cuts = scratch.write(cuts)
     value = F.expr("cast(1000 as decimal(4,0)) * cast(f as decimal(17,0)) * cast(n as decimal(17,0)) "
                    "div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
@@ -328,10 +496,24 @@ def limits_of(found: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
     return sizes.join(last, "lang", "left").select("lang", F.coalesce("least", F.lit(0).cast("long")).alias("least"))
 
 
-def requests(nodes: DataFrame, wanted: DataFrame, limits: DataFrame, percent: int, longest: int) -> DataFrame:
+def best_open(live: DataFrame, wave: int) -> DataFrame:
+    """Open prefixes by classes of their bound, as many of the best classes as make up the wave's share of the words.
+
+    Common words have the lowest bounds and most of the occurrences, so a wave leaves them while rarer ones are open.
+    """
+    share = SLOW / 2.0 ** max(0, wave - FIRST + 1)
+    level = F.floor(8 * F.log2(F.col("open") + 1))
+    opened = live.filter("NOT grown AND open >= least").withColumn("level", level)
+    upto = F.sum("f").over(Window.partitionBy("lang").orderBy(F.desc("level"))) - F.col("f")
+    levels = opened.groupBy("lang", "level").agg(F.sum("f").alias("f"), F.max("n").alias("n"))  # some hundreds a language
+    levels = levels.withColumn("upto", upto).filter(F.col("upto") * share < F.col("n")).select("lang", "level")
+    return _per_lang(opened.join(levels, ["lang", "level"]), [F.desc("open"), F.desc(F.size("w")), "w"], WAVE)
+
+
+def requests(nodes: DataFrame, wanted: DataFrame, limits: DataFrame, percent: int, longest: int, wave: int) -> DataFrame:
     """``request, lang, w, grow, left, want``: what the next pass counts, at most ``WAVE`` phrases of each kind."""
     live = nodes.join(limits, "lang").filter(F.size("w") < longest)
-    grow = _per_lang(live.filter("NOT grown AND open >= least"), [F.desc("open"), F.desc(F.size("w")), "w"], WAVE)
+    grow = best_open(live, wave)
     apart = 100 * F.col("after") < percent * F.col("f")
     left = _per_lang(live.filter("grown AND before IS NULL AND score >= least").filter(apart), [F.desc("score"), "w"], WAVE)
     want = _per_lang(wanted, ["w"], WAVE)
@@ -369,11 +551,11 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
     scratch.drop(counts)
     may = gate(words)
     nodes = scratch.write(opened(words.select("lang", F.array("h").alias("w"), "f"), words, sizes))
-    while True:
+    for wave in count():
         limits = scratch.write(limits_of(survivors(nodes, percent, longest), sizes, top))
         valued, wanted, cuts = scored(nodes, limits, scratch)
         after = scratch.write(valued)
-        asked = scratch.write(requests(after, wanted, limits, percent, longest))
+        asked = scratch.write(requests(after, wanted, limits, percent, longest, wave))
         by_lang: dict[str, list] = {}
         for r in asked.collect():  # 3 * WAVE phrases at most
             by_lang.setdefault(r["lang"], []).append((r["request"], r["w"], (r["grow"], r["left"], r["want"])))

@@ -220,7 +220,7 @@ def brute(rows, top, least, percent=100):
 
 def corpus(seed, n=60):
     rng = random.Random(seed)
-    common, sets = [f"w{i}" for i in range(12)], ["New York City", "ad hoc", "a b a b a", "x, y z", "É é tab\tsep"]
+    common, sets = [f"w{i}" for i in range(12)], ["New York City", "ad hoc", "a b a b a", "x, y z", "É é tab\tsep", "\x1c \x1d\x1f \x85 q", " \u2003 \0 "]
     rows = []
     for _ in range(n):
         text = " ".join(rng.choice(sets) if rng.random() < 0.25 else rng.choice(common) + rng.choice(["", "", ".", "\n", "\x0b"]) for _ in range(40))
