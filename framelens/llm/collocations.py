@@ -247,150 +247,6 @@ def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray)
     return kind[new], request[new], h[new], np.add.reduceat(n, new)
 
 
-def counted():
-            names = list(known)
-            for lang, c in counts.items():
-                for lo in range(0, len(c), 1 << 16):
-                    at = lo + np.flatnonzero(c[lo:lo + (1 << 16)])
-                    at = at[at > 1]
-                    yield pd.DataFrame({"lang": lang, "ids": None, "word": [names[i] for i in at.tolist()], "h": code[at], "n": c[at]})
-
-        for pdf in by_size(batches, "text"):
-            ids = numbers(pdf["text"].tolist(), known)
-            if len(known) > len(code):
-                code = np.concatenate([code, hashes(list(known)[len(code):], seed)])
-            langs = pdf["lang"].tolist()
-            some = [(lang, i) for lang, i in zip(langs, ids) if i.any()]
-            for lang in {lang for lang, _ in some}:
-                c = np.bincount(np.concatenate([i for x, i in some if x == lang]), minlength=len(known))
-                if lang in counts:
-                    c[:len(counts[lang])] += counts[lang]
-                counts[lang] = c
-            if some:
-                yield pd.DataFrame({"lang": [x for x, _ in some], "ids": [code[i].tobytes() for _, i in some], "word": None, "h": 0, "n": 0})
-            if len(known) > WORDS or sum(map(len, counts.values())) > 8 * WORDS:
-                yield from counted()
-                known, code, counts = Words(), np.zeros(2, np.int64), {}
-        yield from counted()
-
-    rows = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    return rows.mapInPandas(run, "lang string, ids binary, word binary, h long, n long")
-
-
-def corpus(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Written tables: ``lang, ids`` of texts (null in other rows) and the counted words ``lang, h, word, f`` of hashes
-    that no two words of a language share."""
-    seed = 0
-    while True:
-        rows = scratch.write(encoded(docs, seed), compression="zstd")
-        words = scratch.write(rows.filter("word IS NOT NULL").groupBy("lang", "h").agg(
-            F.sum("n").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")))
-        if words.filter("word <> other").isEmpty():
-            return rows, words
-        scratch.drop(rows, words)
-        seed += 1
-
-
-# --- one pass -----------------------------------------------------------------------------------------------------
-
-
-def _lang(lang: str) -> int:
-    return zlib.crc32(lang.encode("utf-8")) & ((1 << GATE) - 1)
-
-
-def gate(words: DataFrame) -> np.ndarray:
-    """Truth values by hash of language and word: all frequent words pass, few others do."""
-    langs = words.select("lang").distinct().withColumn("s", F.crc32("lang").bitwiseAND((1 << GATE) - 1))
-    slot = F.col("h").bitwiseAND((1 << GATE) - 1).bitwiseXOR(F.col("s")).cast("int")
-    bits = words.join(langs, "lang").select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))).alias("bits"))
-    table = np.zeros(1 << GATE - 6, np.int64)
-    for r in bits.collect():  # 2**GATE / 64 numbers at most
-        table[r["at"]] = r["bits"]
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
-class Trie:
-    """The phrases of one language that a pass looks for, level by level.
-
-    A node of a level is its place among the sorted keys (node of the level before, word); ``roles[level][kind]`` has
-    the request that a node stands for, or -1.
-    """
-
-    def __init__(self, phrases: list[tuple[int, list[int], tuple[bool, bool, bool]]]):
-        size = np.array([len(w) for _, w, _ in phrases])
-        table = np.zeros((len(phrases), LONGEST), np.int64)
-        for i, (_, w, _) in enumerate(phrases):
-            table[i, :len(w)] = w
-        self.words = np.unique(table[table != 0])
-        self.width = len(self.words)
-        self.gate = np.zeros(1 << 18, bool)
-        self.gate[self.words & ((1 << 18) - 1)] = True
-        at = np.searchsorted(self.words, table)
-        request, kinds = np.array([r for r, _, _ in phrases]), np.array([k for _, _, k in phrases], bool)
-        node = np.zeros(len(phrases), np.int64)
-        self.keys, self.roles = [], []
-        for m in range(int(size.max())):
-            deep = size > m
-            key = node[deep] * self.width + at[deep, m]
-            self.keys.append(np.unique(key))
-            node[deep] = np.searchsorted(self.keys[-1], key)
-            own = size == m + 1
-            roles = np.full((3, len(self.keys[-1])), -1, np.int64)
-            for kind in (GROW, LEFT, WANT):
-                some = own & kinds[:, kind]
-                roles[kind, node[some]] = request[some]
-            self.roles.append(roles)
-
-    def find(self, ids: np.ndarray, may: np.ndarray, spread: int):
-        """(kind, requests, words) of what follows, what stands before and what is there. ``ids`` starts with a break
-        and ends with ``LONGEST`` of them."""
-        place = np.flatnonzero(self.gate[ids & ((1 << 18) - 1)])
-        where = np.searchsorted(self.words, ids[place])
-        real = self.words[np.minimum(where, self.width - 1)] == ids[place]
-        word = np.full(len(ids), -1, np.int32)
-        word[place[real]] = where[real]
-        at, node = place[real], np.zeros(int(real.sum()), np.int64)
-        mask = (1 << GATE) - 1
-        for m, (keys, roles) in enumerate(zip(self.keys, self.roles)):
-            step = word[at + m]
-            at, node, step = at[step >= 0], node[step >= 0], step[step >= 0]
-            key = node * self.width + step
-            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            here = keys[node] == key
-            at, node = at[here], node[here]
-            if not len(at):
-                return
-            for kind, beside in ((GROW, m + 1), (LEFT, -1)):
-                request = roles[kind][node]
-                near = ids[at + beside]
-                ok = (request >= 0) & (near != 0) & may[(near & mask) ^ spread]
-                yield kind, request[ok], near[ok]
-            request = roles[WANT][node]
-            request = request[request >= 0]
-            yield WANT, request, np.zeros(len(request), np.int64)
-
-
-def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of ``n`` by the other columns."""
-    if not len(n):
-        return kind, request, h, n
-    order = np.lexsort((h, request, kind))
-    kind, request, h, n = kind[order], request[order], h[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (request[1:] != request[:-1]) | (h[1:] != h[:-1])]))
-    return kind[new], request[new], h[new], np.add.reduceat(n, new)
-
-
-def by_size(batches):
-    """The batches in pieces of about ``PART`` bytes of hashes, one row at least."""
-    for pdf in batches:
-        piece = np.cumsum(pdf["ids"].map(len).to_numpy(np.int64)) // PART
-        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(pdf)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo < hi:
-                yield pdf.iloc[lo:hi]
-
-
 def counted(rows: DataFrame, tries: dict[str, Trie], may: np.ndarray, least: int) -> DataFrame:
     """``kind, request, h, n`` over the corpus, where n is at least ``least``."""
     shared = rows.sparkSession.sparkContext.broadcast((tries, np.packbits(may)))  # fixed size, see WAVE and GATE
