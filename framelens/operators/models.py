@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -24,9 +24,10 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framelens.operators import knn
+from framelens.operators import boosting, knn
+from framelens.operators.boosting import BoostedFit
 from framelens.operators.scoring import complete_probabilities
-from framelens.operators.series import drop_stage, stage
+from framelens.operators.series import stage
 from framelens.operators.split import balanced_weight, class_counts
 
 SEED = 42
@@ -100,10 +101,6 @@ class PipelineFit:
         out = out.withColumn("predicted_label", chosen)
         if self.output == "probability":
             out = _named(out.withColumn("_p", vector_to_array("probability")), self.classes, F.col("_p"))
-        elif self.output == "margin":
-            raw = out.withColumn("_p", F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(m * -2.0))))
-            total = F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
-            out = _named(raw, self.classes, F.transform("_p", lambda p: p / total))
         else:
             out = out.withColumns({f"prob_{c}": F.when(F.col("predicted_label") == c, 1.0).otherwise(0.0) for c in self.classes})
         added = ["predicted_label", *[f"prob_{c}" for c in self.classes]]
@@ -126,52 +123,6 @@ class PipelineFit:
                                   "output": self.output, **extra})
 
 
-def _tree(node, names: list[str]):
-    """A fitted tree as nested lists: a class index, or ``[feature, threshold, left, right]``."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return int(node.prediction())
-    split = node.split()
-    return [names[split.featureIndex()], float(split.threshold()), _tree(node.leftChild(), names), _tree(node.rightChild(), names)]
-
-
-def _walk(tree) -> Column:
-    if not isinstance(tree, list):
-        return F.lit(int(tree))
-    name, threshold, left, right = tree
-    return F.when(F.col(name) <= F.lit(threshold), _walk(left)).otherwise(_walk(right))
-
-
-@dataclass
-class BoostFit:
-    """Weighted vote of shallow trees, kept as data so that scoring is one column expression per class."""
-
-    rounds: list
-    features: list[str]
-    classes: list[str]
-    gains: list[float]
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        k = len(self.classes)
-        total = sum(a for a, _ in self.rounds) or 1.0
-        votes = F.array(*[F.struct(F.lit(float(a)).alias("a"), _walk(t).alias("c")) for a, t in self.rounds])
-        score = lambda i: F.aggregate(F.col("_votes"), F.lit(0.0), lambda acc, v: acc + F.when(
-            v["c"] == i, v["a"]).otherwise(-v["a"] / (k - 1))) / F.lit(total)
-        raised = df.withColumn("_votes", votes).withColumns({f"_s{i}": score(i) for i in range(k)})
-        e = {c: F.exp(F.col(f"_s{i}") / F.lit(float(k - 1))) for i, c in enumerate(self.classes)}
-        norm = sum(e.values(), F.lit(0.0))
-        best = F.greatest(*[F.col(f"_s{i}") for i in range(k)]) if k > 1 else F.col("_s0")
-        chosen = F.coalesce(*[F.when(F.col(f"_s{i}") == best, c) for i, c in enumerate(self.classes)])
-        out = raised.withColumns({"predicted_label": chosen, **{f"prob_{c}": v / norm for c, v in e.items()}})
-        return complete_probabilities(out.drop("_votes", *[f"_s{i}" for i in range(k)]))
-
-    def importances(self) -> list[float]:
-        return self.gains
-
-    def save(self, spark: SparkSession, path: str, extra: dict) -> None:
-        _write_meta(spark, path, {"kind": "boost", "rounds": self.rounds, "features": self.features,
-                                  "classes": self.classes, "gains": self.gains, **extra})
-
-
 @dataclass
 class NeighbourFit:
     """Stored training vectors; prediction is an exact distributed search."""
@@ -205,7 +156,7 @@ class NeighbourFit:
                                   "k": self.k, **extra})
 
 
-Fit = PipelineFit | BoostFit | NeighbourFit
+Fit = PipelineFit | BoostedFit | NeighbourFit
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[Fit, dict]:
@@ -214,7 +165,7 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Fit, dict]:
     if meta["kind"] == "pipeline":
         return PipelineFit(PipelineModel.load(path + "/model"), f, c, meta["output"]), meta
     if meta["kind"] == "boost":
-        return BoostFit(meta["rounds"], f, c, meta["gains"]), meta
+        return BoostedFit(boosting.Boost(**meta["spec"]), meta["cuts"], BoostedFit.read_rounds(spark, path), f, c), meta
     return NeighbourFit(spark.read.parquet(path + "/train"), f, c, meta["k"]), meta
 
 
@@ -267,13 +218,6 @@ def _tree_model(p: Prepared, o: dict) -> PipelineFit:
     return _pipeline(p, DecisionTreeClassifier(**COMMON, seed=SEED, **o), "probability")
 
 
-def _boosted(p: Prepared, o: dict) -> PipelineFit:
-    """Spark's boosted trees are binary, so one model per class."""
-    one = GBTClassifier(featuresCol="_features", labelCol="code", seed=SEED, **o)
-    rest = OneVsRest(classifier=one, **COMMON, rawPredictionCol="rawPrediction", parallelism=3)
-    return _pipeline(p, rest, "margin")
-
-
 def _logistic(p: Prepared, o: dict) -> PipelineFit:
     fit = LogisticRegression(**COMMON, family="multinomial", regParam=1.0 / p.n, standardization=False, **o)
     return _pipeline(p, fit, "probability", scaled=True)
@@ -292,50 +236,26 @@ def _kernel_svm(p: Prepared, o: dict) -> PipelineFit:
     return _svm(p, o, [lift])
 
 
-def _ada(p: Prepared, o: dict) -> BoostFit:
-    """SAMME (Zhu et al., 2009) over shallow trees; each round reweights the rows by a column expression."""
-    rate, k = o["rate"], len(p.classes)
-    assemble = VectorAssembler(inputCols=p.features, outputCol="_features", handleInvalid="error")
-    total = p.rows.agg(F.sum("weight")).first()[0]
-    rows = stage(assemble.transform(p.rows).withColumn("weight", F.col("weight") / F.lit(float(total))))
-    held, rounds, gains, weights = rows, [], np.zeros(len(p.features)), 0.0
-    for r in range(o["rounds"]):
-        model = DecisionTreeClassifier(**COMMON, maxDepth=o["depth"], seed=SEED + r).fit(rows)
-        tree = _tree(model._call_java("rootNode"), p.features)
-        missed = F.when(_walk(tree) != F.col("code").cast("int"), 1.0).otherwise(0.0)
-        wrong, mass = rows.agg(F.sum(F.col("weight") * missed), F.sum("weight")).first()
-        error = wrong / mass
-        if error >= 1.0 - 1.0 / k:
-            break
-        alpha = rate * (math.log((1.0 - error) / max(error, 1e-300)) + math.log(k - 1.0)) if error > 0 else 1.0
-        rounds.append([alpha, tree])
-        gains += alpha * model.featureImportances.toArray()
-        weights += alpha
-        if error <= 0:
-            break
-        rows = rows.withColumn("weight", F.col("weight") / F.lit(float(mass)) * F.exp(F.lit(alpha) * missed))
-        if (r + 1) % 8 == 0:
-            before, rows = held, stage(rows)
-            held = rows
-            drop_stage(before)
-    return BoostFit(rounds, p.features, p.classes, list(gains / weights) if weights else list(gains))
-
-
 def _neighbours(p: Prepared, o: dict) -> NeighbourFit:
     kept = stage(p.rows.select(*p.features, "label").withColumn("id", F.monotonically_increasing_id()))
     return NeighbourFit(kept, p.features, p.classes, o["k"])
 
 
-def _gradient(p: Prepared, o: dict) -> PipelineFit:
-    """The xgboost Spark estimator where it is installed, else boosted trees per class."""
-    try:
-        from xgboost.spark import SparkXGBClassifier
-    except ImportError:
-        return _boosted(p, o)
-    fit = SparkXGBClassifier(features_col="_features", label_col="code", n_estimators=o["maxIter"], max_depth=o["maxDepth"],
-                             learning_rate=o["stepSize"], subsample=o["subsamplingRate"], colsample_bytree=0.9,
-                             tree_method="hist", random_state=SEED)
-    return _pipeline(p, fit, "probability")
+def boosted(prepared: list[tuple[Prepared, dict]]) -> list[BoostedFit]:
+    """Boosted models, all grown together."""
+    sides: dict[int, boosting.Side] = {}
+    wanted = []
+    for p, o in prepared:
+        side = sides.setdefault(id(p), boosting.Side(p.rows, p.features, p.n))
+        wanted.append((side, boosting.Boost(classes=len(p.classes), seed=SEED, **o)))
+    fits = boosting.boost(wanted)
+    for fit, (p, _) in zip(fits, prepared):
+        fit.classes = p.classes
+    return fits
+
+
+def boost_one(p: Prepared, o: dict) -> BoostedFit:
+    return boosted([(p, o)])[0]
 
 
 @dataclass(frozen=True)
@@ -352,15 +272,15 @@ REGISTRY = {m.key: m for m in (
     ModelSpec("random_forest", "Random Forest", _forest, {"numTrees": 300, "maxDepth": 30}),
     ModelSpec("extra_trees", "Extra Trees", _forest,
               {"numTrees": 400, "maxDepth": 30, "bootstrap": False, "featureSubsetStrategy": "sqrt", "maxBins": 16}),
-    ModelSpec("gradient_boosting", "Gradient Boosting", _boosted, {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}),
+    ModelSpec("gradient_boosting", "Gradient Boosting", boost_one, {"kind": "residual", "rounds": 100, "depth": 3, "rate": 0.1}),
     ModelSpec("decision_tree", "Decision Tree", _tree_model, {"maxDepth": 30}),
-    ModelSpec("adaboost", "AdaBoost", _ada, {"rounds": 300, "depth": 2, "rate": 0.05}),
+    ModelSpec("adaboost", "AdaBoost", boost_one, {"kind": "samme", "rounds": 300, "depth": 2, "rate": 0.05}),
     ModelSpec("logistic_regression", "Logistic Regression", _logistic, {"maxIter": 4000}),
     ModelSpec("linear_svm", "Linear SVM", _svm, {"maxIter": 6000}),
     ModelSpec("rbf_svm", "RBF SVM", _kernel_svm, {"maxIter": 1000, "width": 256}),
     ModelSpec("knn", "KNN", _neighbours, {"k": 7}, weighted=False),
-    ModelSpec("xgboost", "XGBoost", _gradient,
-              {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"},
+    ModelSpec("xgboost", "XGBoost", boost_one,
+              {"kind": "newton", "rounds": 400, "depth": 6, "rate": 0.05, "penalty": 1.0, "least": 1.0, "rows": 0.9, "columns": 0.9},
               weighted=False),
 )}
 

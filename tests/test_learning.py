@@ -15,7 +15,7 @@ from tests.helpers import rows
 # Small ensembles for tests of the plumbing; the queries run the registry's settings.
 QUICK = {
     "random_forest": {"numTrees": 20, "maxDepth": 10}, "extra_trees": {"numTrees": 20, "maxDepth": 10},
-    "gradient_boosting": {"maxIter": 5}, "adaboost": {"rounds": 6}, "xgboost": {"maxIter": 5, "maxDepth": 4},
+    "gradient_boosting": {"rounds": 10}, "adaboost": {"rounds": 6}, "xgboost": {"rounds": 10, "depth": 4},
     "logistic_regression": {"maxIter": 100}, "linear_svm": {"maxIter": 30}, "rbf_svm": {"maxIter": 20, "width": 64},
     "decision_tree": {"maxDepth": 12},
 }
