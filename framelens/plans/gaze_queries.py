@@ -259,10 +259,17 @@ SELECT s.label, s.modality, s.source, count(partner) AS candidates, any_value(pa
   any_value(dd) FILTER (position = 1) AS best_duration_diff, any_value(rd) FILTER (position = 1) AS best_row_diff
 FROM src s LEFT JOIN cand c ON s.source = c.source GROUP BY ALL)""", "cand"))
 def _(x):
-    """Candidate count and best candidate per source; the lists themselves are kept per profile."""
+    """Candidate count and best candidate per source, without a table of pairs."""
+    return matching.match_summary(*sides(x), TOL).drop("duration", "rows")
+
+
+@query("candidate_lists", sql("""SELECT s.label, s.modality, s.source, c.position, c.partner, round(c.dd + 3e-9, 7) AS duration_diff, c.rd AS row_diff
+FROM src s JOIN cand c ON s.source = c.source""", "cand"))
+def _(x):
+    """Every candidate of every source in its order; the lists are kept once per profile."""
     sources, partners = sides(x)
     listed = matching.match_candidates(sources, partners, TOL)
-    return matching.candidate_summary(sources, listed).drop("duration", "rows")
+    return sources.join(listed, ["label", "modality", "duration", "rows"]).drop("duration", "rows")
 
 
 @query("name_keys", sql("""SELECT file_stem, uid AS natural_number, partner, (65 + uid % 26)::BIGINT AS letter, uid AS number, uid % 7 AS session,

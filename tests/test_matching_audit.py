@@ -37,9 +37,41 @@ def test_rounds_equal_the_sequential_walk(spark, seed, n, m, grid):
     s = spark.createDataFrame([r[:5] for r in sources], SIDE.format("source"))
     p = spark.createDataFrame([r[:5] for r in partners], SIDE.format("partner"))
     want = sequential(sources, partners, 1.0)
-    for limit in (10_000, 8):
-        got = matching.greedy_assign(s, p, 1.0, limit=limit)
+    for limit, most in ((10_000, 10_000), (8, 10_000), (10_000, 0), (8, 0), (8, 40)):
+        got = matching.greedy_assign(s, p, 1.0, limit=limit, most=most)
         assert {r["source"]: r["partner"] for r in got.collect()} == want
+    plain = matching.candidate_summary(s, matching.match_candidates(s, p, 1.0))
+    for most in (10_000, 0):
+        assert rows(matching.match_summary(s, p, 1.0, most=most).select(plain.columns)) == rows(plain)
+
+
+def test_components_share_no_candidate(spark):
+    rng = random.Random(6)
+    sides = [spark.createDataFrame([("a", "IR", f"{name}{i}", rng.choice([1.0, 2.5, 4.0, 9.0, 30.0]) + rng.random(), 10) for i in range(40)], SIDE.format(name))
+             for name in ("source", "partner")]
+    parts = {r["duration"]: (r["component"], r["size"]) for r in matching.contention(*sides, 1.0).collect()}
+    chunked = {r["duration"]: (r["component"], r["size"]) for r in matching.contention(*sides, 1.0, limit=5).collect()}
+    assert parts == chunked and len({c for c, _ in parts.values()}) > 1 and sum({c: n for c, n in parts.values()}.values()) == 80
+    for a in sides[0].collect():
+        for b in sides[1].collect():
+            if abs(a["duration"] - b["duration"]) <= 1.0:
+                assert parts[a["duration"]][0] == parts[b["duration"]][0]
+
+
+def test_sources_without_a_place(spark):
+    s = spark.createDataFrame([("a", "IR", "v1", None, 3), (None, "IR", "v2", 1.0, 3), ("a", "IR", "v3", 1.0, None), ("a", "IR", "v4", float("nan"), 3)], SIDE.format("source"))
+    p = spark.createDataFrame([("a", "IR", "g", None, 3), (None, "IR", "g2", 1.0, 3)], SIDE.format("partner"))
+    got = matching.greedy_assign(s, p, 1.0).collect()
+    assert {(r["source"], r["status"]) for r in got} == {(f"v{i}", "no candidate") for i in range(1, 5)}
+    assert matching.greedy_assign(s.limit(0), p, 1.0).count() == 0 and matching.match_summary(s, p.limit(0), 1.0).count() == 4
+
+
+def test_halves_round_as_the_column_function(spark):
+    import numpy as np
+
+    values = [0.0000005, 0.0000015, 1.0000025, 0.0333335, 2.5, 0.1234565, 7.0000004999]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert matching.rounded(np.array(values)).tolist() == want
 
 
 def test_unmatched_reasons(spark):
