@@ -186,9 +186,12 @@ def settle_component(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
             got[i] = at[left][first(at[left], gap[left], apart[left])]
             free[got[i]] = False
     named = lambda at: [names[j] if j >= 0 else None for j in at.tolist()]
-    return mine.drop(columns=["is_source", "rank", "component", "size"]).rename(columns={"name": "source"}).assign(
-        partner=named(got), candidates=n, best_partner=named(best), best_duration_diff=pd.array(best_gap, "Float64"),
-        best_row_diff=pd.array(np.where(best >= 0, best_apart, None), "Int64"))
+    plain = lambda values: pd.Series(values, dtype=object)  # noqa: E731  one piece with a type of its own, also if empty
+    kept = {("source" if c == "name" else c): plain(mine[c].tolist()) for c in mine.columns
+            if c not in ("is_source", "rank", "component", "size")}
+    return pd.DataFrame({**kept, "partner": plain(named(got)), "candidates": n, "best_partner": plain(named(best)),
+                         "best_duration_diff": pd.array(best_gap, "Float64"),
+                         "best_row_diff": pd.array(np.where(best >= 0, best_apart, None), "Int64")})
 
 
 def _settled(sources: DataFrame, partners: DataFrame, parts: DataFrame, tolerance: float, group: tuple[str, ...]) -> DataFrame:

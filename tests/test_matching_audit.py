@@ -63,7 +63,8 @@ def test_sources_without_a_place(spark):
     p = spark.createDataFrame([("a", "IR", "g", None, 3), (None, "IR", "g2", 1.0, 3)], SIDE.format("partner"))
     got = matching.greedy_assign(s, p, 1.0).collect()
     assert {(r["source"], r["status"]) for r in got} == {(f"v{i}", "no candidate") for i in range(1, 5)}
-    assert matching.greedy_assign(s.limit(0), p, 1.0).count() == 0 and matching.match_summary(s, p.limit(0), 1.0).count() == 4
+    alone = spark.createDataFrame([("a", "IR", "g3", 1.0, 3)], SIDE.format("partner"))  # a component without a source
+    assert matching.greedy_assign(s.limit(0), alone, 1.0).collect() == [] and matching.match_summary(s, p.limit(0), 1.0).count() == 4
 
 
 def test_halves_round_as_the_column_function(spark):
