@@ -119,7 +119,8 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
                 for lo in range(0, len(c), 1 << 16):
                     at = lo + np.flatnonzero(c[lo:lo + (1 << 16)])
                     at = at[at > 1]
-                    yield pd.DataFrame({"lang": lang, "ids": None, "word": [names[i] for i in at.tolist()], "h": code[at], "n": c[at]})
+                    if len(at):
+                        yield pd.DataFrame({"lang": lang, "ids": None, "word": [names[i] for i in at.tolist()], "h": code[at], "n": c[at]})
 
         for pdf in by_size(batches, "text"):
             ids = numbers(pdf["text"].tolist(), known)
