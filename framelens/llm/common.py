@@ -131,9 +131,45 @@ class Scratch:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with a ``row`` number for every row, as a written table, so that the numbers stay the same."""
-    return scratch.write(docs.withColumn("row", F.monotonically_increasing_id()))
+    def close(self) -> None:
+        """Remove all tables; nothing that reads them may be used afterwards."""
+        self._paths.clear()
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.folder), True)
+
+
+#: Rows of a narrow table that is sent to every task; larger ones are joined by shuffle.
+SMALL = 500_000
+
+
+def small_or_not(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it was counted as small."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column is called so; Spark does not tell cases apart."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, scratch: Scratch, stored: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row that stays the same however often it is read, and the number's column.
+
+    ``stored`` says that ``docs`` is a Parquet table read from files: then file and place in the file make the number and
+    nothing is copied. Any other table is written with its numbers.
+    """
+    row = free_name("row", docs.columns)
+    if stored and "_metadata" not in {c.lower() for c in docs.columns}:
+        path, at = free_name("path", docs.columns), free_name("place", docs.columns)
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+        files = sorted(r[0] for r in placed.select(path).distinct().collect())  # names of files, not rows
+        if len(files) < 1 << 22:
+            named = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{row} long, {path} string")
+            joined = placed.join(F.broadcast(named), path)  # a file takes 2**41 rows at most
+            return joined.select(*docs.columns, (F.shiftleft(F.col(row), 41) + F.col(at)).alias(row)), row
+    return scratch.write(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def lengths(lists: list[list]) -> np.ndarray:

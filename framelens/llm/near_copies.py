@@ -1,16 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Equal sets are one node, named by its smallest row. A SimHash of 256 bits over the set, a word of which is the
-fingerprint, proposes pairs; the sets themselves decide. At a similarity of 0.8 a bit differs with a chance of about
-0.15, so 64 bits differ in 9.7 (standard deviation 2.9) and 256 in 39 (5.7). ``NEAR`` and ``WIDE`` lie more than four
-deviations above. At such a radius the triangle inequality excludes nothing (unrelated fingerprints differ in 32 of 64
-bits), so vantage points cannot part the points. Sizes can: similar sets differ in size by a quarter at most. Points are
-dealt by classes of size, classes into blocks, and each pair of blocks whose sizes can match is compared in one task.
-The comparisons grow with the square of the table.
-
-Members of one group need not be compared with each other: a task whose pairs are many proposes a spanning forest of
-them, and is asked again once what the sets confirm has been merged. It is done when it has proposed every pair that is
-left between groups.
+Equal sets are one node, named by its smallest row. Pairs of nodes are proposed in two ways and the sets decide:
+
+* SimHashes over the sets that differ in few bits, found by the vantage-point search of ``simhash_vp``. It is exact within
+  its radius, but sets with a similarity of 0.8 differ in about ten of 64 bits, and at such a radius the triangle
+  inequality excludes nothing (unrelated fingerprints differ in 32).
+* Equal bands of a MinHash signature (Broder, 1997): ``BANDS`` bands of ``ROWS`` minima. A pair with a similarity of 0.8
+  shares a band with a chance of 0.9996. The number of bands is fixed, so the work grows with the table.
+
+Within a bucket of equal bands members are compared with its smallest node first; what the sets confirm is merged. Then
+only pairs of different groups are left. The nodes outside the largest group of a bucket are dealt into classes, and the
+smallest of each class is compared with all members of other groups; with ``GROWTH`` times as many classes in each turn,
+until every class has one node. So no pair of a bucket is left out, pairs within a group are never made, and no bucket is
+gathered in a task.
 """
 
 from __future__ import annotations
@@ -20,16 +22,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from framelens.llm.common import Scratch, in_slices, lower_words, mapped, numbered, spread
-from framelens.llm.simhash_vp import SEED, Forest, components, heads
+from framelens.llm.common import Scratch, in_slices, lower_words, mapped, numbered, small_or_not
+from framelens.llm.simhash_vp import SEED, components, heads, links
 
-SHINGLE, WORDS, NEAR, WIDE = 5, 4, 22, 64
-#: Points of a block at most and at least; blocks in the table at least, if they are not smaller for it.
-BLOCK, LEAST, BLOCKS = 16_384, 256, 64
-#: A little over 1 / 0.8, so that sizes that can match are in the same or in neighbouring classes.
-CLASS = 1.26
+SHINGLE, BANDS, ROWS, GROWTH = 5, 20, 5, 64
+#: Pairs whose signatures agree in a smaller share are not compared: four deviations below 0.8.
+AGREE = 0.64
 _U = np.uint64
-_POINT = [f"p{i}" for i in range(WORDS)]
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * _U(2) + _U(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,161 +45,157 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1:] - 1).tolist())], _U))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of ``WORDS`` times 64 bits of a set."""
-    ones = np.zeros((WORDS, 64), np.int64)
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set, as a signed number."""
+    ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 14):
-        part = hashes[lo:lo + (1 << 14)]
-        for i in range(WORDS):
-            z = part + _U(i * 0x9E3779B97F4A7C15 % (1 << 64))
-            z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
-            ones[i] += np.unpackbits((z ^ (z >> _U(31))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1).view(_U).reshape(WORDS)
+        ones += np.unpackbits(hashes[lo:lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The minima of the set under ``BANDS * ROWS`` multiplications, their upper halves."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, _U)
+    for lo in range(0, len(hashes), 1 << 10):
+        np.minimum(least, np.multiply.outer(hashes[lo:lo + (1 << 10)], _FACTORS).min(axis=0), out=least)
+    return (least >> _U(32)).astype(np.uint32)
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """``row, key`` (a hash of the set), its size ``n`` and its sketch."""
+    """``row, key`` (a hash of the set), its size ``n``, SimHash ``point`` and signature ``sig``."""
 
     def run(batches):
         for pdf in in_slices(batches):
             sets = [shingles(t) for t in pdf["text"]]
-            points = np.array([sketch(s) for s in sets], _U).reshape(-1, WORDS).view(np.int64)
             yield pd.DataFrame({"row": pdf["row"].to_numpy(), "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                                "n": [len(s) for s in sets], **{p: points[:, i] for i, p in enumerate(_POINT)}})
-
-    return mapped(rows.select("row", "text"), run, "row long, key binary, n long, " + ", ".join(f"{p} long" for p in _POINT))
-
-
-def blocks(nodes: DataFrame) -> tuple[dict[int, tuple[int, int, int, int]], int]:
-    """Per class of size: its first block, its number of blocks and the range of blocks it is compared with."""
-    counts = {int(r["c"]): r["n"] for r in nodes.groupBy(_class().alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = min(BLOCK, max(LEAST, sum(counts.values()) // BLOCKS))
-    first, upto = {}, 0
-    for c in sorted(counts):
-        first[c] = upto, -(-counts[c] // most)
-        upto += first[c][1]
-    return {c: (lo, n, first.get(c - 1, (lo, n))[0], sum(first.get(c + 1, (lo, n)))) for c, (lo, n) in first.items()}, upto
-
-
-def _class():
-    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS)))
-
-
-def proposed(a: pd.DataFrame, b: pd.DataFrame, same: bool, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Positions of pairs of different groups that may be near copies, and whether they are a forest in place of all."""
-    rng = np.random.default_rng(seed)
-    (pa, ca, na), (pb, cb, nb) = [(d[_POINT].to_numpy(np.int64).view(_U), d["root"].to_numpy(), d["n"].to_numpy()) for d in (a, b)]
-    found, held, forest = [], 0, False
-    names, group = np.unique(np.concatenate([ca, cb]), return_inverse=True)
-    ga, gb = group[:len(ca)], group[len(ca):]
-    one = np.ascontiguousarray(pb[:, 0])
-
-    def thin(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = rng.permutation(len(i))[:4 * (len(ca) + len(cb))]
-        sets, kept = Forest(len(names)), []
-        for k, x, y in zip(at.tolist(), ga[i[at]].tolist(), gb[j[at]].tolist()):
-            if sets.root(x) != sets.root(y):
-                sets.join(x, y)
-                kept.append(k)
-        return i[kept], j[kept]
-
-    for lo in range(0, len(pa), 256):
-        near = np.bitwise_count(pa[lo:lo + 256, :1] ^ one[None]) <= NEAR
-        i, j = np.nonzero(near)
-        i += lo
-        ok = (ga[i] != gb[j]) & (10 * np.minimum(na[i], nb[j]) >= 8 * np.maximum(na[i], nb[j]))
-        if same:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        ok = np.bitwise_count(pa[i] ^ pb[j]).sum(axis=1, dtype=np.int64) <= WIDE
-        found.append((i[ok], j[ok]))
-        held += int(ok.sum())
-        if held > limit:
-            # Many pairs: only what connects them is kept, of a random order so that no point has most of the links.
-            forest = True
-            found = [thin(*(np.concatenate(x) for x in zip(*found)))]
-            held = len(found[0][0])
-    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    return i, j, forest
-
-
-def candidates(nodes: DataFrame, plan: dict, total: int, turn: int, wanted: DataFrame | None) -> DataFrame:
-    """``task, a, b, more`` of the pairs proposed (a > b); ``more`` if the task has to be asked again. The first turn
-    looks within blocks only."""
-
-    def deal(batches):
-        for pdf in batches:
-            lo, n, left, right = np.array([plan[c] for c in pdf["c"]], np.int64).reshape(-1, 4).T
-            own = lo + pdf["deal"].to_numpy(np.int64) % n
-            if turn == 0:
-                left, right = own, own + 1
-            at, other = np.repeat(np.arange(len(pdf)), right - left), spread(left, right - left)
-            out = pdf.iloc[at].drop(columns=["c", "deal"])
-            out.insert(0, "own", own[at])
-            out.insert(0, "task", np.minimum(own[at], other) * total + np.maximum(own[at], other))
-            yield out
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, task = pdf.sort_values("node"), int(pdf["task"].iloc[0])
-        same = task // total == task % total
-        a, b = pdf[pdf["own"] == task // total], pdf[pdf["own"] == task % total]
-        i, j, more = proposed(a, b, same, max(16, len(pdf) * 4 ** turn // 16), task + turn)
-        x, y = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
-        return pd.DataFrame({"task": task, "a": np.maximum(x, y), "b": np.minimum(x, y), "more": more})
-
-    schema = "node long, root long, n long, " + ", ".join(f"{p} long" for p in _POINT)
-    dealt = mapped(nodes.select("node", "root", "n", *_POINT, _class().alias("c"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("deal")),
-                   lambda batches: deal(in_slices(batches)), "task long, own long, " + schema)
-    if wanted is not None:
-        dealt = dealt.join(wanted, "task", "left_semi")
-    return dealt.groupBy("task").applyInPandas(meet, "task long, a long, b long, more boolean")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+                                "n": [len(s) for s in sets], "point": [fingerprint(s) for s in sets],
+                                "sig": [signature(s).tobytes() for s in sets]})
+
+    return mapped(rows, run, "row long, key binary, n long, point long, sig binary")
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``k, node`` of every band that two nodes or more share."""
+
+    def run(batches):
+        for pdf in in_slices(batches, 4096):
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), BANDS, ROWS)
+            keys = [xxhash.xxh64_intdigest(sig[i, b].tobytes(), b) for i in range(len(pdf)) for b in range(BANDS)]
+            yield pd.DataFrame({"k": np.array(keys, _U).view(np.int64), "node": np.repeat(pdf["node"].to_numpy(), BANDS)})
+
+    bands = mapped(nodes.select("node", "sig"), run, "k long, node long")
+    shared = bands.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
+    return bands.join(shared, "k", "left_semi")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree often enough to look at the sets."""
+
+    def run(batches):
+        for pdf in in_slices(batches, 4096):
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("sa", "sb"))
+            yield pdf.loc[(a == b).mean(axis=1) >= AGREE, ["a", "b"]]
+
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return mapped(both, run, "a long, b long")
+
+
+def set_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, s``: the sets of the wanted nodes, 32 bits of each hash."""
 
     def run(batches):
         for pdf in in_slices(batches):
-            yield pd.DataFrame({"node": pdf["row"].to_numpy(), "s": [shingles(t).view(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["row"].to_numpy(), "s": [np.unique(shingles(t).astype(np.uint32)).tobytes() for t in pdf["text"]]})
+
+    return mapped(rows.join(wanted, "row", "left_semi"), run, "node long, s binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+
+    def run(batches):
+        for pdf in in_slices(batches, 64):
+            good = []
+            for x, y in zip(pdf["sa"], pdf["sb"]):
+                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(10 * both >= 8 * (len(a) + len(b) - both))
+            yield pdf.loc[good, ["a", "b"]]
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = scratch.write(mapped(rows.join(ends, "row", "left_semi").select("row", "text"), run, "node long, s array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    # Shared / (all - shared) >= 0.8
-    good = scratch.write(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
-    scratch.drop(sets)
-    return good
+    return mapped(both, run, "a long, b long")
+
+
+def proposed(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a > b) of different groups to compare in this turn, and the classes of more than one node that are left.
+
+    ``live`` has ``k, node, root`` of the buckets with several groups.
+    """
+    if turn == 0:
+        first = live.groupBy("k").agg(F.min(F.struct("node", "root")).alias("x"), F.lit(2).alias("size"))
+    else:
+        sizes = live.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        rest = live.join(sizes, "k").filter("root <> largest")
+        dealt = rest.withColumn("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn)))
+        first = dealt.groupBy("k", "class").agg(F.min(F.struct("node", "root")).alias("x"), F.count(F.lit(1)).alias("size"))
+    one = first.select("k", F.col("x.node").alias("head"), F.col("x.root").alias("own"))
+    met = live.join(one, [live["k"] == one["k"], live["root"] != one["own"]])
+    pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    return pairs, first.filter("size > 1")
 
 
 def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``row, root, wordless`` of every row of ``row, text``: rows of one group of near copies have one root. Texts
     without a word are equal."""
-    sets = scratch.write(described(rows))
-    nodes = scratch.write(sets.groupBy("key").agg(F.min("row").alias("node"), *[F.min(c).alias(c) for c in ("n", *_POINT)]))
+    described_rows = scratch.write(described(rows))
+    nodes = scratch.write(described_rows.groupBy("key").agg(F.min("row").alias("node"), F.first("n").alias("n"),
+                                                            F.first("point").alias("point"), F.first("sig").alias("sig")))
     some = nodes.filter("n > 0")
-    plan, total = blocks(some)
-    edges, wanted, turn = None, None, 0
-    roots = some.select("node", F.col("node").alias("root")).limit(0)
+    bands = scratch.write(buckets(some))
+    # Nodes with one fingerprint differ in no bit and are linked to the first of them.
+    points = scratch.write(some.groupBy("point").agg(F.min("node").alias("node")))
+    same = some.join(points.withColumnRenamed("node", "b"), "point").select(F.col("node").alias("a"), "b").filter("a <> b")
+    close = scratch.write(links(points).unionByName(same).distinct())
+    wanted = scratch.write(bands.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+                           .withColumnRenamed("node", "row"))
+    sets = scratch.write(set_table(rows, small_or_not(wanted)))
+    edges = scratch.write(verified(alike(close, some), sets))
+    scratch.drop(points, close, wanted)
+    apart, turn = edges.limit(0), 0
     while True:
-        now = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = scratch.write(candidates(now, plan, total, turn, wanted))
-        good = verified(pairs.select("a", "b"), rows, scratch)
-        edges = good if edges is None else edges.unionByName(good)
         roots = components(edges, scratch)
-        if turn:
-            wanted = pairs.filter("more").select("task").distinct()
-            if wanted.isEmpty():
-                break
+        now = bands.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+        mixed = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("k")
+        live = scratch.write(now.join(mixed, "k", "left_semi"))
+        if live.isEmpty():
+            scratch.drop(live)
+            break
+        pairs, crowded = proposed(live, turn)
+        pairs = scratch.write(pairs.join(apart, ["a", "b"], "left_anti"))
+        last = crowded.isEmpty()
+        good = scratch.write(verified(alike(pairs, some), sets))
+        before, edges = edges, scratch.write(edges.unionByName(good))
+        old, apart = apart, scratch.write(apart.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
+        scratch.drop(before, old, live, pairs, good)
+        if last:
+            roots = components(edges, scratch)
+            break
         turn += 1
-    named = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return sets.join(named, "key").select("row", "root", (F.col("n") == 0).alias("wordless"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, as ``heads`` picks it; rows go by a number of their own."""
-    scratch = Scratch(docs.sparkSession)
-    rows = numbered(docs, scratch)
-    kept = heads(groups(rows, scratch).join(rows.select("row", "doc_id"), "row"))
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    scratch.drop(bands, sets)
+    named = scratch.write(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")))
+    scratch.drop(nodes)
+    return described_rows.join(named, "key").select("row", "root", (F.col("n") == 0).alias("wordless"))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch | None = None, stored: bool = False) -> DataFrame:
+    """One row of each group of near copies, as ``heads`` picks it; rows go by a number of their own, so ids may repeat or
+    be missing. Null and empty texts are equal to each other. Very long texts count whole. An empty table stays empty.
+    All columns are kept, whatever their names. ``stored``: see ``numbered``."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows, row = numbered(docs, scratch, stored)
+    found = groups(rows.select(F.col(row).alias("row"), "text"), scratch)
+    labelled = scratch.write(found.join(rows.select(F.col(row).alias("row"), "doc_id"), "row"))
+    gone = scratch.write(labelled.select("row").join(heads(labelled), "row", "left_anti").withColumnRenamed("row", row))
+    return rows.join(small_or_not(gone), row, "left_anti").select(*docs.columns)

@@ -249,8 +249,8 @@ def heads(found: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates. Rows go by a number of their own, so ids may repeat or be missing."""
-    rows = numbered(docs, Scratch(docs.sparkSession))
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(
+    rows, row = numbered(docs, Scratch(docs.sparkSession))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(
         F.col("doc_id").alias("row"), F.col("component_id").alias("root"), (F.col("fingerprint") == "0" * 16).alias("wordless"))
-    kept = heads(found.join(rows.select("row", "doc_id"), "row"))
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    kept = heads(found.join(rows.select(F.col(row).alias("row"), "doc_id"), "row")).withColumnRenamed("row", row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

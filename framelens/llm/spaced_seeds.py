@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framelens.llm.common import Scratch, numbered
+from framelens.llm.common import Scratch, numbered, small_or_not
 
 MASKS = ("1110111", "11011011", "110011011", "110101011")
 WINDOW, SHARE_TENTHS, GATE = 13, 8, 18
@@ -86,13 +86,15 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.join(seeds.drop("pair"), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, item_id, n_equal, n_window``: the most equal words in a window of an item aligned with a document,
     for every pair where they are enough."""
-    pairs = alignments(docs, items)
+    scratch = scratch or Scratch(docs.sparkSession)
+    pairs = scratch.write(alignments(docs, items))
+    hit = scratch.write(pairs.select("doc_id").distinct())
     item = items.filter("item_id IS NOT NULL").select("item_id", words("text").alias("iw"))
-    # Both joins and the check go by doc_id, so the texts of documents with an alignment move once.
-    texts = docs.select("doc_id", "text").join(pairs.select("doc_id"), "doc_id", "left_semi")
+    # Few documents have an alignment; only their texts move.
+    texts = docs.select("doc_id", "text").join(small_or_not(hit), "doc_id", "left_semi")
     aligned = pairs.join(texts.select("doc_id", words("text").alias("w")), "doc_id").join(item, "item_id")
     lo = F.greatest(-F.col("shift"), F.lit(0))
     n = F.least(F.size("iw"), F.size("w") - F.col("shift")) - lo
@@ -108,11 +110,17 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.max("n_equal").cast("long").alias("n_equal"), F.max("n_window").cast("long").alias("n_window"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap an item. Each row is a document of its own, also with a repeated id or none."""
-    rows = numbered(docs, Scratch(docs.sparkSession))
-    bad = overlaps(rows.select(F.col("row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("row")).distinct()
-    return rows.join(bad, "row", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, stored: bool = False) -> DataFrame:
+    """``docs`` without the rows that overlap an item. Each row is a document of its own, also with a repeated id or none.
+
+    Null and empty texts overlap nothing and stay, long texts are compared whole, no rows give no rows. All columns are
+    kept, whatever their names. ``stored``: see ``numbered``.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows, row = numbered(docs, scratch, stored)
+    found = overlaps(rows.select(F.col(row).alias("doc_id"), "text"), items, scratch)
+    bad = scratch.write(found.select(F.col("doc_id").alias(row)).distinct())
+    return rows.join(small_or_not(bad), row, "left_anti").select(*docs.columns)
 
 
 def _sql() -> str:

@@ -167,7 +167,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
     return Toxicity(bucket, bias - cut)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Toxicity:
     """Fit on labelled rows that are not held out; rows without a text count as empty, repeated rows count again."""
     known = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
     known = known.filter(remainder("doc_id", 5) != 0).withColumn("_o", F.xxhash64("doc_id"))
@@ -187,9 +187,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
                                 "at": [x.tobytes() for x, _ in made], "w": [y.tobytes() for _, y in made]})
 
     # Written once by all tasks, then read a partition at a time, so that the driver holds the sample only once.
-    made = Scratch(docs.sparkSession).write(mapped(texts.select("doc_id", "text", "_o", "label"), weights,
+    scratch = scratch or Scratch(docs.sparkSession)
+    made = scratch.write(mapped(texts.select("doc_id", "text", "_o", "label"), weights,
                                                    "doc_id long, o long, label int, at binary, w binary"))
     held = [(r["o"], r["doc_id"], r["at"], r["w"], r["label"]) for r in made.coalesce(8).toLocalIterator()]
+    scratch.drop(made)
     held.sort(key=lambda x: x[:3], reverse=True)
     bags, truth = [], []
     while held and len(bags) < sum(PER_CLASS.values()):  # repeated rows count within the bound
@@ -251,7 +253,8 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns unchanged."""
+    """The rows of ``docs`` that are not predicted toxic, all columns unchanged; rows without a text go by the bias, each
+    repeated row by itself, long texts are read whole, and no rows give no rows."""
     make = scorer(model, docs.sparkSession)
 
     @F.pandas_udf("boolean")

@@ -439,9 +439,8 @@ def test_cleaning_goes_by_row_and_not_by_id(spark):
 
 
 def test_near_copies_are_those_with_similar_shingles(spark, monkeypatch):
-    """Of each group the stage of the pipeline keeps one, as comparing all pairs does; also where tasks are asked again."""
+    """Of each group the stage of the pipeline keeps one, as comparing all pairs does."""
     import corpus_pipeline
-    monkeypatch.setattr(near_copies, "LEAST", 40)
     rng = np.random.default_rng(8)
     texts = {}
     for base, n in enumerate([200, 60, 1000]):
