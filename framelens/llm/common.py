@@ -1,4 +1,4 @@
-"""What the text operators share: words of a text, a bounded memo per worker, and tables in the shared folder."""
+"""What the text operators share: words of a text, bounded memos, and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def remainder(column: str, n: int) -> Column:
 
 
 class Memo(dict):
-    """A memo that starts anew once it is full, so that a worker's memory is bounded however many words there are."""
+    """A memo that starts anew once it is full, so that its memory is bounded however many words there are."""
 
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()

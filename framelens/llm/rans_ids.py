@@ -14,10 +14,13 @@ states and a 32-bit word position each) and the 32-bit words.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import struct
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -127,11 +130,42 @@ class Coder:
         return out.reshape(-1)[:n]
 
 
-def word_tokenizer(tokenizer_json: str):
+#: The steps of a tokenizer file for which words can be looked up one by one.
+_NORMALISER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def check(tokenizer_json: str) -> None:
+    """Refuse tokenizer files whose ids do not follow from their words taken one by one."""
+    spec = json.loads(tokenizer_json)
+    if spec.get("normalizer") != _NORMALISER or spec.get("pre_tokenizer") != _CUTS:
+        raise ValueError("this tokenizer's normaliser or pre-tokenizer does not work word by word")
+    if spec["model"].get("type", "BPE") != "BPE" or spec["model"].get("dropout") or spec.get("truncation") or spec.get("padding"):
+        raise ValueError("only plain byte-pair models without truncation or padding are supported")
+    if any(not t["content"].startswith("<|") or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens must be spelled with <| and stand for themselves")
+
+
+_WORKERS: dict[str, Callable] = {}
+
+
+def worker_tokenizer(tokenizer_json: str) -> Callable:
+    """The ``word_tokenizer`` of a worker process, which keeps it and its memos from task to task."""
+    key = hashlib.sha256(tokenizer_json.encode("utf-8")).hexdigest()
+    if key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[key] = word_tokenizer(tokenizer_json)
+    return _WORKERS[key]
+
+
+def word_tokenizer(tokenizer_json: str) -> Callable:
     """Ids of whole texts by the tokenizers library, without special tokens.
 
     The tokenizer lower-cases, drops white space and never joins what white space separates, so a text's ids are those
-    of its words. Words are looked up once per worker; a lower-case word with a mark at its end is put together from
+    of its words. Words are looked up once and kept in bounded memos; a lower-case word with a mark at its end is put together from
     its stem and the mark, which the tokenizer separates too. A text with "<|", where special tokens are spelled, goes
     through the library as a whole.
     """
@@ -183,17 +217,20 @@ def width_of(vocabulary: int) -> str:
 
 
 def tokenise(docs: DataFrame, tokenizer_json: str, end: int, width: str) -> DataFrame:
-    """``doc_id, ids`` with ``end`` behind every document; ids are packed as numbers of the given type."""
+    """``doc_id, ids, place`` with ``end`` behind every document; ids are packed as numbers of the given type, ``place``
+    tells equal rows apart."""
+    check(tokenizer_json)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary file, whatever the table
 
     def run(batches):
-        encode = word_tokenizer(shared.value)
+        encode = worker_tokenizer(shared.value)
         tail = np.array([end], np.int32)
         for pdf in in_slices(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [
                 _packed(np.concatenate([x, tail]), width) for x in encode(list(pdf["text"]))]})
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    made = mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    return made.withColumn("place", F.monotonically_increasing_id())
 
 
 def frequencies(tokens: DataFrame, vocabulary: int, width: str) -> np.ndarray:
@@ -214,7 +251,8 @@ def frequencies(tokens: DataFrame, vocabulary: int, width: str) -> np.ndarray:
 
 
 def write(tokens: DataFrame, freq: np.ndarray, width: str, path: str) -> None:
-    """Write ``doc_id, ids`` in ascending ``doc_id`` order (ties by their ids) to the folder ``path``."""
+    """Write ``doc_id, ids, place`` in ascending ``doc_id`` order to the folder ``path``; ties go by crc32 and place, so that a
+    row repeated many times is spread over files too."""
     spark = tokens.sparkSession
     raw = freq.astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(zlib.compress(raw)), zlib.crc32(raw))], "table binary, crc32 long").write.parquet(f"{path}/frequencies")
@@ -243,9 +281,9 @@ def write(tokens: DataFrame, freq: np.ndarray, width: str, path: str) -> None:
             yield close()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids"), F.col("ids")]
-    ranged = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(*order)
-    blocks = mapped(ranged, run, "block long, before long, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids"), F.col("place")]
+    ranged = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    blocks = mapped(ranged.select("doc_id", "ids"), run, "block long, before long, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary")
     # Payloads are dense already; the columns beside them are small.
     blocks.select(F.spark_partition_id().alias("file"), "*").write.option("compression", "none").parquet(f"{path}/blocks")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib.util
+import json
 import re
 import sys
 import zlib
@@ -89,6 +90,27 @@ def test_word_lookup_is_the_library(texts):
     assert [list(x) for x in _lookup(path)(texts)] == want
 
 
+def test_a_row_that_is_a_third_of_the_table_is_spread_over_files(spark):
+    items = [(7, prose(40, 1)) if i % 3 == 0 else (1000 + i, prose(40, i)) for i in range(600)]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    width, scratch = rans_ids.width_of(49_408), Scratch(spark)
+    path = f"{scratch.folder}/ids"
+    tokens = scratch.write(rans_ids.tokenise(df, Path(public_file("word_bpe_49k.json")).read_text(), 1, width))
+    rans_ids.write(tokens, rans_ids.frequencies(tokens, 49_408, width), width, path)
+    per_file = {r["file"]: list(r["doc_ids"]).count(7) for r in spark.read.parquet(f"{path}/blocks").collect()}
+    assert sum(per_file.values()) == 200 and max(per_file.values()) < 150
+    back = rans_ids.read(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted(i for i, _ in items) and back[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:]))
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"max_length": 5}}])
+def test_tokenizers_that_do_not_work_by_words_are_refused(change):
+    spec = json.loads(Path(public_file("word_bpe_49k.json")).read_text())
+    with pytest.raises(ValueError):
+        rans_ids.check(json.dumps({**spec, **change}))
+
+
 _CACHE = {}
 
 
