@@ -210,7 +210,7 @@ def _memo(model: Toxicity) -> Memo:
     key = hashlib.sha256(model.bucket.tobytes()).digest()
     if key not in _WORKERS:
         _WORKERS.clear()
-        _WORKERS[key] = Memo(model.word, 1_000_000)
+        _WORKERS[key] = Memo(model.word, 300_000)
     return _WORKERS[key]
 
 
