@@ -40,12 +40,12 @@ from framelens.llm.common import LOWER, UPPER, Scratch, lengths
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 #: Phrases of each kind in a wave, bits of the table of frequent words, words a task counts before it sends them.
-WAVE, GATE, WORDS = 1 << 16, 22, 400_000
+WAVE, GATE, WORDS = 1 << 16, 22, 200_000
 #: Share of a language's words that the prefixes of a wave make up: one in ``SLOW`` in the first waves, which settle a
 #: first limit, then twice as much each time.
 SLOW, FIRST = 16, 4
 #: Bytes of text split at once, and counted pairs a task holds before it adds them up.
-PART, PAIRS = 1 << 22, 1 << 21
+PART, PAIRS = 1 << 21, 1 << 19
 GROW, LEFT, WANT = 0, 1, 2
 _SEPARATORS = b".,;:!?\n\v\f\r"
 #: Upper to lower case, tab to space, every separator to a comma.
