@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framelens.operators.series import CHUNK_ROWS, Series, scan, stage
 
 HASH_BITS = 60
-MOST_ROWS = 2**17 - 1
+#: Class-count profiles whose odd groups are placed one by one; those of the smallest groups beyond it go round in turn.
+PROFILES = 50_000
 
 
 def with_group_id(windows: DataFrame, parent: str = "file_stem") -> DataFrame:
@@ -28,32 +29,58 @@ def _dealt(groups: DataFrame, stratum: str, order: Column, limit: int = CHUNK_RO
                 totals={"_size": ("sum", F.lit(1))})
 
 
-def large_first(seed: int) -> Column:
-    """Groups with more rows come first, equal ones in shuffled order; the upper 17 bits hold the rows."""
-    rows = F.lit(MOST_ROWS) - F.least(F.col("rows"), F.lit(MOST_ROWS))
-    return rows * F.lit(2**43) + F.shiftright(hash_order(F.col("group_id"), seed), 17)
-
-
 def fold_count(dataset: DataFrame, most: int = 5) -> int:
     """Folds that every label can fill: at most ``most``, at most its number of groups."""
     per_label = dataset.select("label", "group_id").distinct().groupBy("label").count()
     return min(most, per_label.agg(F.min("count")).first()[0] or 0)
 
 
-def stratified_group_folds(dataset: DataFrame, k: int, seed: int = 42, limit: int = CHUNK_ROWS) -> DataFrame:
-    """Fold of every group: groups of one label set are dealt to and fro over the folds, those with most rows first,
-    and a label set goes on where the one before it stopped, so that small sets do not pile up in the first fold."""
-    groups = dataset.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("stratum"),
-                                             F.count(F.lit(1)).alias("rows"))
-    dealt = _dealt(groups, "stratum", large_first(seed), limit)
-    # One row per label set.
-    sizes = dealt.select("stratum", "_size").distinct()
-    ahead = F.sum("_size").over(Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("stratum", F.coalesce(ahead, F.lit(0)).alias("_start"))
-    at = F.col("_start") + F.col("_pos") - 1
-    turn = at % k
-    fold = F.when(F.floor(at / k) % 2 == 0, turn).otherwise(F.lit(k - 1) - turn)
-    return dealt.join(starts, "stratum").select("group_id", "stratum", "rows", fold.cast("int").alias("fold"))
+def place_units(units: list[tuple[dict[str, int], int]], totals: dict[str, int], k: int) -> list[list[int]]:
+    """Folds of the odd groups of each profile, in the order given: a group goes to the fold where its classes are
+    scarcest, as shares of all rows of a class; on a tie to the fold with fewer rows, then to the first.
+
+    That is the fold for which the class shares of all folds stay closest together: adding g to a count c changes the sum
+    of squares by 2cg + g * g, and only 2cg depends on the fold.
+    """
+    names = sorted(totals)
+    held, out = [dict.fromkeys(names, 0) for _ in range(k)], []
+    for counts, n in units:
+        folds = []
+        for _ in range(n):
+            scarce = lambda f: sum((held[f][c] * counts.get(c, 0) / (totals[c] * totals[c]) for c in names), 0.0)
+            fold = min(range(k), key=lambda f: (scarce(f), sum(held[f].values()), f))
+            folds.append(fold)
+            for c, g in counts.items():
+                held[fold][c] += g
+        out.append(folds)
+    return out
+
+
+def stratified_group_folds(dataset: DataFrame, k: int, seed: int = 42, limit: int = CHUNK_ROWS, most: int = PROFILES) -> DataFrame:
+    """``group_id, stratum, labels, rows, fold``: folds whose shares of every class are as even as whole groups allow.
+
+    Groups with the same rows per class are interchangeable. Of such a profile every fold gets the same number, in shuffled
+    order, and the fewer than ``k`` groups left over are placed one by one, profiles with most rows first. Only profiles
+    reach the driver, ``most`` at most; odd groups of further (smaller) ones go round the folds.
+    """
+    counts = stage(dataset.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n")))
+    groups = counts.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("classes"), F.sum("n").alias("rows"))
+    groups = stage(groups.withColumn("profile", F.md5(F.to_json("classes"))))
+    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    profiles = groups.groupBy("profile").agg(F.first("classes").alias("classes"), F.first("rows").alias("rows"),
+                                             F.count(F.lit(1)).alias("of"))
+    top = profiles.orderBy(F.desc("rows"), "profile").limit(most).collect()
+    named = [(r["profile"], {c["label"]: c["n"] for c in r["classes"]}, r["of"] % k) for r in top]
+    named.sort(key=lambda p: (-sum(p[1].values()), [-p[1].get(c, 0) for c in sorted(totals)]))
+    placed = place_units([p[1:] for p in named], totals, k)
+    odd = dataset.sparkSession.createDataFrame([(p[0], f) for p, f in zip(named, placed)], "profile string, odd array<int>")
+    dealt = _dealt(groups.drop("classes"), "profile", hash_order(F.col("group_id"), seed), limit)
+    at, even = F.col("_pos") - 1, F.floor(F.col("_size") / k) * k
+    spare = F.pmod(at + F.crc32("profile"), F.lit(k))
+    fold = F.when(at < even, at % k).otherwise(F.coalesce(F.get("odd", (at - even).cast("int")), spare))
+    labels = counts.groupBy("group_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return dealt.join(odd, "profile", "left").join(labels, "group_id").select(
+        "group_id", F.array_join("labels", "+").alias("stratum"), "labels", "rows", fold.cast("int").alias("fold"))
 
 
 def both_sides(folds: DataFrame, seed: int = 42) -> DataFrame:
@@ -66,14 +93,14 @@ def both_sides(folds: DataFrame, seed: int = 42) -> DataFrame:
     moved: dict[str, bool] = {}
     while True:
         now = sides.withColumn("test", F.coalesce(_looked_up(moved), F.col("test"))) if moved else sides
-        per = now.select(F.explode(F.split("stratum", r"\+")).alias("label"), "test").groupBy("label").agg(
+        per = now.select(F.explode("labels").alias("label"), "test").groupBy("label").agg(
             F.count_if("test").alias("test"), F.count_if(~F.col("test")).alias("train")).collect()
         lacking = sorted((r["label"], r["test"] == 0) for r in per if r["test"] + r["train"] > 1 and 0 in (r["test"], r["train"]))
         found = None
         for label, to_test in lacking:
             spare = [r["label"] for r in per if r["train" if to_test else "test"] > 1]
-            found = now.filter((F.col("test") != F.lit(to_test)) & F.array_contains(F.split("stratum", r"\+"), label)
-                               & (F.size(F.array_except(F.split("stratum", r"\+"), F.array(*[F.lit(s) for s in spare]))) == 0)
+            found = now.filter((F.col("test") != F.lit(to_test)) & F.array_contains("labels", label)
+                               & (F.size(F.array_except("labels", F.array(*[F.lit(s) for s in spare]))) == 0)
                                ).orderBy("rows", hash_order(F.col("group_id"), seed)).select("group_id").first()
             if found:
                 moved[found["group_id"]] = to_test

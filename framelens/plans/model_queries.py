@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelens.config import LABELS
 from framelens.operators import features, metrics, rules, scoring, split
 from framelens.operators.series import stage
-from framelens.plans.registry import CTE, K, Inputs, query, shown, sql
+from framelens.plans.registry import CTE, RECURSIVE, K, Inputs, query, shown, sql
 from framelens.plans.window_queries import HC_SQL, KEYS, window_table
 
 GROUP = "modality || '::' || file_stem"
@@ -44,14 +44,37 @@ def _(x):
 
 
 HASH = "('0x' || substr(md5('42:' || group_id), 1, 15))::BIGINT"
-CTE["grp"] = ("SELECT group_id, string_agg(DISTINCT label, '+' ORDER BY label) AS stratum, count(*) AS rows FROM train GROUP BY group_id", ("train",))
-CTE["folds"] = (f"""SELECT group_id, stratum, rows, CASE WHEN p // 5 % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END::INT AS fold
-FROM (SELECT *, row_number() OVER (ORDER BY stratum, least(rows, 131071) DESC, {HASH} // 131072) - 1 AS p FROM grp)""", ("grp",))
+CLASSES = sorted(LABELS)
+CTE["grp"] = ("SELECT group_id, string_agg(DISTINCT label, '+' ORDER BY label) AS stratum, count(*) AS rows, "
+              + ", ".join(f"count(*) FILTER (label = '{c}') AS g{i}" for i, c in enumerate(CLASSES)) + " FROM train GROUP BY group_id", ("train",))
+_G = ", ".join(f"g{i}" for i in range(len(CLASSES)))
+CTE["dealt"] = (f"""SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY {HASH}) - 1 AS p, count(*) OVER (PARTITION BY {_G}) AS n FROM grp""", ("grp",))
+CTE["units"] = (f"""SELECT *, row_number() OVER (ORDER BY rows DESC, {_G.replace(",", " DESC,")} DESC, p) AS u FROM dealt WHERE p >= n // 5 * 5""", ("dealt",))
+CTE["whole"] = ("SELECT " + ", ".join(f"sum(g{i})::DOUBLE AS n{i}" for i in range(len(CLASSES))) + " FROM grp", ("grp",))
+_HELD = [f"h{i}" for i in range(len(CLASSES))]
+CTE["fold_walk"] = (RECURSIVE + f"""SELECT 0::BIGINT AS u, 0 AS f, {", ".join(f"[0, 0, 0, 0, 0]::BIGINT[] AS {h}" for h in _HELD)}
+UNION ALL SELECT u, f, {", ".join(f"list_transform([1, 2, 3, 4, 5], lambda i: {h}[i] + CASE WHEN i = f THEN g{j} ELSE 0 END) AS {h}" for j, h in enumerate(_HELD))}
+FROM (SELECT x.u, {_G}, {", ".join(_HELD)}, list_min(list_transform([1, 2, 3, 4, 5], lambda i: struct_pack(
+    s := {" + ".join(f"{h}[i] * g{j} / (n{j} * n{j})" for j, h in enumerate(_HELD))}, t := {" + ".join(f"{h}[i]" for h in _HELD)}, f := i))).f AS f
+  FROM fold_walk w JOIN units x ON x.u = w.u + 1 CROSS JOIN whole)""", ("units", "whole"))
+CTE["folds"] = ("""SELECT d.group_id, d.stratum, d.rows, CASE WHEN d.p < d.n // 5 * 5 THEN d.p % 5 ELSE w.f - 1 END::INT AS fold
+FROM dealt d LEFT JOIN units x ON x.group_id = d.group_id LEFT JOIN fold_walk w ON w.u = x.u""", ("dealt", "fold_walk"))
 
 
 @query("stratified_group_split", sql("SELECT group_id, stratum, rows, fold FROM folds", "folds"))
 def _(x):
-    return split.stratified_group_folds(training(x), 5)
+    return split.stratified_group_folds(training(x), 5).drop("labels")
+
+
+@query("class_shares", sql(f"""SELECT label, 5::BIGINT AS folds, true AS even FROM train GROUP BY label""", "train"))
+def _(x):
+    """No fold's share of a label is further from a fifth than the largest group of it: a bound on any such dealing."""
+    rows = stage(training(x))
+    folds = rows.join(split.stratified_group_folds(rows, 5).select("group_id", "fold"), "group_id")
+    per = folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    most = rows.groupBy("label", "group_id").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    even = F.max(F.abs(F.col("n") - F.col("all") / 5) - F.col("most")) <= 0
+    return per.join(most, "label").groupBy("label").agg(F.count(F.lit(1)).alias("folds"), even.alias("even"))
 
 
 @query("group_split", sql("""SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS side, label, count(*) AS rows,

@@ -159,6 +159,10 @@ WF_OUT = (f"{K}, window_id, window_start_frame, window_end_frame, closed_eye_fra
           f"frame_count_source, is_usable, {shown(*WF_DOUBLES)}")
 
 
+#: Mark of a building block that refers to itself.
+RECURSIVE = "/* recursive */"
+
+
 def sql(body: str, *needs: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """A query text with the named building blocks it needs in front, dependencies first."""
     order: list[str] = []
@@ -173,4 +177,5 @@ def sql(body: str, *needs: str, extra: dict[str, str] | None = None, recursive:
         visit(n)
     parts = [f"{n} AS ({CTE[n][0]})" for n in order] + [
         f"{n} AS ({t})" for n, t in (extra or {}).items()]
+    recursive = recursive or any(CTE[n][0].startswith(RECURSIVE) for n in order)
     return (("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(parts) + "\n") if parts else "") + body

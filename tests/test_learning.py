@@ -37,15 +37,28 @@ def test_split_never_shares_a_group_and_keeps_every_row(spark):
 
 def test_folds_are_balanced_and_equal_in_both_plans(spark):
     df = dataset(spark)
-    folds = rows(split.stratified_group_folds(df, 5))
-    assert folds == rows(split.stratified_group_folds(df, 5, limit=4))
-    per = {}
-    for _, _, stratum, fold in ((g, r, s, f) for g, s, r, f in folds):
-        per.setdefault(stratum, []).append(fold)
-    # Dealing to and fro over all label sets: even overall, and a label set begins and ends within a turn.
-    spread = lambda v: max(map(v.count, range(5))) - min(map(v.count, range(5)))
-    assert spread([f for v in per.values() for f in v]) <= 1
-    assert all(spread(v) <= 2 for v in per.values())
+    folds = split.stratified_group_folds(df, 5)
+    assert rows(folds.drop("labels")) == rows(split.stratified_group_folds(df, 5, limit=4).drop("labels"))
+    per = {(r["label"], r["fold"]): r["n"] for r in df.join(folds, "group_id").groupBy("label", "fold").agg(F.count("w").alias("n")).collect()}
+    most = {r["label"]: r["m"] for r in df.groupBy("label", "group_id").count().groupBy("label").agg(F.max("count").alias("m")).collect()}
+    for label in LABELS:
+        shares = [per.get((label, f), 0) for f in range(5)]
+        assert max(shares) - min(shares) <= most[label]
+    # The profiles of small groups beyond the bound go round, every group has one fold all the same.
+    few = split.stratified_group_folds(df, 5, most=1).collect()
+    assert len(few) == folds.count() and {r["fold"] for r in few} <= set(range(5))
+
+
+def test_folds_of_groups_of_very_different_sizes(spark):
+    """Large groups are placed by their size, also beyond any number of rows that a cap could hide."""
+    placed = split.place_units([({"a": 900_000}, 1), ({"a": 500_000}, 1), ({"a": 400_000}, 1), ({"a": 10, "b": 10}, 3)], {"a": 1_800_030, "b": 30}, 3)
+    assert placed[:3] == [[0], [1], [2]] and sorted(placed[3]) == [0, 1, 2]
+
+
+def test_labels_may_hold_any_sign(spark):
+    data = [(f"g{i}", "a+b" if i % 2 else "c", j) for i in range(12) for j in range(2)]
+    train, test = split.group_split(spark.createDataFrame(data, "group_id string, label string, w int"))
+    assert {r["label"] for r in train.collect()} == {r["label"] for r in test.collect()} == {"a+b", "c"}
 
 
 def test_fallback_takes_about_a_fifth_but_never_all(spark):
