@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from framelens.config import LABELS
 from framelens.operators import features, metrics, rules, scoring, split
-from framelens.operators.series import stage
+from framelens.operators.series import stage, stage_folder
 from framelens.plans.registry import CTE, RECURSIVE, K, Inputs, query, shown, sql
+from framelens.sources import run_store
 from framelens.plans.window_queries import HC_SQL, KEYS, window_table
 
 GROUP = "modality || '::' || file_stem"
@@ -262,23 +266,57 @@ def _(x):
 CREATED = "2024-01-02 03:04:05"
 
 
-def runs(x: Inputs):
-    verdicts = scoring.stream_verdict(scored(x), tuple(KEYS))
-    quality = features.quality_summary(x.frames(), tuple(KEYS))
-    return scoring.run_rows(verdicts, quality, tuple(KEYS), model_key="rule", feature_set="baseline",
-                            created_at=F.to_timestamp(F.lit(CREATED)))
-
-
-RUN_SQL = f"""SELECT ('0x' || substr(md5(slug), 1, 15))::BIGINT AS id, slug AS analysis_slug, file_stem AS source_video_name, label AS source_label,
-  modality AS source_modality, 'rule' AS model_key, overall_label, total_frames, valid_frame_count
-FROM (SELECT *, label || '_' || modality || '_' || file_stem || '_20240102_030405' AS slug FROM verdict JOIN
-  (SELECT {K}, count(*) AS total_frames, count(*) FILTER (face_detected = 1 AND avg_ear IS NOT NULL) AS valid_frame_count FROM frames GROUP BY {K}) USING ({K}))"""
-RUN_COLUMNS = ("id", "analysis_slug", "source_video_name", "source_label", "source_modality", "model_key", "overall_label")
+RUN_SQL = f"""SELECT ('0x' || substr(md5(slug), 1, 15))::BIGINT AS id, slug AS analysis_slug, file_stem AS source_video_name,
+  label || '/' || modality || '/' || file_stem AS source_video_path, label AS source_label, modality AS source_modality, 'rule' AS model_key,
+  'baseline' AS feature_set, 1 AS fast_mode, overall_label, round_even(greatest(mn, md, mt), 4) AS overall_confidence,
+  round_even((md + mt) * 100.0, 1) AS risk_score, total_frames, round(face + 3e-9, 7) AS detected_face_ratio, round(pose + 3e-9, 7) AS valid_pose_ratio,
+  round(ear + 3e-9, 7) AS valid_ear_ratio, round(odd + 3e-9, 7) AS suspicious_ear_ratio, valid_frame_count, day, moment AS created_at,
+  round_even(mn, 4) AS mean_normal, round_even(md, 4) AS mean_drowsiness, round_even(mt, 4) AS mean_distraction,
+  label || '/' || modality || '/' || file_stem AS windows_artifact
+FROM (SELECT *, label || '_' || modality || '_' || file_stem || '_' || strftime(moment::TIMESTAMP, '%Y%m%d_%H%M%S') AS slug FROM verdict JOIN
+  (SELECT {K}, count(*) AS total_frames, count(*) FILTER (face_detected = 1 AND avg_ear IS NOT NULL) AS valid_frame_count,
+    avg(CASE WHEN face_detected = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS face, avg(CASE WHEN pose_valid = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS pose,
+    avg(CASE WHEN ear_valid = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS ear, avg(CASE WHEN ear_suspicious = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS odd
+   FROM frames GROUP BY {K}) USING ({K})
+  CROSS JOIN (SELECT unnest([2, 3]) AS day, unnest(['2024-01-02 03:04:05', '2024-01-03 03:04:05']) AS moment))"""
+RUN_COLUMNS = ("id", "analysis_slug", "source_video_name", "source_video_path", "source_label", "source_modality", "model_key", "feature_set", "fast_mode",
+               "overall_label", "overall_confidence", "risk_score", "total_frames", "detected_face_ratio", "valid_pose_ratio", "valid_ear_ratio",
+               "suspicious_ear_ratio", "valid_frame_count")
+
+
+def store(x: Inputs) -> str:
+    """Runs stored at two moments, those of the first one twice."""
+    path = f"{stage_folder(x.spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    place = x.spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(x.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    windows = stage(scored(x))
+    verdicts, quality = scoring.stream_verdict(windows, tuple(KEYS)), features.quality_summary(x.frames(), tuple(KEYS))
+    for day in (2, 3, 2):
+        run_store.store_runs(path, verdicts, quality, windows, tuple(KEYS), model_key="rule", feature_set="baseline", created_at=datetime(2024, 1, day, 3, 4, 5))
+    return path
+
+
+def shown_runs(rows, *more: str):
+    """Run rows with the time as text and the maps taken apart."""
+    mean = F.from_json("mean_probabilities_json", "map<string,double>")
+    return rows.select(*RUN_COLUMNS, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                       *[F.element_at(mean, n).alias(f"mean_{n}") for n in LABELS],
+                       F.element_at(F.from_json("artifacts_json", "map<string,string>"), "windows").alias("windows_artifact"), *more)
+
+
+@query("append_run", sql(f"""SELECT {", ".join(RUN_COLUMNS)}, created_at, mean_normal, mean_drowsiness, mean_distraction, windows_artifact,
+  '2024010' || day || '_030405' AS batch FROM ({RUN_SQL})""", "verdict", "frames"))
+def _(x):
+    """All columns of all stored runs, read back."""
+    return shown_runs(run_store.stored(x.spark, store(x)), "batch")
 
 
-@query("append_run", sql(RUN_SQL, "verdict"))
+@query("stored_windows", sql("""SELECT '2024010' || day || '_030405' AS batch, predicted_label, count(*) AS windows, count(DISTINCT file_stem) AS runs
+FROM prob CROSS JOIN (SELECT unnest([2, 3]) AS day) GROUP BY ALL""", "prob"))
 def _(x):
-    return runs(x).select(*RUN_COLUMNS, "total_frames", "valid_frame_count")
+    """Window rows of the stored runs: a batch that is stored twice is there once."""
+    return run_store.stored(x.spark, store(x), run_store.WINDOWS).groupBy("batch", "predicted_label").agg(
+        F.count(F.lit(1)).alias("windows"), F.countDistinct("analysis_id").alias("runs"))
 
 
 @query("append_predictions", sql(f"""SELECT ('0x' || substr(md5(slug || '#' || window_id), 1, 15))::BIGINT AS id, ('0x' || substr(md5(slug), 1, 15))::BIGINT AS analysis_id,
@@ -288,9 +326,11 @@ def _(x):
     return scoring.prediction_rows(scored(x), tuple(KEYS), created_at=F.to_timestamp(F.lit(CREATED)))
 
 
-@query("recent_runs", sql(f"SELECT id, source_video_name, source_label, source_modality, model_key, overall_label FROM ({RUN_SQL}) ORDER BY analysis_slug DESC LIMIT 5", "verdict"))
+@query("recent_runs", sql(f"""SELECT id, created_at, source_video_name, source_label, source_modality, model_key, overall_label, overall_confidence, risk_score
+FROM ({RUN_SQL}) ORDER BY created_at DESC, analysis_slug DESC LIMIT 5""", "verdict", "frames"))
 def _(x):
-    return scoring.recent_runs(runs(x)).drop("created_at", "overall_confidence", "risk_score")
+    """The five latest of the stored runs."""
+    return run_store.newest_runs(x.spark, store(x)).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("timeline", sql(f"SELECT {K}, window_id, predicted_label, {shown('window_start_time', 'window_end_time', *scoring.PROBABILITIES, 'perclos_percent', 'mean_ear', 'max_abs_yaw')}, round_even(risk, 1) AS window_risk_score FROM prob", "prob"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import uuid
 from datetime import datetime
 
+from framelens.config import GAZE_FILE_SUFFIX
 from framelens.functions import geometry, naming
 from framelens.operators.series import stage_folder
 from framelens.plans.registry import K, Inputs, query, shown, sql
@@ -69,15 +70,76 @@ def _(x):
     return x.spark.read.parquet(root).select(*KEYS, "frame", "avg_ear")
 
 
-@query("read_latest", sql(f"SELECT {K}, frame FROM frames WHERE frame % 2 = 0", "frames"))
+@query("read_latest", sql(f"SELECT {K}, frame, 2 AS version FROM frames", "frames"))
 def _(x):
-    """Two versions are written, the newer one is read."""
+    """Two versions of the whole table are written, the newer one is read."""
     root, rows = folder(x), x.frames().select(*KEYS, "frame")
-    files.write_versioned(rows, root, "frames", datetime(2024, 1, 1))
-    files.write_versioned(rows.filter("frame % 2 = 0"), root, "frames", datetime(2024, 1, 2))
+    for version in (2, 1):  # the newer one first, so that the name decides and not the time of writing
+        files.write_versioned(rows.withColumn("version", F.lit(version)), root, "frames", datetime(2024, 1, version))
     return files.read_latest(x.spark, root, "frames")
 
 
+STORED = ("frame", "time_sec", "face_detected", "yaw", "pitch", "roll", "pose_valid", "left_ear", "right_ear", "avg_ear", "ear_valid", "ear_suspicious")
+STORED_SQL = f"""SELECT {K}, frame, {shown('time_sec', 'yaw', 'pitch', 'roll', 'avg_ear')}, face_detected::DOUBLE AS face_detected,
+  pose_valid::DOUBLE AS pose_valid, ear_valid::DOUBLE AS ear_valid, ear_suspicious::DOUBLE AS ear_suspicious,
+  round(avg_ear + 3e-9, 7) AS left_ear, round(avg_ear + 3e-9, 7) AS right_ear FROM frames"""
+
+
+def as_stored(x: Inputs):
+    """The frames with the columns of a frame file."""
+    return x.frames().withColumns({"left_ear": F.col("avg_ear"), "right_ear": F.col("avg_ear")}).select(*KEYS, *STORED)
+
+
+def write_tree(rows, root: str, ending: str) -> None:
+    """Files of a ``label/modality/stem`` tree, one for each series, by the writer's own layout."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    named = rows.withColumns({"_l": F.col("label"), "_m": F.col("modality"), "_s": F.col("file_stem")}).drop(*KEYS)
+    writer = named.repartition("_l", "_m", "_s").write.partitionBy("_l", "_m", "_s")
+    if ending == "csv":
+        writer.option("header", "true").option("sep", ";").option("quoteAll", "true").csv(root + "-parts")
+    else:
+        writer.parquet(root + "-parts")
+    base = hadoop.Path(root + "-parts")
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(base)
+    for at in system.globStatus(hadoop.Path(root + f"-parts/*/*/*/*.{ending}")):
+        stem, modality, label = (at.getPath().getParent(), at.getPath().getParent().getParent(), at.getPath().getParent().getParent().getParent())
+        part = lambda p: p.getName().split("=", 1)[1]
+        to = hadoop.Path(f"{root}/{part(label)}/{part(modality)}/{part(stem)}.{ending}")
+        system.mkdirs(to.getParent())
+        system.rename(at.getPath(), to)
+
+
+def _frames_query(ending: str):
+    @query(f"read_frames_{ending}", sql(STORED_SQL, "frames"))
+    def _(x):
+        """Frames stored as one file for each series and read back, with the series named by the path."""
+        root = folder(x)
+        write_tree(as_stored(x), root, ending)
+        rows, errors = files.read_frames(x.spark, root, f"*.{ending}")
+        if not errors.isEmpty():
+            raise ValueError("files of the tree were refused")
+        return rows.select(*KEYS, *STORED)
+
+
+for _ending in ("csv", "parquet"):
+    _frames_query(_ending)
+
+
+GAZE_READ = ("frame", "time_sec", "face_detected", "iris_x_norm", "iris_y_norm")
+
+
+@query("read_gaze", sql(f"""SELECT {K}, frame, {shown('time_sec', 'iris_x_norm', 'iris_y_norm')}, face_detected::DOUBLE AS face_detected FROM frames""", "frames"))
+def _(x):
+    """Gaze samples in columnar files whose names have the ending of gaze files; not-a-number is read as null."""
+    root, nan = folder(x), F.lit(float("nan"))
+    rows = x.frames().select("label", "modality", F.concat("file_stem", F.lit(GAZE_FILE_SUFFIX)).alias("file_stem"), "frame", "time_sec", "face_detected",
+                             F.coalesce("iris_x_norm", nan).alias(" iris_x_norm"), F.coalesce("iris_y_norm", nan).alias("iris_y_norm"))
+    write_tree(rows, root, "parquet")
+    return files.read_gaze(x.spark, root, "*.parquet")[0].select(*KEYS, *GAZE_READ)
+
+
 @query("limit_streams", sql(f"""SELECT {K}, frame FROM frames WHERE ({K}) IN (SELECT {K} FROM (SELECT DISTINCT {K} FROM frames)
   ORDER BY {K} LIMIT 20)""", "frames"))
 def _(x):

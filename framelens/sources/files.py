@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +18,15 @@ def clean_name(name: str) -> str:
     return name.strip().replace('"', "").replace("'", "")
 
 
+def cells(line: Column, separator: str) -> Column:
+    """The fields of a delimited line. A field in double quotes may hold the separator, and a doubled quote stands for one."""
+    # Every field is read with the separator before it; one is put before the first.
+    field = rf'{separator}(\s*"(?:[^"]|"")*"\s*(?=$|{separator})|[^{separator}]*)'
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(field), F.lit(1))
+    return F.transform(found, lambda c: F.when(F.trim(c).rlike('(?s)^".*"$'), F.regexp_replace(
+        F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')).otherwise(c))
+
+
 def clean_header(df: DataFrame) -> DataFrame:
     """Column names without surrounding blanks and quotes."""
     return df.toDF(*[clean_name(c) for c in df.columns])
@@ -58,7 +68,8 @@ def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], req
     lines = _text(spark, root, glob)
     is_header = F.col("line").rlike(rf"(?i)(^|[;,\s\"']){anchor}($|[;,\s\"'])")
     sep = F.when(F.col("line").contains(";"), ";").otherwise(",")
-    names = F.transform(F.split(F.col("line"), sep), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
+    split = lambda line, by: F.when(by == ";", cells(line, ";")).otherwise(cells(line, ","))
+    names = F.transform(split(F.col("line"), sep), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
     headers = lines.filter(is_header).groupBy("path").agg(F.min_by("line", "ordinal").alias("line")).select(
         "path", sep.alias("_sep"), names.alias("_names"))
     missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.coalesce("_names", F.array().cast("array<string>")))
@@ -72,17 +83,64 @@ def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], req
     files = files.withColumn("error", error)
     errors = files.filter("error IS NOT NULL").select("path", "error")
     known = files.filter("error IS NULL").select("path", "_sep", "_names")
-    cells = lines.filter(~is_header).join(known, "path").withColumn("_cells", F.split(F.col("line"), F.col("_sep")))
-    return cells.select("path", "ordinal", *[_cell(c) for c in columns]), errors
+    parsed = lines.filter(~is_header).join(known, "path").withColumn("_cells", split(F.col("line"), F.col("_sep")))
+    return parsed.select("path", "ordinal", *[_cell(c) for c in columns]), errors
 
 
 def _cell(name: str) -> Column:
     raw = F.get(F.col("_cells"), F.array_position("_names", F.lit(name)).cast("int") - 1)
-    value = F.trim(F.regexp_replace(raw, "[\"']", "")).try_cast("double")
+    return _number(F.trim(F.regexp_replace(raw, "[\"']", "")), name)
+
+
+def _number(raw: Column, name: str) -> Column:
+    """A cell as a number; what is no number, not-a-number included, is null, so that it never passes a threshold."""
+    value = raw.try_cast("double")
     value = F.when(~F.isnan(value), value)
     return (value.cast("long") if name == "frame" else value).alias(name)
 
 
+def _one_schema(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """The files as few tables: all in one if their column types agree, else by halves."""
+    try:
+        return [spark.read.option("mergeSchema", "true").parquet(*[re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])]
+    except Exception as e:
+        if len(paths) == 1 or "merge" not in str(e).lower():
+            raise
+    half = len(paths) // 2
+    return _one_schema(spark, paths[:half]) + _one_schema(spark, paths[half:])
+
+
+def read_columnar(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], *,
+                  glob: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """The same from Parquet files of one or several schemas; names are cleaned as headers are.
+
+    A column is missing from a file if no row of the file has a value in it. Files without rows are error rows.
+    """
+    listed = _listing(spark, root, glob)
+    paths = sorted(r["path"] for r in listed.collect())  # names of files
+    kinds = ", ".join(f"{c} {'long' if c == 'frame' else 'double'}" for c in columns)
+    rows = spark.createDataFrame([], f"path string, ordinal long, {kinds}")
+    for stored in _one_schema(spark, paths) if paths else []:
+        # Files may write a name differently; the schema has every spelling, and a file fills one of them.
+        cell = lambda c: F.coalesce(F.lit(None).cast("string"), *[
+            F.col(f"`{n}`").cast("string") for n in stored.columns if clean_name(n) == c])
+        rows = rows.unionByName(stored.select(
+            F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("path"),
+            F.col("_metadata.row_index").alias("ordinal"), *[_number(cell(c), c) for c in columns]))
+    seen = rows.groupBy("path").agg(*[F.count(c).alias(c) for c in required])
+    files = listed.join(seen.withColumn("_filled", F.lit(True)), "path", "left")
+    absent = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) == 0, c) for c in required]))
+    error = F.when(F.col("_filled").isNull(), "no rows").when(F.size(absent) > 0, F.concat(F.lit("missing columns: "), F.array_join(absent, ", ")))
+    errors = files.select("path", error.alias("error")).filter("error IS NOT NULL")
+    return rows.join(errors.select("path"), "path", "left_anti"), errors
+
+
+def read_tables(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], glob: str) -> tuple[DataFrame, DataFrame]:
+    """Delimited or columnar files, by the ending that ``glob`` names."""
+    read = read_columnar if glob.lower().endswith(".parquet") else read_delimited
+    return read(spark, root, columns, required, glob=glob)
+
+
 def _with_keys(df: DataFrame, root: str, suffix: str = "") -> DataFrame:
     keys = stream_keys(F.col("path"), qualified(df.sparkSession, root), suffix)
     return df.withColumns({n: c for n, c in keys.items()})
@@ -101,16 +159,17 @@ def _split_errors(rows: DataFrame, errors: DataFrame, root: str, suffix: str) ->
 
 
 def read_frames(spark: SparkSession, root: str, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """Frame series of a ``label/modality/stem`` tree, and error rows ``(path, error)``."""
+    """Frame series of a ``label/modality/stem`` tree of delimited or (``*.parquet``) columnar files, and error rows
+    ``(path, error)``."""
     required = tuple(c for c in FRAME_COLUMNS if c not in OPTIONAL_FRAME_COLUMNS)
-    rows, errors = read_delimited(spark, root, FRAME_COLUMNS, required, glob=glob)
+    rows, errors = read_tables(spark, root, FRAME_COLUMNS, required, glob)
     return _split_errors(rows, errors, root, "")
 
 
 def read_gaze(spark: SparkSession, root: str, glob: str = "*.csv", strict: bool = False,
               suffix: str = GAZE_FILE_SUFFIX) -> tuple[DataFrame, DataFrame]:
     """Gaze series; ``strict`` asks for all fifteen columns instead of the five that features need."""
-    rows, errors = read_delimited(spark, root, GAZE_COLUMNS, GAZE_COLUMNS if strict else GAZE_REQUIRED, glob=glob)
+    rows, errors = read_tables(spark, root, GAZE_COLUMNS, GAZE_COLUMNS if strict else GAZE_REQUIRED, glob)
     return _split_errors(rows, errors, root, suffix)
 
 

@@ -43,6 +43,57 @@ def test_frames_from_mixed_files(spark, tmp_path):
     assert reasons["short.csv"].startswith("missing columns: time_sec") and len(reasons) == 3
 
 
+def test_quoted_fields_may_hold_the_separator(spark):
+    lines = ['1;"a;b";"say ""x"" ;";', ';"";2; "q" ;z"z', '"open;3', '', '"1"x;2']
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in lines], "v string").select(files.cells(F.col("v"), ";")).collect()]
+    assert got == [["1", "a;b", 'say "x" ;', ""], ["", "", "2", "q", 'z"z'], ['"open', "3"], [""], ['"1"x', "2"]]
+
+
+def test_frames_from_columnar_files(spark, tmp_path):
+    kinds = {"frame": "long", "note": "string"}
+    full = [*FRAME_COLUMNS, "note"]
+    make = lambda cols, data: spark.createDataFrame(data, ", ".join(f"`{c}` {kinds.get(c.strip(), 'double')}" for c in cols))
+    rows_ = [tuple(i if c == "frame" else "x" if c == "note" else float("nan") if c == "yaw" and i == 2 else 0.5 for c in full) for i in (1, 2, 3)]
+    def save(df, place):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        df.toPandas().to_parquet(tmp_path / place)
+    save(make(full, rows_), "normal/IR/a.parquet")
+    save(make([" pitch " if c == "pitch" else c for c in full], rows_), "normal/IR/padded.parquet")
+    save(make(["frame", "yaw"], [(1, 0.5)]), "drowsiness/RGB/short.parquet")
+    save(make(full, rows_).limit(0), "drowsiness/RGB/empty.parquet")
+    save(make(full, rows_), "other/RGB/x.parquet")
+    good, errors = files.read_frames(spark, str(tmp_path), "*.parquet")
+    got = {r["file_stem"]: (r["n"], r["y"]) for r in good.groupBy("file_stem").agg(F.count("frame").alias("n"), F.count("yaw").alias("y")).collect()}
+    assert got["a"] == (3, 2)
+    reasons = {r["path"].rsplit("/", 1)[1]: r["error"] for r in errors.collect()}
+    assert reasons["short.parquet"].startswith("missing columns: time_sec") and reasons["empty.parquet"] == "no rows" and reasons["x.parquet"] == "unknown label"
+    none = files.read_frames(spark, str(tmp_path / "normal"), "*.none.parquet")
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_runs_are_stored_once_and_read_newest_first(spark, tmp_path):
+    from framelens.sources import run_store
+
+    keys, at = ("label", "modality", "file_stem"), [datetime(2024, 1, d) for d in (1, 2, 3)]
+    p = spark.createDataFrame([("normal", "IR", n, w, 0.0, 3.0, "normal", 0.7, 0.2, 0.1, 30.0, 5.0, 0.3, 9.0, 1) for n in "abc" for w in (1, 2)],
+                              "label string, modality string, file_stem string, window_id int, window_start_time double, window_end_time double, "
+                              "predicted_label string, prob_normal double, prob_drowsiness double, prob_distraction double, window_risk_score double, "
+                              "perclos_percent double, mean_ear double, max_abs_yaw double, is_usable int")
+    v = scoring.stream_verdict(p, keys)
+    q = v.select(*keys).withColumns({c: F.lit(1.0) for c in ("total_frames", "detected_face_ratio", "valid_pose_ratio", "valid_ear_ratio", "suspicious_ear_ratio", "valid_frame_count")})
+    for moment in (at[0], at[2], at[1], at[0]):  # late and repeated
+        run_store.store_runs(str(tmp_path), v, q, p, keys, model_key="m", feature_set="baseline", created_at=moment)
+    assert run_store.batches(spark, str(tmp_path)) == ["20240103_000000", "20240102_000000", "20240101_000000"]
+    runs = run_store.stored(spark, str(tmp_path))
+    assert runs.count() == 9 and runs.select("id").distinct().count() == 9 and len(runs.drop("batch").columns) == 21
+    newest = run_store.newest_runs(spark, str(tmp_path), 4)
+    assert [r["created_at"].day for r in newest.collect()] == [3, 3, 3, 2]
+    scan = run_store.stored(spark, str(tmp_path), only=["20240103_000000"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [batch" in scan.replace("isnotnull(batch#", "[batch#").replace("[[", "[")
+    first = newest.first()
+    assert [r["window_id"] for r in run_store.windows_of(spark, str(tmp_path), first["id"], "20240103_000000").collect()] == [1, 2]
+
+
 def test_ordinal_follows_the_file(spark, tmp_path):
     put(tmp_path / "normal/IR/a.csv", frame_file(";", n=50))
     good, _ = files.read_frames(spark, str(tmp_path))
