@@ -40,7 +40,7 @@ from framelens.llm.common import LOWER, UPPER, Scratch, lengths
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 #: Phrases of each kind in a wave, bits of the table of frequent words, words a task counts before it sends them.
-WAVE, GATE, WORDS = 1 << 16, 22, 200_000
+WAVE, GATE, WORDS = 1 << 14, 22, 200_000
 #: Share of a language's words that the prefixes of a wave make up: one in ``SLOW`` in the first waves, which settle a
 #: first limit, then twice as much each time.
 SLOW, FIRST = 16, 4
@@ -184,18 +184,16 @@ class Trie:
     the request that a node stands for, or -1.
     """
 
-    def __init__(self, phrases: list[tuple[int, list[int], tuple[bool, bool, bool]]]):
-        size = np.array([len(w) for _, w, _ in phrases])
-        table = np.zeros((len(phrases), LONGEST), np.int64)
-        for i, (_, w, _) in enumerate(phrases):
-            table[i, :len(w)] = w
+    def __init__(self, request: np.ndarray, size: np.ndarray, hashes: np.ndarray, kinds: np.ndarray):
+        """Requests with the sizes of their phrases, the phrases' hashes one after the other, and a column per kind."""
+        table = np.zeros((len(size), LONGEST), np.int64)
+        table[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = hashes
         self.words = np.unique(table[table != 0])
         self.width = len(self.words)
         self.gate = np.zeros(1 << 18, bool)
         self.gate[self.words & ((1 << 18) - 1)] = True
         at = np.searchsorted(self.words, table)
-        request, kinds = np.array([r for r, _, _ in phrases]), np.array([k for _, _, k in phrases], bool)
-        node = np.zeros(len(phrases), np.int64)
+        node = np.zeros(len(size), np.int64)
         self.keys, self.roles = [], []
         for m in range(int(size.max())):
             deep = size > m
@@ -238,6 +236,17 @@ class Trie:
             yield WANT, request, np.zeros(len(request), np.int64)
 
 
+def tries(asked: pa.Table) -> dict[str, Trie]:
+    """The requested phrases by language."""
+    out = {}
+    for lang in pc.unique(asked["lang"]).to_pylist():
+        own = asked.filter(pc.equal(asked["lang"], lang)).combine_chunks()
+        column = lambda c: own[c].to_numpy()
+        out[lang] = Trie(column("request"), pc.list_value_length(own["w"]).to_numpy().astype(np.int64),
+                         pc.list_flatten(own["w"]).to_numpy(), np.stack([column(c) for c in ("grow", "left", "want")], axis=1))
+    return out
+
+
 def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sums of ``n`` by the other columns."""
     if not len(n):
@@ -413,13 +422,11 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
         valued, wanted, cuts = scored(nodes, limits, scratch)
         after = scratch.write(valued)
         asked = scratch.write(requests(after, wanted, limits, percent, longest, wave))
-        by_lang: dict[str, list] = {}
-        for r in asked.collect():  # 3 * WAVE phrases at most
-            by_lang.setdefault(r["lang"], []).append((r["request"], r["w"], (r["grow"], r["left"], r["want"])))
+        by_lang = tries(asked.toArrow())  # 3 * WAVE phrases at most
         if not by_lang:
             scratch.drop(written, nodes, cuts, asked)
             break
-        found = scratch.write(counted(rows, {lang: Trie(p) for lang, p in by_lang.items()}, may, least))
+        found = scratch.write(counted(rows, by_lang, may, least))
         new = scratch.write(updated(after, asked, found, words, sizes))
         scratch.drop(nodes, limits, cuts, after, asked, found)
         nodes = new

@@ -15,7 +15,6 @@ texts. Everything is scored.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,9 +36,11 @@ _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def subwords(word: bytes) -> np.ndarray:
     """Buckets of the n-grams of ``<word>`` and of the word itself; punctuation around the word is left off."""
-    w = "<" + (word.strip(_EDGE) or word).decode("utf-8", "replace") + ">"
-    grams = [w] + [w[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1) if n < len(w)]
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams), np.int64, len(grams))
+    core = word.strip(_EDGE) or word
+    plain = core.isascii()
+    w = b"<" + core + b">" if plain else "<" + core.decode("utf-8", "replace") + ">"
+    grams = [w] + [w[i:i + n] for n in range(SHORTEST, min(LONGEST + 1, len(w))) for i in range(len(w) - n + 1)]
+    return np.fromiter(map(zlib.crc32, grams if plain else map(str.encode, grams)), np.int64, len(grams)) % BUCKETS
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -202,24 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) ->
     return fit(bags, np.array(truth, np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
-_WORKERS: dict[bytes, Memo] = {}
-
-
-def _memo(model: Toxicity) -> Memo:
-    """Scores of words, kept from task to task of a worker process as long as it uses the same model."""
-    key = hashlib.sha256(model.bucket.tobytes()).digest()
-    if key not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[key] = Memo(model.word, 300_000)
-    return _WORKERS[key]
-
-
 def scorer(model: Toxicity, spark):
     """A function of the texts of a batch giving their scores; the model (one float per bucket) is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
     def make():
-        memo = _memo(shared.value)
+        memo = Memo(shared.value.word)  # of one task: kept longer, it would take memory from later stages
 
         def scores(texts) -> np.ndarray:
             parts = [texts[lo:lo + BATCH_ROWS] for lo in range(0, len(texts), BATCH_ROWS)]
