@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from framelens.llm.common import LOWER, UPPER, Scratch, lengths
@@ -172,8 +173,8 @@ def gate(words: DataFrame) -> np.ndarray:
     bits = words.join(langs, "lang").select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))).alias("bits"))
     table = np.zeros(1 << GATE - 6, np.int64)
-    for r in bits.collect():  # 2**GATE / 64 numbers at most
-        table[r["at"]] = r["bits"]
+    found = bits.toArrow()  # 2**GATE / 64 numbers at most
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -257,9 +258,8 @@ def totals(kind: np.ndarray, request: np.ndarray, h: np.ndarray, n: np.ndarray)
     return kind[new], request[new], h[new], np.add.reduceat(n, new)
 
 
-def counted(rows: DataFrame, tries: dict[str, Trie], may: np.ndarray, least: int) -> DataFrame:
-    """``kind, request, h, n`` over the corpus, where n is at least ``least``."""
-    shared = rows.sparkSession.sparkContext.broadcast((tries, np.packbits(may)))  # fixed size, see WAVE and GATE
+def counted(rows: DataFrame, shared: Broadcast, least: int) -> DataFrame:
+    """``kind, request, h, n`` over the corpus, where n is at least ``least``; ``shared`` has tries and packed truth values."""
 
     def run(batches):
         tries, packed = shared.value
@@ -415,7 +415,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
     sizes = scratch.write(counts.groupBy("lang").agg(F.sum("f").alias("n")))
     words = scratch.write(counts.filter(F.col("f") >= least).drop("other"))
     scratch.drop(counts)
-    may = gate(words)
+    may = np.packbits(gate(words))
     nodes = scratch.write(opened(words.select("lang", F.array("h").alias("w"), "f"), words, sizes))
     for wave in count():
         limits = scratch.write(limits_of(survivors(nodes, percent, longest), sizes, top))
@@ -426,7 +426,10 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
         if not by_lang:
             scratch.drop(written, nodes, cuts, asked)
             break
-        found = scratch.write(counted(rows, by_lang, may, least))
+        shared = docs.sparkSession.sparkContext.broadcast((by_lang, may))  # fixed size, see WAVE and GATE
+        found = scratch.write(counted(rows, shared, least))
+        shared.destroy()
+        del by_lang
         new = scratch.write(updated(after, asked, found, words, sizes))
         scratch.drop(nodes, limits, cuts, after, asked, found)
         nodes = new
