@@ -433,6 +433,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
         new = scratch.write(updated(after, asked, found, words, sizes))
         scratch.drop(nodes, limits, cuts, after, asked, found)
         nodes = new
+        scratch.sweep()
     best = survivors(after, percent, longest).join(limits, "lang").filter("score >= least")
     spelt = best.select("lang", "w", F.posexplode("w").alias("pos", "h")).join(words.select("lang", "h", F.col("word").cast("string")), ["lang", "h"])
     spelt = spelt.groupBy("lang", "w").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x"))  # five words at most

@@ -130,9 +130,14 @@ class Scratch:
             if path:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def sweep(self) -> None:
+        """Let the driver collect its garbage after a round. Spark removes shuffle files, broadcasts and the tables of its
+        broadcast joins, whose pages take megabytes however few rows they hold, only once the driver has done so."""
+        self.spark._jvm.java.lang.System.gc()
 
     def close(self) -> None:
         """Remove all tables; nothing that reads them may be used afterwards."""
+        self.sweep()
         self._paths.clear()
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
