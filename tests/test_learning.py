@@ -128,6 +128,25 @@ def test_neighbours_equal_brute_force(spark, copies, block):
     assert rows(got) == brute(asks, base, 5)
 
 
+def test_neighbours_meet_few_units(spark):
+    """Clustered points in eighteen dimensions, cut into cells and rings: the bounds leave few pairs and lose none."""
+    draw = np.random.default_rng(3)
+    points = draw.normal(size=(20, 18))[draw.integers(0, 20, 800)] * 4 + draw.normal(size=(800, 18)) * 0.3
+    base = [(i, p.tolist()) for i, p in enumerate(points)]
+    make = lambda d: spark.createDataFrame(d, "id long, vec array<double>")
+    report = {}
+    got = knn.nearest_neighbours(make(base[::8]), make(base), 5, block_rows=16, report=report)
+    assert rows(got) == brute(base[::8], base, 5)
+    assert report["units"] > 20 and report["compared"] < 0.35 * 100 * 800
+
+
+def test_neighbours_without_rows(spark):
+    make = lambda d: spark.createDataFrame(d, "id long, vec array<double>")
+    some, none = make([(1, [0.0]), (2, None)]), make([])
+    assert rows(knn.nearest_neighbours(some, none, 3)) == [] and rows(knn.nearest_neighbours(none, some, 3)) == []
+    assert rows(knn.nearest_neighbours(some, some, 3)) == [(1, 1, 0.0, 1)]
+
+
 def test_fewer_rows_than_neighbours(spark):
     make = lambda d: spark.createDataFrame(d, "id long, vec array<double>")
     assert knn.nearest_neighbours(make([(1, [0.0])]), make([(1, [1.0]), (2, [3.0])]), 7).count() == 2
