@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import uuid
 from datetime import datetime
+from multiprocessing.pool import ThreadPool
 
 from framelens.config import GAZE_FILE_SUFFIX
 from framelens.functions import geometry, naming
@@ -90,12 +91,16 @@ def as_stored(x: Inputs):
     return x.frames().withColumns({"left_ear": F.col("avg_ear"), "right_ear": F.col("avg_ear")}).select(*KEYS, *STORED)
 
 
+#: Files moved at a time.
+MOVES = 16
+
+
 def write_tree(rows, root: str, ending: str) -> None:
     """Files of a ``label/modality/stem`` tree, one for each series, by the writer's own layout."""
     spark = rows.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     named = rows.withColumns({"_l": F.col("label"), "_m": F.col("modality"), "_s": F.col("file_stem")}).drop(*KEYS)
-    writer = named.repartition("_l", "_m", "_s").write.partitionBy("_l", "_m", "_s")
+    writer = named.repartition(files.writers(spark), "_l", "_m", "_s").write.option(*files.TASKS_COMMIT).partitionBy("_l", "_m", "_s")
     if ending == "csv":
         writer.option("header", "true").option("sep", ";").option("quoteAll", "true").csv(root + "-parts")
     else:
@@ -103,12 +108,20 @@ def write_tree(rows, root: str, ending: str) -> None:
     base = hadoop.Path(root + "-parts")
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
     system.deleteOnExit(base)
-    for at in system.globStatus(hadoop.Path(root + f"-parts/*/*/*/*.{ending}")):
-        stem, modality, label = (at.getPath().getParent(), at.getPath().getParent().getParent(), at.getPath().getParent().getParent().getParent())
-        part = lambda p: p.getName().split("=", 1)[1]
-        to = hadoop.Path(f"{root}/{part(label)}/{part(modality)}/{part(stem)}.{ending}")
-        system.mkdirs(to.getParent())
-        system.rename(at.getPath(), to)
+    places: set[str] = set()
+
+    def move(at) -> None:
+        path = at.getPath()
+        label, modality, stem = (p.split("=", 1)[1] for p in path.toString().split("/")[-4:-1])
+        to = f"{root}/{label}/{modality}"
+        if to not in places:
+            system.mkdirs(hadoop.Path(to))
+            places.add(to)
+        system.rename(path, hadoop.Path(f"{to}/{stem}.{ending}"))
+
+    with ThreadPool(MOVES) as pool:
+        for _ in pool.imap_unordered(move, system.globStatus(hadoop.Path(root + f"-parts/*/*/*/*.{ending}")), chunksize=64):
+            pass
 
 
 def _frames_query(ending: str):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_FILE_SUFFIX, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS, STREAM_KEYS
 from framelens.functions.naming import stream_keys
-from framelens.operators.series import Series
+from framelens.operators.series import Series, stage
 
 BOM = "﻿"
 
@@ -65,26 +65,31 @@ def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], req
     Each file's header names its columns; ``;`` is the delimiter unless that leaves a single column. A file without
     a required column is an error row; unparsable values are null.
     """
+    rows, files = _delimited(spark, root, columns, required, glob, anchor)
+    return rows, files.filter("error IS NOT NULL")
+
+
+def _delimited(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], glob: str,
+               anchor: str = "frame") -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be read, and every file with its error, which is null if there is none."""
     lines = _text(spark, root, glob)
     is_header = F.col("line").rlike(rf"(?i)(^|[;,\s\"']){anchor}($|[;,\s\"'])")
     sep = F.when(F.col("line").contains(";"), ";").otherwise(",")
     split = lambda line, by: F.when(by == ";", cells(line, ";")).otherwise(cells(line, ","))
     names = F.transform(split(F.col("line"), sep), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
-    headers = lines.filter(is_header).groupBy("path").agg(F.min_by("line", "ordinal").alias("line")).select(
-        "path", sep.alias("_sep"), names.alias("_names"))
+    # One pass tells the header of each file and whether it has other lines.
+    headers = (lines.groupBy("path").agg(F.min_by("line", F.when(is_header, F.col("ordinal"))).alias("line"), F.bool_or(~is_header).alias("_filled"))
+               .select("path", sep.alias("_sep"), names.alias("_names"), F.when(F.col("_filled"), True).alias("_filled")))
     missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.coalesce("_names", F.array().cast("array<string>")))
     # The listing, and not the lines, tells which files there are: an empty one has no line.
-    filled = lines.filter(~is_header).select("path").distinct().withColumn("_filled", F.lit(True))
-    files = (_listing(spark, root, glob).join(headers, "path", "left").join(filled, "path", "left")
-             .withColumn("_missing", missing))
+    files = _listing(spark, root, glob).join(headers, "path", "left").withColumn("_missing", missing)
     error = (F.when(F.col("_names").isNull() & F.col("_filled").isNull(), "no rows")
              .when(F.size("_missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("_missing", ", ")))
              .when(F.col("_filled").isNull(), "no rows"))
-    files = files.withColumn("error", error)
-    errors = files.filter("error IS NOT NULL").select("path", "error")
+    files = stage(files.select("path", "_sep", "_names", error.alias("error")))
     known = files.filter("error IS NULL").select("path", "_sep", "_names")
     parsed = lines.filter(~is_header).join(known, "path").withColumn("_cells", split(F.col("line"), F.col("_sep")))
-    return parsed.select("path", "ordinal", *[_cell(c) for c in columns]), errors
+    return parsed.select("path", "ordinal", *[_cell(c) for c in columns]), files.select("path", "error")
 
 
 def _cell(name: str) -> Column:
@@ -110,17 +115,37 @@ def _one_schema(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     return _one_schema(spark, paths[:half]) + _one_schema(spark, paths[half:])
 
 
+def _stored(spark: SparkSession, root: str, glob: str, listed: DataFrame) -> list[DataFrame]:
+    """The listed files as few tables: the folder as a whole if its files agree, as naming many files costs a task for each."""
+    if listed.isEmpty():
+        return []
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if whole.format("binaryFile").load(root).select("path").join(listed, "path", "left_anti").isEmpty():
+        try:
+            return [whole.option("mergeSchema", "true").format("parquet").load(root)]
+        except Exception as e:
+            if "merge" not in str(e).lower():
+                raise
+    return _one_schema(spark, sorted(r["path"] for r in listed.collect()))  # names of files
+
+
 def read_columnar(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], *,
                   glob: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
     """The same from Parquet files of one or several schemas; names are cleaned as headers are.
 
     A column is missing from a file if no row of the file has a value in it. Files without rows are error rows.
     """
-    listed = _listing(spark, root, glob)
-    paths = sorted(r["path"] for r in listed.collect())  # names of files
+    rows, files = _columnar(spark, root, columns, required, glob)
+    return rows, files.filter("error IS NOT NULL")
+
+
+def _columnar(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...],
+              glob: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be read, and every file with its error, which is null if there is none."""
+    listed = stage(_listing(spark, root, glob))
     kinds = ", ".join(f"{c} {'long' if c == 'frame' else 'double'}" for c in columns)
     rows = spark.createDataFrame([], f"path string, ordinal long, {kinds}")
-    for stored in _one_schema(spark, paths) if paths else []:
+    for stored in _stored(spark, root, glob, listed):
         # Files may write a name differently; the schema has every spelling, and a file fills one of them.
         cell = lambda c: F.coalesce(F.lit(None).cast("string"), *[
             F.col(f"`{n}`").cast("string") for n in stored.columns if clean_name(n) == c])
@@ -131,14 +156,14 @@ def read_columnar(spark: SparkSession, root: str, columns: tuple[str, ...], requ
     files = listed.join(seen.withColumn("_filled", F.lit(True)), "path", "left")
     absent = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) == 0, c) for c in required]))
     error = F.when(F.col("_filled").isNull(), "no rows").when(F.size(absent) > 0, F.concat(F.lit("missing columns: "), F.array_join(absent, ", ")))
-    errors = files.select("path", error.alias("error")).filter("error IS NOT NULL")
-    return rows.join(errors.select("path"), "path", "left_anti"), errors
+    files = stage(files.select("path", error.alias("error")))
+    return rows.join(files.filter("error IS NOT NULL").select("path"), "path", "left_anti"), files
 
 
 def read_tables(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], glob: str) -> tuple[DataFrame, DataFrame]:
-    """Delimited or columnar files, by the ending that ``glob`` names."""
-    read = read_columnar if glob.lower().endswith(".parquet") else read_delimited
-    return read(spark, root, columns, required, glob=glob)
+    """Rows of delimited or columnar files, by the ending that ``glob`` names, and every file with its error or null."""
+    read = _columnar if glob.lower().endswith(".parquet") else _delimited
+    return read(spark, root, columns, required, glob)
 
 
 def _with_keys(df: DataFrame, root: str, suffix: str = "") -> DataFrame:
@@ -146,14 +171,16 @@ def _with_keys(df: DataFrame, root: str, suffix: str = "") -> DataFrame:
     return df.withColumns({n: c for n, c in keys.items()})
 
 
-def _split_errors(rows: DataFrame, errors: DataFrame, root: str, suffix: str) -> tuple[DataFrame, DataFrame]:
-    keyed = _with_keys(rows, root, suffix)
-    bad = keyed.filter("path_error is not null").select("path", F.col("path_error").alias("error")).distinct()
-    good = keyed.filter("path_error is null")
+def _split_errors(rows: DataFrame, files: DataFrame, root: str, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """Rows under their series, and the files that give none. The files decide, so that the rows are read once, by the caller."""
+    errors = files.filter("error IS NOT NULL")
+    named = _with_keys(files.filter("error IS NULL").select("path"), root, suffix)
+    bad = named.filter("path_error is not null").select("path", F.col("path_error").alias("error"))
+    named = named.filter("path_error is null").select(*STREAM_KEYS, "path")
     # Files that would become one series are errors, not a series with every frame twice.
-    named = good.select(*STREAM_KEYS, "path").distinct()
-    several = named.groupBy(*STREAM_KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*STREAM_KEYS)
+    several = stage(named.groupBy(*STREAM_KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*STREAM_KEYS))
     twice = named.join(several, list(STREAM_KEYS)).select("path", F.lit("series name of several files").alias("error"))
+    good = _with_keys(rows, root, suffix).filter("path_error is null")
     good = good.join(several, list(STREAM_KEYS), "left_anti").drop("path", "path_error", "relative_path")
     return good, errors.unionByName(bad).unionByName(twice)
 
@@ -162,21 +189,30 @@ def read_frames(spark: SparkSession, root: str, glob: str = "*.csv") -> tuple[Da
     """Frame series of a ``label/modality/stem`` tree of delimited or (``*.parquet``) columnar files, and error rows
     ``(path, error)``."""
     required = tuple(c for c in FRAME_COLUMNS if c not in OPTIONAL_FRAME_COLUMNS)
-    rows, errors = read_tables(spark, root, FRAME_COLUMNS, required, glob)
-    return _split_errors(rows, errors, root, "")
+    rows, found = read_tables(spark, root, FRAME_COLUMNS, required, glob)
+    return _split_errors(rows, found, root, "")
 
 
 def read_gaze(spark: SparkSession, root: str, glob: str = "*.csv", strict: bool = False,
               suffix: str = GAZE_FILE_SUFFIX) -> tuple[DataFrame, DataFrame]:
     """Gaze series; ``strict`` asks for all fifteen columns instead of the five that features need."""
-    rows, errors = read_tables(spark, root, GAZE_COLUMNS, GAZE_COLUMNS if strict else GAZE_REQUIRED, glob)
-    return _split_errors(rows, errors, root, suffix)
+    rows, found = read_tables(spark, root, GAZE_COLUMNS, GAZE_COLUMNS if strict else GAZE_REQUIRED, glob)
+    return _split_errors(rows, found, root, suffix)
+
+
+#: Tasks put their files in place themselves; otherwise the driver moves the file of every series, one after the other.
+TASKS_COMMIT = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def writers(spark: SparkSession) -> int:
+    """Tasks that write one file for each series. Their time goes with the files, so that small rows must not merge them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def write_per_stream(df: DataFrame, root: str, s: Series = Series(), mode: str = "overwrite") -> None:
     """One folder per series; a long series is written by several tasks."""
     spread = list(s.keys) if s.chunk_rows is None or s.order not in df.columns else [*s.keys, s.chunk()]
-    df.repartition(*spread).write.mode(mode).partitionBy(*s.keys).parquet(root)
+    df.repartition(writers(df.sparkSession), *spread).write.mode(mode).option(*TASKS_COMMIT).partitionBy(*s.keys).parquet(root)
 
 
 def write_versioned(df: DataFrame, folder: str, name: str, now: datetime | None = None) -> str:

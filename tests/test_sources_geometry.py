@@ -230,3 +230,21 @@ def test_align_union(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, "q")], "x int, y string")
     assert rows(clean.align_union([a, b])) == [(1, None), (2, "q")]
     assert LABELS[0] == "normal"
+
+
+def test_errors_come_from_the_files_table_and_agreeing_files_are_read_as_a_folder(spark, tmp_path, monkeypatch):
+    row, place = {c: 1.0 for c in FRAME_COLUMNS} | {"frame": 1}, tmp_path / "normal/IR"
+    place.mkdir(parents=True)
+    for i in range(3):
+        spark.createDataFrame([row | {"avg_ear": i / 10}]).toPandas().to_parquet(place / f"s{i}.parquet")
+    monkeypatch.setattr(files, "_one_schema", lambda *a: pytest.fail("files named one by one"))
+    good, errors = files.read_frames(spark, str(tmp_path), "*.parquet")
+    assert sorted(r["file_stem"] for r in good.collect()) == ["s0", "s1", "s2"] and errors.isEmpty()
+    assert not [f for f in errors.inputFiles() if "/normal/" in f]  # the rows are not read again for them
+
+
+def test_few_rows_of_many_series_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(f"s{i}", i) for i in range(40)], "id string, frame long")
+    files.write_per_stream(df, str(tmp_path / "out"), Series(("id",), "frame", None))
+    assert len({p.name.split("-")[1] for p in (tmp_path / "out").glob("*/part-*")}) > 1
+    assert len(list((tmp_path / "out").glob("id=*/part-*"))) == 40 == spark.read.parquet(str(tmp_path / "out")).count()
