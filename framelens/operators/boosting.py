@@ -1,8 +1,8 @@
 """Boosted trees, grown level by level for all open fits at once.
 
 Rows are kept as bins of their features. A pass over them adds up, for every open fit, tree, node, feature and bin, the
-statistics that decide the splits; the driver sees these sums only, picks the splits of a level and sends them with the
-next pass. So the number of jobs follows depth times rounds, whatever the number of fits and classes. Margins are
+statistics that decide the splits; tasks add them tree by tree and pick the splits of a level, which the driver sends with
+the next pass. So the number of jobs follows depth times rounds, whatever the number of fits and classes. Margins are
 written with the rows every ``KEEP`` rounds; in between a pass applies the few trees grown since.
 
 A training side of at most ``WHOLE`` rows is grown by the same steps within one task, one task per fit.
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from framelens.operators.scoring import complete_probabilities
 from framelens.operators.series import drop_stage, stage
 
-BINS, KEEP, WHOLE = 64, 16, 20_000
-#: Partial sums added by the driver; more are first added in Spark.
+BINS, KEEP, WHOLE = 64, 4, 20_000
+#: Partial sums added at a time; more are first added group by group.
 FEW = 32
 
 
@@ -206,39 +206,50 @@ def _mass(spec: Boost, s: np.ndarray) -> np.ndarray:
     return s[..., 1] if spec.kind != "samme" else s.sum(axis=-1)
 
 
-def split_level(growth: Growth, sums: np.ndarray) -> None:
-    """Choose the splits of the current level from its sums, and go on to the next level or the next round."""
+#: Per node of a level: weight, whether and where it is split, the gain, values and errors of the node and its children.
+_PICKED = 11
+
+
+def best_splits(growth: Growth, number: int, tree: int, cells: np.ndarray) -> np.ndarray:
+    """The best split of every node of a tree's current level, from the sums of its cells; ``number`` counts the rounds."""
+    spec = growth.spec
+    total = cells[:, 0].sum(axis=1)
+    left = cells.cumsum(axis=2)[:, :, :-1]
+    right = total[:, None, None] - left
+    gain = _worth(spec, left) + _worth(spec, right) - _worth(spec, total)[:, None, None]
+    small = max(spec.least, 1e-12 * float(_mass(spec, total).sum()))
+    gain[(_mass(spec, left) < small) | (_mass(spec, right) < small)] = -np.inf
+    if spec.columns < 1.0:
+        rng, most = np.random.default_rng([spec.seed, number]), max(1, round(spec.columns * growth.features))
+        gain[:, [rng.permutation(growth.features) for _ in range(tree + 1)][-1][most:]] = -np.inf
+    flat = gain.reshape(len(gain), -1)
+    # The first of equally good splits, however the sums were rounded.
+    best = (flat >= flat.max(axis=1, keepdims=True) - 1e-9 * _worth(spec, total)[:, None]).argmax(axis=1)
+    node = np.arange(len(flat))
+    f, b = np.divmod(best, BINS - 1)
+    won, ends = flat[node, best], (total, left[node, f, b], right[node, f, b])
+    split = won > 1e-9 * np.maximum(1e-12, np.abs(_worth(spec, total)))
+    wrong = [e.sum(axis=1) - e.max(axis=1) for e in ends]
+    return np.stack([_mass(spec, total), split, f, b, won, *[_value(spec, e) for e in ends], *wrong], axis=1)
+
+
+def split_level(growth: Growth, picked: list[np.ndarray]) -> None:
+    """Set the splits of the current level, one array of ``best_splits`` a tree, and go on to the next level or round."""
     spec, trees, level = growth.spec, growth.rounds[-1].trees, growth.level
     first, error, mass = 2**level - 1, 0.0, 0.0
-    rng = np.random.default_rng([spec.seed, len(growth.rounds)])
-    for tree, cells in zip(trees, sums):
-        total = cells[:, 0].sum(axis=1)
-        left = cells.cumsum(axis=2)[:, :, :-1]
-        right = total[:, None, None] - left
-        gain = _worth(spec, left) + _worth(spec, right) - _worth(spec, total)[:, None, None]
-        small = max(spec.least, 1e-12 * float(_mass(spec, total).sum()))
-        gain[(_mass(spec, left) < small) | (_mass(spec, right) < small)] = -np.inf
-        if spec.columns < 1.0:
-            most = max(1, round(spec.columns * growth.features))
-            gain[:, rng.permutation(growth.features)[most:]] = -np.inf
-        flat = gain.reshape(len(gain), -1)
-        # The first of equally good splits, however the sums were rounded.
-        best = (flat >= flat.max(axis=1, keepdims=True) - 1e-9 * _worth(spec, total)[:, None]).argmax(axis=1)
-        for node in np.flatnonzero(_mass(spec, total) > 0):
+    for tree, nodes in zip(trees, picked):
+        for node in np.flatnonzero(nodes[:, 0] > 0):
+            _, split, f, b, won, value, *rest = nodes[node].tolist()
             at = first + node
             if level == 0:
-                tree.value[at] = _value(spec, total[node])
-            f, b = divmod(int(best[node]), BINS - 1)
-            won = flat[node, best[node]]
-            if won > 1e-9 * max(1e-12, abs(float(_worth(spec, total[node])))):
+                tree.value[at] = value
+            if split:
                 tree.feature[at], tree.cut[at], tree.gain[at] = f, b, won
-                tree.value[2 * at + 1] = _value(spec, left[node, f, b])
-                tree.value[2 * at + 2] = _value(spec, right[node, f, b])
-                ends = [left[node, f, b], right[node, f, b]] if level == spec.depth - 1 else []
+                tree.value[2 * at + 1], tree.value[2 * at + 2] = rest[:2]
+                error += sum(rest[3:]) if level == spec.depth - 1 else 0.0
             else:
-                ends = [total[node]]
-            error += sum(float(s.sum() - s.max()) for s in ends)
-        mass = max(mass, float(_mass(spec, total).sum()))
+                error += rest[2]
+        mass = max(mass, float(nodes[:, 0].sum()))
     growth.wrong += error
     growth.mass = mass if level == 0 else growth.mass
     growth.level += 1
@@ -311,27 +322,26 @@ def _sides(pdf: pd.DataFrame, fits: list[tuple[int, Growth]]):
         yield rows, margin, own
 
 
-def _added(parts: DataFrame, count: int) -> np.ndarray:
-    """Sum of the tasks' arrays; many are first added in Spark, group by group."""
+def _added(table: pa.Table) -> tuple[dict, np.ndarray]:
+    """Sum of the arrays of a group, in the order of the tasks, and the first row."""
+    rows = table.sort_by("part").to_pylist()
+    return rows[0], np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0)
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("part")
-        total = np.sum([np.frombuffer(r, np.float64) for r in rows["sums"].to_pylist()], axis=0)
-        return pa.table({"part": pa.array([rows["part"][0].as_py() // FEW], pa.int32()), "sums": pa.array([total.tobytes()])})
-
-    while count > FEW:
-        parts = parts.groupBy(F.floor(F.col("part") / FEW).alias("_")).applyInArrow(add, "part int, sums binary")
-        count = -(-count // FEW)
-    rows = sorted(parts.collect(), key=lambda r: r["part"])  # FEW arrays at most
-    return np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0)
 
+def _level(rows: DataFrame, fits: list[tuple[int, Growth]], parts: int) -> list[list[np.ndarray] | None]:
+    """The best splits of the current level of every open fit, from one pass over the rows.
 
-def _level(rows: DataFrame, fits: list[tuple[int, Growth]], parts: int) -> list[np.ndarray | None]:
-    """The sums of the current level of every open fit, from one pass over the rows."""
+    Tasks' sums meet in Spark, tree by tree, and splits are chosen there: the driver gets a few numbers for each node.
+    """
     sizes = [0 if g.over else g.cells for _, g in fits]
     starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     shared = rows.sparkSession.sparkContext.broadcast([(side, g.recent()) for side, g in fits])
 
+    def chosen(fit: int, tree: int, sums: np.ndarray) -> bytes:
+        g = shared.value[fit][1]
+        cells = sums.reshape(2**g.level, g.features, BINS, g.spec.stats)
+        return best_splits(g, g.kept + len(g.rounds), tree, cells).tobytes()
+
     def run(batches):
         total = np.zeros(starts[-1])
         for pdf in batches:
@@ -341,12 +351,29 @@ def _level(rows: DataFrame, fits: list[tuple[int, Growth]], parts: int) -> list[
                         block.apply(g.spec, g.rounds[:-1])
                         found = block.sums(g.spec, g.kept + len(g.rounds) - 1, g.rounds[-1].trees, g.level)
                         total[starts[i]:starts[i + 1]] += found.ravel()
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
+        trees = [(i, t, sums) for i, (lo, hi) in enumerate(zip(starts, starts[1:])) if hi > lo
+                 for t, sums in enumerate(total[lo:hi].reshape(shared.value[i][1].spec.trees, -1))]
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "fit": [i for i, _, _ in trees], "tree": [t for _, t, _ in trees],
+                            "sums": [chosen(*t) if parts == 1 else t[2].tobytes() for t in trees]})
 
-    total = _added(rows.mapInPandas(run, "part int, sums binary"), parts)
+    def add(table: pa.Table) -> pa.Table:
+        first, total = _added(table)
+        return pa.Table.from_pylist([{**first, "part": first["part"] // FEW, "sums": total.tobytes()}], table.schema)
+
+    def choose(table: pa.Table) -> pa.Table:
+        first, total = _added(table)
+        return pa.Table.from_pylist([{**first, "sums": chosen(first["fit"], first["tree"], total)}], table.schema)
+
+    kinds, count = "part int, fit int, tree int, sums binary", parts
+    found = rows.mapInPandas(run, kinds)
+    while count > FEW:  # many are first added group by group
+        found = found.groupBy(F.floor(F.col("part") / FEW).alias("_"), "fit", "tree").applyInArrow(add, kinds)
+        count = -(-count // FEW)
+    if parts > 1:
+        found = found.groupBy("fit", "tree").applyInArrow(choose, kinds)
+    picked = {(r["fit"], r["tree"]): np.frombuffer(r["sums"], np.float64).reshape(-1, _PICKED) for r in found.collect()}
     shared.unpersist()
-    return [total[lo:hi].reshape(g.spec.trees, 2**g.level, g.features, BINS, g.spec.stats) if hi > lo else None
-            for lo, hi, (_, g) in zip(starts, starts[1:], fits)]
+    return [None if g.over else [picked[i, t] for t in range(g.spec.trees)] for i, (_, g) in enumerate(fits)]
 
 
 def _kept(rows: DataFrame, fits: list[tuple[int, Growth]]) -> DataFrame:
@@ -371,9 +398,9 @@ def grow_levels(rows: DataFrame, fits: list[tuple[int, Growth]]) -> None:
     """Grow all fits over the staged ``rows`` of their sides, one level of everything at a time."""
     parts = rows.rdd.getNumPartitions()
     while any(not g.over for _, g in fits):
-        for (_, g), sums in zip(fits, _level(rows, fits, parts)):
-            if sums is not None:
-                split_level(g, sums)
+        for (_, g), picked in zip(fits, _level(rows, fits, parts)):
+            if picked is not None:
+                split_level(g, picked)
         if any(not g.over and g.done - g.kept >= KEEP for _, g in fits):
             before, rows = rows, _kept(rows, fits)
             drop_stage(before)
@@ -384,7 +411,8 @@ def grow_whole(block: Block, growth: Growth) -> None:
     """Grow one fit over rows that are all at hand."""
     while not growth.over:
         at = growth.done
-        split_level(growth, block.sums(growth.spec, at, growth.rounds[-1].trees, growth.level))
+        sums = block.sums(growth.spec, at, growth.rounds[-1].trees, growth.level)
+        split_level(growth, [best_splits(growth, len(growth.rounds), t, cells) for t, cells in enumerate(sums)])
         if growth.done > at:
             block.apply(growth.spec, growth.rounds[at:at + 1])
 

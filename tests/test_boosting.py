@@ -131,3 +131,14 @@ def test_predictions_of_a_table(spark):
         p = fit.scores([np.array([r[f]]) for f in s.features])[0]
         assert [r[f"prob_{c}"] for c in fit.classes] == pytest.approx(p) and r["predicted_label"] == fit.classes[int(p.argmax())]
     assert fit.predict(s.rows.limit(0)).count() == 0
+
+
+def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
+    x, code = data(90)
+    df = side(spark, x, code, 6)
+    rows = boosting.stage(boosting.binned(df, boosting.cut_points(df), 0, 3).repartition(6))
+    seen, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    growth = boosting.Growth(KINDS[0], 4)
+    boosting._level(rows, [(0, growth)], 6)
+    assert sum(len(bytes(v)) for part in seen for r in part for v in r if isinstance(v, (bytes, bytearray))) < 1000 < 8 * growth.cells
