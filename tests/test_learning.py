@@ -269,3 +269,10 @@ def test_split_keeps_every_label_on_both_sides(spark, groups):
     assert sides[0] == sides[1] == {label for labels in groups.values() for label in labels}
     assert not {r["group_id"] for r in train.collect()} & {r["group_id"] for r in test.collect()}
     assert train.count() + test.count() == len(data)
+
+
+def test_a_side_of_some_ten_thousand_rows_is_fitted_by_several_tasks(spark):
+    train = spark.range(0, 30_000, 1, 1).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 2 == 0, "normal").otherwise("drowsiness").alias("label"))
+    assert models.prepare(train, ["a"], False).rows.select(F.input_file_name()).distinct().count() > 1
+    fit = models.train_model("random_forest", train, ["a"], {"numTrees": 2, "maxDepth": 2})
+    assert fit.model.stages[-1].getCacheNodeIds()
