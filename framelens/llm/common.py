@@ -75,7 +75,8 @@ class Ragged:
             self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(own) - own])
             self._sizes = np.concatenate([self._sizes, own])
             self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(made), np.int32)])
-            at[missing] = [self._at[keys[i]] for i in missing]
+            count = len(self._at)
+            at[missing] = range(count - len(new), count) if len(new) == len(missing) else [self._at[keys[i]] for i in missing]
         sizes = self._sizes[at]
         return self._flat[spread(self._starts[at], sizes)], sizes
 

@@ -14,6 +14,7 @@ states and a 32-bit word position each) and the 32-bit words.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -24,21 +25,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framelens.llm.common import Memo, Ragged, Scratch, group_sums, in_slices, lengths, mapped
+from framelens.llm.common import Ragged, Scratch, group_sums, in_slices, lengths, mapped, spread
 
 MAGIC, LANES, CHECKPOINT, BLOCK = b"RNS1", 256, 64, 1 << 17
 #: log2 of the sum of the quantised frequencies; the states stay in [LOW, LOW << 32).
 SCALE, LOW = 20, np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIII")
 _U = np.uint64
-#: a-z and the lower-case letters U+00DF to U+00FF (without the division sign) in UTF-8: composed, and unchanged by lower().
-_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Byte-level vocabularies name a byte by itself if it prints in Latin-1, else by the next free character from U+0100 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-_MARKS = frozenset(b".,!?;:")
+_NAMES = "".join(chr(b if b == 10 else _BYTE_NAMES.get(b, b)) for b in range(256))
+#: What is none of printable ASCII without capitals, the letters U+00C0 to U+00FF (all composed) and line feed, in UTF-8.
+_UNUSUAL = re.compile(rb"[\x00-\x09\x0b-\x20A-Z\x7f\xc2\xc4-\xff]|\xc3[\x97\xb7]").search
+_CAPITAL = re.compile(rb"\xc3[\x80-\x9e]").search
+#: The pieces that the pre-tokenizer cuts them into, in byte names (U+00C3 begins a letter), and line feeds.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3.)+|[0-9]|\n|[^a-z0-9\n\xc3]+").findall
+_PARTED: list = []
+#: Texts that are cut into words together.
+SLICE = 2_048
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -80,13 +89,16 @@ class Coder:
         grid[:n] = ids
         grid = grid.reshape(steps, LANES)
         state, words, points = np.full(LANES, LOW, _U), [None] * steps, []
-        room = _U(63 - SCALE)
+        freq, start = self.freq[grid], self.start[grid]
+        room = freq << _U(63 - SCALE)
         for t in range(steps - 1, -1, -1):
-            f = self.freq[grid[t]]
-            full = state >= f << room
-            words[t] = (state[full] & _U(0xFFFFFFFF)).astype("<u4")
-            state[full] >>= _U(32)
-            state = ((state // f) << _U(SCALE)) + state % f + self.start[grid[t]]
+            f = freq[t]
+            full = np.flatnonzero(state >= room[t])
+            high = state[full]
+            words[t] = high.astype("<u4")  # the lower half
+            state[full] = high >> _U(32)
+            turns = state // f
+            state += turns * (_U(1 << SCALE) - f) + start[t]  # the remainder of the division is state - turns * f
             if t % CHECKPOINT == 0:
                 points.append(state.copy())
         before = np.cumsum([0] + [len(w) for w in words])[:steps:CHECKPOINT]
@@ -165,9 +177,9 @@ def word_tokenizer(tokenizer_json: str) -> Callable:
     """Ids of whole texts by the tokenizers library, without special tokens.
 
     The tokenizer lower-cases, drops white space and never joins what white space separates, so a text's ids are those
-    of its words. Words are looked up once and kept in bounded memos; a lower-case word with a mark at its end is put together from
-    its stem and the mark, which the tokenizer separates too. A text with "<|", where special tokens are spelled, goes
-    through the library as a whole.
+    of its words. Arrow cuts the texts and numbers the distinct words, which are looked up in a bounded memo. New ones of
+    the usual letters are cut as the pre-tokenizer does and their pieces go to the library's model, others through the
+    library one by one. A text with "<|", where special tokens are spelled, goes through the library as a whole.
     """
     import os
 
@@ -177,31 +189,41 @@ def word_tokenizer(tokenizer_json: str) -> Callable:
     whole = Tokenizer.from_str(tokenizer_json)
     model = whole.model
 
-    def library(texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def stem(word: bytes) -> bytes:
-        # A word of lower-case letters passes the normaliser unchanged and is one piece for the model.
-        if word.isalpha() or _LATIN.fullmatch(word):
-            return array("i", [t.id for t in model.tokenize(word.decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
-        return array("i", whole.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
-
-    stems = Memo(stem, 500_000)
+    def library(text: str) -> bytes:
+        return array("i", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def many(words: list[bytes]) -> list[bytes]:
-        return [stems[w[:-1]] + stems[w[-1:]] if w[-1] in _MARKS and len(w) > 1 and 97 <= w[-2] <= 122 else stems[w] for w in words]
+        joined, other = b"\n".join(words), {}
+        if _UNUSUAL(joined):
+            other = {i: w for i, w in enumerate(words) if _UNUSUAL(w)}
+            joined = b"\n".join([b"" if i in other else w for i, w in enumerate(words)])
+        if _CAPITAL(joined):
+            joined = joined.decode("utf-8").lower().encode("utf-8")
+        pieces = _PIECES(codecs.charmap_decode(joined, "strict", _NAMES)[0])
+        found = [_PARTED if p == "\n" else model.tokenize(p) for p in pieces]
+        parted = np.fromiter((x is _PARTED for x in found), bool, len(found))
+        ids = [t.id for x in found for t in x]
+        ends = np.concatenate([[0], np.cumsum(lengths(found))])[np.append(np.flatnonzero(parted), len(found))] * 4
+        packed, at = array("i", ids).tobytes(), ends.tolist()
+        out = [packed[a:b] for a, b in zip([0, *at], at)]
+        for i, w in other.items():
+            out[i] = library(w.decode("utf-8"))
+        return out
 
     table = Ragged(many)
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        special = [t is not None and "<|" in t for t in texts]
-        found = [[] if s or not t else t.encode("utf-8").lower().split() for t, s in zip(texts, special)]
-        flat, sizes = table([w for ws in found for w in ws])
-        per = group_sums(sizes, lengths(found))
+        texts = pa.array(texts, pa.large_string())  # made anew: Arrow's functions go wrong on a cast slice of an array
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, None, texts)))
+        coded = cut.flatten().dictionary_encode()  # an empty word at the edge of a text has no ids
+        flat, sizes = table(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        code = coded.indices.to_numpy()
+        flat = flat[spread((np.cumsum(sizes) - sizes)[code], sizes[code])]
+        per = group_sums(sizes[code], pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False))
         ids = np.split(flat, np.cumsum(per)[:-1]) if len(texts) else []
-        for i, s in enumerate(special):
-            if s:
-                ids[i] = np.frombuffer(library([texts[i]])[0], np.int32)
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            ids[i] = np.frombuffer(library(texts[i].as_py()), np.int32)
         return ids
 
     return encode
@@ -225,11 +247,13 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end: int, width: str) -> Data
     def run(batches):
         encode = worker_tokenizer(shared.value)
         tail = np.array([end], np.int32)
-        for pdf in in_slices(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [
-                _packed(np.concatenate([x, tail]), width) for x in encode(list(pdf["text"]))]})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                some = batch.slice(lo, SLICE)
+                ids = [_packed(np.concatenate([x, tail]), width) for x in encode(some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    made = mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
     return made.withColumn("place", F.monotonically_increasing_id())
 
 
@@ -238,9 +262,8 @@ def frequencies(tokens: DataFrame, vocabulary: int, width: str) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
-        for pdf in batches:
-            for raw in pdf["ids"]:
-                total += np.bincount(np.frombuffer(raw, width), minlength=vocabulary)
+        for pdf in in_slices(batches):
+            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), width), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 

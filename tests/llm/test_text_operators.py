@@ -124,6 +124,39 @@ def _lookup(path):
     return _CACHE.setdefault("lookup", None) or _CACHE.update(lookup=rans_ids.word_tokenizer(Path(path).read_text())) or _CACHE["lookup"]
 
 
+def test_new_words_are_looked_up_together(monkeypatch):
+    """Usual words, with marks, digits and letters of Latin-1, do not go through the library one by one."""
+    import tokenizers
+
+    alone, real = [], tokenizers.Tokenizer
+
+    class Counting:
+        def __init__(self, spec):
+            self.made, self.model = real.from_str(spec), real.from_str(spec).model
+
+        def encode(self, text, **options):
+            alone.append(text)
+            return self.made.encode(text, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_str": Counting}))
+    path = public_file("word_bpe_49k.json")
+    texts = ["héllo, wörld!! it's 12 don't,(x) É.a  ÀB ", None, "", "\x0bñandú... a'sb 'll", "× ÷ ß zażółć <|endoftext|", " \x00 \x1c"]
+    whole = real.from_file(path)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in rans_ids.word_tokenizer(Path(path).read_text())(texts)] == want
+    assert set(alone) == {texts[4], "\x00", "\x1c"}
+
+
+def test_batches_of_many_slices_keep_their_rows(spark):
+    path = public_file("word_bpe_49k.json")
+    texts = {i: f"Wörd{i} ß {i % 7}" * (i % 3) for i in range(5_000)}
+    df = texts_table(spark, texts).coalesce(1)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rans_ids.tokenise(df, Path(path).read_text(), 1, "<u2").collect()}
+    whole = rans_ids.word_tokenizer(Path(path).read_text())
+    want = {r["doc_id"]: [*whole([r["text"]])[0].tolist(), 1] for r in df.collect()}
+    assert got == want
+
+
 # --- 2 pieces ---------------------------------------------------------------------------------------------------------
 
 def _library(kind):
