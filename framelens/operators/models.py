@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,10 @@ def label_codec(train: DataFrame, label: str = "label") -> tuple[StringIndexerMo
     return model, IndexToString(inputCol="label_code", outputCol="decoded", labels=model.labels)
 
 
+#: Rows whose random features a worker holds at once.
+LIFTED_ROWS = 512
+
+
 class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Random Fourier features of a Gaussian kernel (Rahimi and Recht, 2007)."""
 
@@ -57,10 +61,7 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
 
         drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # once per worker, by input width
 
-        @F.pandas_udf("array<double>")
-        def project(vec: pd.Series) -> pd.Series:
-            if len(vec) == 0:
-                return pd.Series([], dtype=object)
+        def lift(vec: pd.Series) -> pd.Series:
             x = np.vstack(vec.to_numpy())
             if x.shape[1] not in drawn:
                 draw = np.random.default_rng(seed)
@@ -69,6 +70,13 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
             w, shift = drawn[x.shape[1]]
             return pd.Series(list(math.sqrt(2.0 / width) * np.cos(x @ w + shift)))
 
+        @F.pandas_udf("array<double>")
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            # Features take many times the room of their rows, so they are made and passed on for a few rows at a time.
+            for vec in batches:
+                for lo in range(0, len(vec), LIFTED_ROWS):
+                    yield lift(vec.iloc[lo:lo + LIFTED_ROWS])
+
         return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
 
 

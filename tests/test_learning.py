@@ -276,3 +276,21 @@ def test_a_side_of_some_ten_thousand_rows_is_fitted_by_several_tasks(spark):
     assert models.prepare(train, ["a"], False).rows.select(F.input_file_name()).distinct().count() > 1
     fit = models.train_model("random_forest", train, ["a"], {"numTrees": 2, "maxDepth": 2})
     assert fit.model.stages[-1].getCacheNodeIds()
+
+
+def test_random_features_are_made_for_few_rows_at_a_time(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    made, real = [], models.F.pandas_udf
+    monkeypatch.setattr(models.F, "pandas_udf", lambda kind: lambda f: made.append(f) or real(kind)(f))
+    points = np.random.default_rng(0).normal(size=(1_300, 3))
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "a array<double>").coalesce(1).select(array_to_vector("a").alias("v"))
+    out = models.RandomFourier(inputCol="v", outputCol="z", gamma=0.5, width=16).transform(df)
+    parts = [np.vstack(z) for z in made[0](iter([pd.Series(list(points)), pd.Series([], dtype=object)]))]
+    assert len(parts) > 1 and max(map(len, parts)) <= 512
+    draw = np.random.default_rng(models.SEED)
+    w, shift = draw.normal(0.0, 1.0, (3, 16)), draw.uniform(0.0, 2.0 * np.pi, 16)
+    want = np.sqrt(2.0 / 16) * np.cos(points @ w + shift)
+    assert np.allclose(np.concatenate(parts), want) and np.allclose(np.vstack([r["z"].toArray() for r in out.collect()]), want)
