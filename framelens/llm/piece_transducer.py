@@ -16,6 +16,7 @@ cut at these states, and the shortest path of each stretch is worked out once pe
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -23,9 +24,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framelens.llm.common import Memo, Ragged, in_slices, lengths, mapped
+from framelens.llm.common import BATCH_ROWS, Memo, Ragged, lengths, mapped
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -66,9 +68,9 @@ class Transducer:
             raise ValueError("a piece with white space inside leaves no states to cut the composition at")
         #: Neighbouring characters within some piece; between any others no arc passes.
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._zero_paths = Memo(lambda text: self._spelled(self._zero(text)), 600_000)
+        self._zero_paths = Memo(lambda text: self._spelled(self._zero(text)), 200_000)
         self.cut_lines = self.prefix and not any("\n" in p for p in self.ids)
-        self._pair = Memo(self._fits, 600_000)
+        self._pair = Memo(self._fits, 250_000)
 
     def normalise(self, text: str) -> str:
         """Spaces for U+2581 until a stretch is spelled out; what is cut here holds one symbol of each kind only."""
@@ -204,7 +206,7 @@ class Encoder:
 
     def __init__(self, model: bytes):
         self.wfst = Transducer(model)
-        self._paths = Ragged(lambda keys: [self.wfst.path(k) for k in keys])
+        self._paths = Ragged(lambda keys: [self.wfst.path(k) for k in keys], 400_000)
 
     def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         keys = [self.wfst.stretches(self.wfst.normalise(t)) if t else [] for t in texts]
@@ -213,6 +215,18 @@ class Encoder:
         return np.split(flat, ends[:-1]) if len(keys) else []
 
 
+_WORKERS: dict[bytes, Encoder] = {}
+
+
+def worker_encoder(model: bytes) -> Encoder:
+    """The ``Encoder`` of a worker process, which keeps it from task to task: a new one for each task would stand beside
+    the old one until Python collects its cycles."""
+    if model not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[model] = Encoder(model)
+    return _WORKERS[model]
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``doc_id, piece_ids, n_pieces, n_byte_pieces, ids_crc32, decoded_crc32, round_trip`` of every row.
 
@@ -223,22 +237,28 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: half a megabyte, whatever the table
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        gc.collect()  # what the worker's earlier tasks have left
+        pa.default_memory_pool().release_unused()
+        encoder = worker_encoder(shared.value)
         byte = np.zeros(len(encoder.wfst.spelling), bool)
         byte[list(encoder.wfst.byte.values())] = True
-        for pdf in in_slices(batches):
-            texts = [t or "" for t in pdf["text"]]
-            ids = encoder(texts)
-            back = [encoder.wfst.decode(x.tolist()) for x in ids]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "piece_ids": ids, "n_pieces": lengths(ids),
-                "n_byte_pieces": [int(byte[x].sum()) for x in ids],
-                "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                "decoded_crc32": [zlib.crc32(t.encode("utf-8", "replace")) for t in back],
-                "round_trip": [a == b for a, b in zip(texts, back)]})
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece_ids array<int>, n_pieces long, "
-                  "n_byte_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+        for batch in batches:  # an Arrow batch, so that only the texts of a slice are Python's too
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                docs, texts = (c.to_pylist() for c in batch.slice(lo, BATCH_ROWS).columns)
+                texts = [t or "" for t in texts]
+                ids = encoder(texts)
+                back = [encoder.wfst.decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(lengths(ids)),
+                    pa.array([int(byte[x].sum()) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(t.encode("utf-8", "replace")) for t in back], pa.int64()),
+                    pa.array([a == b for a, b in zip(texts, back)], pa.bool_())], names)
+
+    kinds = ("doc_id long, piece_ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_crc32 long, "
+             "round_trip boolean")
+    names = [k.split()[0] for k in kinds.split(", ")]
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:

@@ -203,6 +203,13 @@ def test_pieces_of_awkward_rows(spark):
     assert piece_transducer.encode(table(spark, []), model).count() == 0
 
 
+def test_piece_encoder_is_kept_and_bounded():
+    model = public_bytes("piece_bpe_32k.model")
+    encoder = piece_transducer.worker_encoder(model)
+    assert piece_transducer.worker_encoder(bytes(bytearray(model))) is encoder
+    assert encoder._paths._limit + encoder.wfst._zero_paths._limit + encoder.wfst._pair._limit <= 900_000
+
+
 # --- 3 shards ---------------------------------------------------------------------------------------------------------
 
 def _tree(docs, n):
