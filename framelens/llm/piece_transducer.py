@@ -34,6 +34,8 @@ UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 #: What an unknown character costs above the worst piece, as the format defines it.
 UNKNOWN_PENALTY = 10.0
+#: The score of two pieces that are none together.
+_NONE = float("-inf")
 _STRETCHES = re.compile(r" *[^ ]+| +")
 
 
@@ -62,7 +64,8 @@ class Transducer:
             self.spelling.append(bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else
                                  p.piece.replace(SPACE, " ").encode() if p.type in (_NORMAL, _USER, _UNUSED) else
                                  " ⁇ ".encode() if p.type == _UNKNOWN else b"")
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
+        #: Whether a start of a piece is a piece itself.
+        self.known = {p[:k]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
         self.worst = -min(self.score.values(), default=0.0) + UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece with white space inside leaves no states to cut the composition at")
@@ -79,16 +82,19 @@ class Transducer:
 
     def merge(self, text: str) -> list[str]:
         """Merge neighbours by the best score, the leftmost first, as merge models are defined."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, score = list(text), self.score
+        found = [score.get(x + y, _NONE) for x, y in zip(parts, parts[1:])]
+        while found:
+            best = max(found)
+            if best == _NONE:
                 break
+            at = found.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = score.get(parts[at - 1] + parts[at], _NONE)
+            if at < len(found):
+                found[at] = score.get(parts[at] + parts[at + 1], _NONE)
         return parts
 
     def _fits(self, key: str) -> bool:
@@ -115,12 +121,15 @@ class Transducer:
 
     def _arcs(self, text: str, start: int) -> list[int]:
         """Where the pieces that begin at ``start`` end, shortest first; a lone character is always one."""
-        ends, n, score, prefixes = [start + 1], len(text), self.score, self.prefixes
-        end = start + 1
-        while end < n and text[start:end] in prefixes:
+        end, n, known = start + 1, len(text), self.known
+        ends = [end]
+        while end < n:
             end += 1
-            if text[start:end] in score:
+            whole = known.get(text[start:end])
+            if whole:
                 ends.append(end)
+            elif whole is None:
+                break
         return ends
 
     def _zero(self, text: str) -> list[str]:
@@ -129,24 +138,35 @@ class Transducer:
         All other paths weigh infinity, so the first complete path is the shortest and the search is depth first,
         longest piece first. A position is reached by one piece only, hence a dead end is a property of the position.
         """
-        pieces, at, n, dead, pair = [], 0, len(text), set(), self._pair
-        waiting, last = [self._arcs(text, 0)], ""
+        pieces, at, n, dead, pair, known = [], 0, len(text), set(), self._pair, self.known
+        waiting, before = [], "\0"  # the length of the last piece as a character, then the piece
         while at < n:
-            ends = waiting[-1]
+            if len(waiting) == len(pieces):  # as ``_arcs``, without a call for every piece
+                end = at + 1
+                ends = [end]
+                while end < n:
+                    end += 1
+                    whole = known.get(text[at:end])
+                    if whole:
+                        ends.append(end)
+                    elif whole is None:
+                        break
+                waiting.append(ends)
+            else:
+                ends = waiting[-1]
             while ends:
                 end = ends.pop()
                 piece = text[at:end]
-                if end not in dead and pair[chr(len(last)) + last + piece]:
+                if end not in dead and pair[before + piece]:
                     pieces.append(piece)
-                    at, last = end, piece
-                    if at < n:
-                        waiting.append(self._arcs(text, at))
+                    before = chr(end - at) + piece
+                    at = end
                     break
             else:
                 dead.add(at)
                 waiting.pop()
                 at -= len(pieces.pop())
-                last = pieces[-1] if pieces else ""
+                before = chr(len(pieces[-1])) + pieces[-1] if pieces else "\0"
         return pieces
 
     def _least(self, text: str) -> list[str]:

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framelens.llm import common, near_copies, toxicity
-from framelens.llm.queries import op6_toxicity
+from framelens.llm import common, near_copies, piece_transducer, toxicity
+from framelens.llm.queries import op6_toxicity, public_bytes
 from tests.llm.cases import prose
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, row long, path string, place long, key int, k int, n int, root long, node long, sig string, _metadata string"
@@ -78,3 +78,24 @@ def test_subwords_of_plain_and_other_letters():
         import zlib
 
         assert toxicity.subwords(word).tolist() == [zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams]
+
+
+def test_merging_looks_up_each_new_neighbour_once():
+    """The scores of all neighbours are not looked up again after every merge, and the merges stay the same."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    wfst = piece_transducer.Transducer(public_bytes("piece_bpe_32k.model"))
+    wfst.score = score = Counted(wfst.score)
+    for text in ("▁the", "▁" + prose(30, 5).replace(" ", "") + "\né🙂", "▁" + "a" * 300, "", "x"):
+        parts = list(text)
+        while found := [(-score[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in score]:
+            at = min(found)[1]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        score.asked = 0
+        assert wfst.merge(text) == parts
+        assert score.asked <= 3 * len(text)
