@@ -10,9 +10,10 @@ Equal sets are one node, named by its smallest row. Pairs of nodes are proposed
 
 Within a bucket of equal bands members are compared with its smallest node first; what the sets confirm is merged. Then
 only pairs of different groups are left. The nodes outside the largest group of a bucket are dealt into classes, and the
-smallest of each class is compared with all members of other groups; with ``GROWTH`` times as many classes in each turn,
-until every class has one node. So no pair of a bucket is left out, pairs within a group are never made, and no bucket is
-gathered in a task.
+most common set of each class is compared with the members of other groups; one class first, then ``GROWTH`` times as many
+in each turn, until every class has one node. Before each turn the hashes are counted that a node shares with nodes of other groups
+(``open_nodes``): copies that differ in words of their own are no partners, and no pair is made of them. So no pair of a
+bucket is left out that can be similar enough, pairs within a group are never made, and no bucket is gathered in a task.
 """
 
 from __future__ import annotations
@@ -128,22 +129,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(both, run, "a long, b long")
 
 
+def open_nodes(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, n, c``: nodes that may be linked to a node of another group, the size of their set and how many hashes of it
+    some live node of another group has as well.
+
+    Two sets are similar enough only if they share four ninths of their sizes' sum. What they share lies in both counts, so
+    a pair needs both counts to be that large; and as the smaller set has at least 0.8 of the larger, a count below 0.8 of
+    the own size rules out every partner at once.
+    """
+
+    def run(batches):
+        for pdf in in_slices(batches, 64):
+            hashes = [np.frombuffer(s, np.uint32) for s in pdf["s"]]
+            n = [len(h) for h in hashes]
+            yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int32), "node": np.repeat(pdf["node"].to_numpy(), n),
+                                "root": np.repeat(pdf["root"].to_numpy(), n), "n": np.repeat(np.array(n), n)})
+
+    nodes = live.select("node", "root").distinct()
+    told = mapped(sets.join(nodes, "node"), run, "h int, node long, root long, n int")
+    met = told.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    return (told.join(met, "h", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).cast("int").alias("c"))
+            .filter("10 * c >= 8 * n"))
+
+
 def proposed(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a > b) of different groups to compare in this turn, and the classes of more than one node that are left.
 
-    ``live`` has ``k, node, root`` of the buckets with several groups.
+    ``live`` has ``k, node, root`` of the buckets with several groups, and after the first turn ``n, c`` of ``open_nodes``.
     """
     if turn == 0:
-        first = live.groupBy("k").agg(F.min(F.struct("node", "root")).alias("x"), F.lit(2).alias("size"))
+        one = live.groupBy("k").agg(F.min(F.struct("node", "root")).alias("x"), F.lit(2).alias("size"))
+        fits = F.lit(True)
     else:
-        sizes = live.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        sizes = live.groupBy("k", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
         rest = live.join(sizes, "k").filter("root <> largest")
-        dealt = rest.withColumn("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn)))
-        first = dealt.groupBy("k", "class").agg(F.min(F.struct("node", "root")).alias("x"), F.count(F.lit(1)).alias("size"))
-    one = first.select("k", F.col("x.node").alias("head"), F.col("x.root").alias("own"))
-    met = live.join(one, [live["k"] == one["k"], live["root"] != one["own"]])
-    pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    return pairs, first.filter("size > 1")
+        dealt = rest.withColumn("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**(turn - 1))))
+        # The set with the fewest hashes of its own comes first: copies differ less from it than from each other.
+        best = F.min(F.struct((F.col("n") - F.col("c")).alias("lone"), "node", "root", "n", "c"))
+        one = dealt.groupBy("k", "class").agg(best.alias("x"), F.count(F.lit(1)).alias("size"))
+        fits = 9 * F.least(live["c"], F.col("x.c")) >= 4 * (live["n"] + F.col("x.n"))
+    met = live.join(one, [live["k"] == one["k"], live["root"] != F.col("x.root"), fits])
+    pairs = met.select(F.greatest(live["node"], F.col("x.node")).alias("a"), F.least(live["node"], F.col("x.node")).alias("b")).distinct()
+    return pairs, one.filter("size > 1")
 
 
 def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -163,14 +190,21 @@ def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.write(set_table(rows, small_or_not(wanted)))
     edges = scratch.write(verified(alike(close, some), sets))
     scratch.drop(points, close, wanted)
-    apart, turn = edges.limit(0), 0
+    apart, turn, done = edges.limit(0), 0, bands
     while True:
         roots = components(edges, scratch)
         now = bands.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
         mixed = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("k")
         live = scratch.write(now.join(mixed, "k", "left_semi"))
+        # Groups only grow, so what is not live now never is again.
+        scratch.drop(done)
+        bands = live.select("k", "node")
+        if turn:
+            open_ = scratch.write(open_nodes(live, sets))
+            every, live = live, scratch.write(live.join(open_, "node"))
+            bands = live.select("k", "node")
+            scratch.drop(every, open_)
         if live.isEmpty():
-            scratch.drop(live)
             break
         pairs, crowded = proposed(live, turn)
         pairs = scratch.write(pairs.join(apart, ["a", "b"], "left_anti"))
@@ -178,12 +212,14 @@ def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
         good = scratch.write(verified(alike(pairs, some), sets))
         before, edges = edges, scratch.write(edges.unionByName(good))
         old, apart = apart, scratch.write(apart.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
-        scratch.drop(before, old, live, pairs, good)
+        scratch.drop(before, old, pairs, good)
+        done = live
+        scratch.sweep()
         if last:
             roots = components(edges, scratch)
             break
         turn += 1
-    scratch.drop(bands, sets)
+    scratch.drop(live, sets)
     named = scratch.write(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")))
     scratch.drop(nodes)
     return described_rows.join(named, "key").select("row", "root", (F.col("n") == 0).alias("wordless"))

@@ -99,3 +99,26 @@ def test_merging_looks_up_each_new_neighbour_once():
         score.asked = 0
         assert wfst.merge(text) == parts
         assert score.asked <= 3 * len(text)
+
+
+def test_copies_that_differ_in_words_of_their_own_make_no_pairs(spark, monkeypatch):
+    """One text changed in many places of each copy: nearly all copies share bands, few are similar enough to any other."""
+    rng, base, texts = np.random.default_rng(4), prose(150, 9).split(), {}
+    for k in range(400):
+        own = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 16)):
+            own[at] = f"new{k}x{at}"
+        texts[k] = " ".join(own)
+    met, alike = [], near_copies.alike
+    monkeypatch.setattr(near_copies, "alike", lambda pairs, nodes: met.append(pairs.count()) or alike(pairs, nodes))
+    rows = spark.createDataFrame(list(texts.items()), "row long, text string")
+    got = {r["row"]: r["root"] for r in near_copies.groups(rows, common.Scratch(spark)).collect()}
+    sets, root = [set(near_copies.shingles(t).tolist()) for t in texts.values()], list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if root[i] != root[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 100 < len(set(root)) < 390
+    assert got == dict(enumerate(root))
+    assert sum(met) < 30 * 400
