@@ -152,25 +152,27 @@ def open_nodes(live: DataFrame, sets: DataFrame) -> DataFrame:
             .filter("10 * c >= 8 * n"))
 
 
-def proposed(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a > b) of different groups to compare in this turn, and the classes of more than one node that are left.
+def firsts(live: DataFrame, turn: int) -> DataFrame:
+    """``k, x, size``: the node ``x`` that the members of other groups in the bucket are compared with in this turn, one of
+    each class, and the nodes of the class.
 
     ``live`` has ``k, node, root`` of the buckets with several groups, and after the first turn ``n, c`` of ``open_nodes``.
     """
     if turn == 0:
-        one = live.groupBy("k").agg(F.min(F.struct("node", "root")).alias("x"), F.lit(2).alias("size"))
-        fits = F.lit(True)
-    else:
-        sizes = live.groupBy("k", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-        rest = live.join(sizes, "k").filter("root <> largest")
-        dealt = rest.withColumn("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**(turn - 1))))
-        # The set with the fewest hashes of its own comes first: copies differ less from it than from each other.
-        best = F.min(F.struct((F.col("n") - F.col("c")).alias("lone"), "node", "root", "n", "c"))
-        one = dealt.groupBy("k", "class").agg(best.alias("x"), F.count(F.lit(1)).alias("size"))
-        fits = 9 * F.least(live["c"], F.col("x.c")) >= 4 * (live["n"] + F.col("x.n"))
+        return live.groupBy("k").agg(F.min(F.struct("node", "root")).alias("x"), F.lit(2).alias("size"))
+    sizes = live.groupBy("k", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("k").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    rest = live.join(sizes, "k").filter("root <> largest")
+    dealt = rest.withColumn("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**(turn - 1))))
+    # The set with the fewest hashes of its own comes first: copies differ less from it than from each other.
+    best = F.min(F.struct((F.col("n") - F.col("c")).alias("lone"), "node", "root", "n", "c"))
+    return dealt.groupBy("k", "class").agg(best.alias("x"), F.count(F.lit(1)).alias("size"))
+
+
+def proposed(live: DataFrame, one: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a > b) of different groups to compare in this turn; ``one`` has the ``firsts``."""
+    fits = 9 * F.least(live["c"], F.col("x.c")) >= 4 * (live["n"] + F.col("x.n")) if turn else F.lit(True)
     met = live.join(one, [live["k"] == one["k"], live["root"] != F.col("x.root"), fits])
-    pairs = met.select(F.greatest(live["node"], F.col("x.node")).alias("a"), F.least(live["node"], F.col("x.node")).alias("b")).distinct()
-    return pairs, one.filter("size > 1")
+    return met.select(F.greatest(live["node"], F.col("x.node")).alias("a"), F.least(live["node"], F.col("x.node")).alias("b")).distinct()
 
 
 def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -190,33 +192,40 @@ def groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.write(set_table(rows, small_or_not(wanted)))
     edges = scratch.write(verified(alike(close, some), sets))
     scratch.drop(points, close, wanted)
-    apart, turn, done = edges.limit(0), 0, bands
+    apart, turn, live, grown = edges.limit(0), 0, bands, True
     while True:
-        roots = components(edges, scratch)
-        now = bands.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
-        mixed = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("k")
-        live = scratch.write(now.join(mixed, "k", "left_semi"))
-        # Groups only grow, so what is not live now never is again.
-        scratch.drop(done)
-        bands = live.select("k", "node")
-        if turn:
-            open_ = scratch.write(open_nodes(live, sets))
-            every, live = live, scratch.write(live.join(open_, "node"))
-            bands = live.select("k", "node")
-            scratch.drop(every, open_)
-        if live.isEmpty():
-            break
-        pairs, crowded = proposed(live, turn)
-        pairs = scratch.write(pairs.join(apart, ["a", "b"], "left_anti"))
-        last = crowded.isEmpty()
-        good = scratch.write(verified(alike(pairs, some), sets))
-        before, edges = edges, scratch.write(edges.unionByName(good))
-        old, apart = apart, scratch.write(apart.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
-        scratch.drop(before, old, pairs, good)
-        done = live
+        # Groups that did not grow leave everything as it was; the second turn needs the counts of hashes besides.
+        if grown:
+            roots = components(edges, scratch)
+        if grown or turn == 1:
+            now = live.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+            mixed = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("k")
+            # Groups only grow, so what is not live now never is again.
+            old, live = live, scratch.write(now.join(mixed, "k", "left_semi"))
+            scratch.drop(old)
+            if turn:
+                open_ = scratch.write(open_nodes(live, sets))
+                old, live = live, scratch.write(live.join(open_, "node"))
+                scratch.drop(old, open_)
+            if live.isEmpty():
+                break
+        one = scratch.write(firsts(live, turn))
+        pairs = scratch.write(proposed(live, one, turn).join(apart, ["a", "b"], "left_anti"))
+        last, grown = one.filter("size > 1").isEmpty(), False
+        if not pairs.isEmpty():
+            good = scratch.write(verified(alike(pairs, some), sets))
+            grown = not good.isEmpty()
+            if grown:
+                before, edges = edges, scratch.write(edges.unionByName(good))
+                scratch.drop(before)
+            if not last:
+                old, apart = apart, scratch.write(apart.unionByName(pairs.join(good, ["a", "b"], "left_anti")))
+                scratch.drop(old)
+            scratch.drop(good)
+        scratch.drop(one, pairs)
         scratch.sweep()
         if last:
-            roots = components(edges, scratch)
+            roots = components(edges, scratch) if grown else roots
             break
         turn += 1
     scratch.drop(live, sets)

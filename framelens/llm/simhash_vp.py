@@ -22,6 +22,8 @@ BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 SAMPLE, SHARD = 20_000, 4_000
 #: A piece this small is compared at once.
 PIECE = 192
+#: Links that a task joins by itself.
+LINKS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -196,14 +198,43 @@ def links(points: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(meet, "a long, b long").distinct()
 
 
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Stars (a > b) of what the links of each part join; the links are dealt evenly over the parts."""
+
+    def run(batches):
+        found = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in batches]
+        if found:
+            names, at = np.unique(np.concatenate(found), return_inverse=True)
+            forest = Forest(len(names))
+            for i, j in at.reshape(-1, 2).tolist():
+                forest.join(i, j)
+            low = np.fromiter((forest.root(i) for i in range(len(names))), np.int64, len(names))
+            far = np.flatnonzero(low != np.arange(len(names)))
+            yield pd.DataFrame({"a": names[far], "b": names[low[far]]})
+
+    return mapped(edges.select("a", "b").repartition(parts), run, "a long, b long")
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, nor a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    met = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return met.filter("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, root`` with the smallest node of its component, for every node that has an edge (a > b).
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): joins with combinable minima, no group of
-    neighbours is ever gathered. Each round is a written table that replaces the one before.
+    First each part of at most ``LINKS`` links is reduced to stars by itself; one part is all there is to do for few
+    links. Several parts go through alternating large-star and small-star steps (Kiveris et al., 2014): joins with
+    combinable minima, no group of neighbours is ever gathered. Each round is a written table that replaces the one before.
+    Every shuffle costs the driver a thread for a minute, so rounds are few and their end is seen by one.
     """
-    now = scratch.write(edges)
-    while True:
+    given = scratch.write(edges)
+    parts = -(-given.count() // LINKS)
+    now = scratch.write(contracted(given, max(parts, 1)))
+    scratch.drop(given)
+    while parts > 1 and not all_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: every larger neighbour of a is linked to the smallest node around a.
@@ -212,13 +243,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # Small star: a and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        scratch.drop(large)
-        same = (now.count() == after.count() and after.join(now, ["a", "b"], "left_anti").isEmpty())
-        scratch.drop(now)
-        now = after
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, now = now, scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(before, large)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

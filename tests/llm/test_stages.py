@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framelens.llm import common, near_copies, piece_transducer, toxicity
+from framelens.llm import common, near_copies, piece_transducer, simhash_vp, toxicity
 from framelens.llm.queries import op6_toxicity, public_bytes
 from tests.llm.cases import prose
 
@@ -122,3 +122,40 @@ def test_copies_that_differ_in_words_of_their_own_make_no_pairs(spark, monkeypat
     assert 100 < len(set(root)) < 390
     assert got == dict(enumerate(root))
     assert sum(met) < 30 * 400
+
+
+@pytest.mark.parametrize("part", [1 << 18, 50, 7])
+def test_links_are_joined_in_few_rounds(spark, monkeypatch, part):
+    """A chain, a hub and scattered links, in one part and in several."""
+    monkeypatch.setattr(simhash_vp, "LINKS", part, raising=False)
+    rng = np.random.default_rng(3)
+    links = [(i + 1, i) for i in range(60)] + [(100 + i, 100) for i in range(1, 60)] + [(100, 100)]
+    links += [(int(max(p)), int(min(p))) for p in rng.integers(200, 320, (70, 2)) if p[0] != p[1]] * 2
+    root = {n: n for link in links for n in link}
+    for a, b in links:
+        lo, hi = sorted((root[a], root[b]))
+        root = {n: lo if r == hi else r for n, r in root.items()}
+    written, write = [], common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df: written.append(1) or write(self, df))
+    df = spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long")
+    got = [(r["node"], r["root"]) for r in simhash_vp.components(df, common.Scratch(spark)).filter("node <> root").collect()]
+    assert sorted(got) == sorted((n, r) for n, r in root.items() if n != r)
+    assert len(written) <= (2 if part > len(links) else 14)
+    assert simhash_vp.components(df.limit(0), common.Scratch(spark)).collect() == []
+
+
+def test_groups_that_do_not_grow_are_not_joined_again(spark, monkeypatch):
+    """Texts that share bands but are not similar enough: after the first turn no turn finds a link."""
+    texts, base = {}, prose(150, 9).split()
+    for k in range(40):
+        own = list(base)
+        for at in range(0, 150, 30):
+            own[at:at + 2] = [f"new{k}x{at}", f"new{k}y{at}"]
+        texts[k] = " ".join(own)
+    called, components = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges, scratch: called.append(1) or components(edges, scratch))
+    rows = spark.createDataFrame(list(texts.items()), "row long, text string")
+    got = {r["row"]: r["root"] for r in near_copies.groups(rows, common.Scratch(spark)).collect()}
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts.values()]
+    assert max(10 * len(a & b) - 8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i]) < 0
+    assert got == {k: k for k in texts} and len(called) == 1
