@@ -5,7 +5,8 @@ statistics that decide the splits; tasks add them tree by tree and pick the spli
 the next pass. So the number of jobs follows depth times rounds, whatever the number of fits and classes. Margins are
 written with the rows every ``KEEP`` rounds; in between a pass applies the few trees grown since.
 
-A training side of at most ``WHOLE`` rows is grown by the same steps within one task, one task per fit.
+A training side of at most ``WHOLE`` rows is grown by the same steps within one task, one task per fit: there a level is
+a few sums over arrays, while a job for each level costs more than its sums until a side has about a million rows.
 
 Three kinds of boosting share this:
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from framelens.operators.scoring import complete_probabilities
 from framelens.operators.series import drop_stage, stage
 
-BINS, KEEP, WHOLE = 64, 4, 20_000
+BINS, KEEP, WHOLE = 64, 4, 500_000
 #: Partial sums added at a time; more are first added group by group.
 FEW = 32
 
@@ -80,14 +81,18 @@ class Tree:
 
     def leaf(self, bins: np.ndarray) -> np.ndarray:
         """The deepest node each row has reached so far."""
-        node, at = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            right = bins[at, np.maximum(f, 0)] > self.cut[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+        node = np.zeros(len(bins), np.int64)
+        while self.step(bins, node):
+            pass
+        return node
+
+    def step(self, bins: np.ndarray, node: np.ndarray) -> bool:
+        """Move the rows at inner nodes one level down; whether there were any."""
+        feature = self.feature[node]
+        rows = np.flatnonzero(feature >= 0)
+        at = node[rows]
+        node[rows] = 2 * at + 1 + (bins[rows, feature[rows]] > self.cut[at])
+        return len(rows) > 0
 
 
 @dataclass
@@ -146,16 +151,21 @@ class Block:
 
     def __init__(self, bins: np.ndarray, code: np.ndarray, weight: np.ndarray, order: np.ndarray, margin: np.ndarray):
         self.bins, self.code, self.weight, self.order, self.margin = bins, code, weight, order, margin
+        self.columns = np.ascontiguousarray(bins.T)
 
     def apply(self, spec: Boost, rounds: list[Round]) -> None:
         """Add finished rounds to the margins: scores per class, or the logarithm of the row's weight."""
         for r in rounds:
-            for k, tree in enumerate(r.trees):
-                value = tree.value[tree.leaf(self.bins)]
-                if spec.kind == "samme":
-                    self.margin[:, 0] += r.weight * (value != self.code)
-                else:
-                    self.margin[:, k] += spec.rate * value
+            self.add(spec, r, [tree.leaf(self.bins) for tree in r.trees])
+
+    def add(self, spec: Boost, r: Round, nodes: list[np.ndarray]) -> None:
+        """The same for one round, from the leaf of each row in each tree."""
+        for k, (tree, node) in enumerate(zip(r.trees, nodes)):
+            value = tree.value[node]
+            if spec.kind == "samme":
+                self.margin[:, 0] += r.weight * (value != self.code)
+            else:
+                self.margin[:, k] += spec.rate * value
 
     def statistics(self, spec: Boost, number: int) -> list[np.ndarray]:
         """Per tree of the round, the numbers to sum for each row."""
@@ -172,17 +182,36 @@ class Block:
             return [np.stack([r[:, k] * w, np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16) * w], axis=1) for k in range(spec.classes)]
         return [np.stack([r[:, k] * w, w, np.abs(r[:, k]) * (1 - np.abs(r[:, k])) * w], axis=1) for k in range(spec.classes)]
 
-    def sums(self, spec: Boost, number: int, trees: list[Tree], level: int) -> np.ndarray:
-        """trees x nodes x features x bins x statistics, over the rows that reach the level."""
-        d, first, nodes = self.bins.shape[1], 2**level - 1, 2**level
-        out = np.zeros((len(trees), spec.stats, nodes * d * BINS))
-        for t, (tree, stats) in enumerate(zip(trees, self.statistics(spec, number))):
-            node = tree.leaf(self.bins) - first
-            here = np.flatnonzero((node >= 0) & (stats != 0).any(axis=1))
-            cell = ((node[here, None] * d + np.arange(d)) * BINS + self.bins[here]).ravel()
-            for s in range(spec.stats):
-                out[t, s] = np.bincount(cell, np.repeat(stats[here, s], d), nodes * d * BINS)
-        return np.moveaxis(out.reshape(len(trees), spec.stats, nodes, d, BINS), 1, -1)
+    def sums(self, spec: Boost, stats: list[np.ndarray], nodes: list[np.ndarray], level: int,
+             counted: list[np.ndarray] | None = None, above: np.ndarray | None = None) -> np.ndarray:
+        """trees x nodes x features x bins x statistics, over the rows that reach the level, from each row's ``stats`` and
+        node in each tree.
+
+        ``counted`` names the rows of each tree that may count, and is cut to those that do. Given the sums of the level
+        ``above``, only the child with fewer rows is summed; its sibling is the rest.
+        """
+        d, first, width = self.bins.shape[1], 2**level - 1, 2**level
+        out = np.empty((len(stats), width, d, BINS, spec.stats))
+        counted = counted or [np.flatnonzero((own != 0).any(axis=1)) for own in stats]
+        for t, (own, node) in enumerate(zip(stats, nodes)):
+            here = counted[t] = counted[t][node[counted[t]] >= first]
+            at = node[here] - first
+            if above is not None:
+                rows = np.bincount(at, minlength=width)
+                other = np.arange(width) ^ 1
+                rest = (rows > rows[other]) | ((rows == rows[other]) & (rows > 0) & (other < np.arange(width)))
+                summed = ~rest[at]
+                here, at = here[summed], at[summed]
+            start, weights = at * BINS, own[here].T.copy()
+            # By feature, so that the sums of one feature stay in the processor's cache.
+            for f in range(d):
+                cell = start + self.columns[f].take(here)
+                for s in range(spec.stats):
+                    out[t, :, f, :, s] = np.bincount(cell, weights[s], width * BINS).reshape(width, BINS)
+            if above is not None:
+                n = np.flatnonzero(rest)
+                out[t, n] = above[t, n // 2] - out[t, n ^ 1]
+        return out
 
 
 def _worth(spec: Boost, s: np.ndarray) -> np.ndarray:
@@ -349,7 +378,8 @@ def _level(rows: DataFrame, fits: list[tuple[int, Growth]], parts: int) -> list[
                 for i, g, block in own:
                     if sizes[i]:
                         block.apply(g.spec, g.rounds[:-1])
-                        found = block.sums(g.spec, g.kept + len(g.rounds) - 1, g.rounds[-1].trees, g.level)
+                        stats = block.statistics(g.spec, g.kept + len(g.rounds) - 1)
+                        found = block.sums(g.spec, stats, [t.leaf(block.bins) for t in g.rounds[-1].trees], g.level)
                         total[starts[i]:starts[i + 1]] += found.ravel()
         trees = [(i, t, sums) for i, (lo, hi) in enumerate(zip(starts, starts[1:])) if hi > lo
                  for t, sums in enumerate(total[lo:hi].reshape(shared.value[i][1].spec.trees, -1))]
@@ -408,13 +438,20 @@ def grow_levels(rows: DataFrame, fits: list[tuple[int, Growth]]) -> None:
 
 
 def grow_whole(block: Block, growth: Growth) -> None:
-    """Grow one fit over rows that are all at hand."""
+    """Grow one fit over rows that are all at hand; they keep their nodes from level to level."""
+    spec = growth.spec
     while not growth.over:
-        at = growth.done
-        sums = block.sums(growth.spec, at, growth.rounds[-1].trees, growth.level)
-        split_level(growth, [best_splits(growth, len(growth.rounds), t, cells) for t, cells in enumerate(sums)])
+        at, trees = growth.done, growth.rounds[-1].trees
+        stats, nodes = block.statistics(spec, at), [np.zeros(len(block.bins), np.int64) for _ in trees]
+        counted, sums = [np.flatnonzero((own != 0).any(axis=1)) for own in stats], None
+        while not growth.over and growth.rounds[-1].trees is trees:
+            # Where children have a least weight, no leaf rests on what rounding leaves of a difference.
+            sums = block.sums(spec, stats, nodes, growth.level, counted, sums if spec.least > 0 else None)
+            split_level(growth, [best_splits(growth, len(growth.rounds), t, cells) for t, cells in enumerate(sums)])
+            for tree, node in zip(trees, nodes):
+                tree.step(block.bins, node)
         if growth.done > at:
-            block.apply(growth.spec, growth.rounds[at:at + 1])
+            block.add(spec, growth.rounds[at], nodes)
 
 
 _TREES = "fit int, round int, tree int, weight double, feature binary, cut binary, value binary, gain binary"
@@ -438,16 +475,19 @@ def from_rows(rows: list) -> list[Round]:
 
 def _in_one_task(rows: DataFrame, side: int, fit: int, spec: Boost, features: int) -> DataFrame:
     def run(batches):
-        parts = [pdf for pdf in batches if len(pdf)]
+        # Arrays and not objects are kept of each batch; the stored margins of a side are those of all its fits, and zero.
+        parts = [[np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1),
+                  *(pdf[c].to_numpy(t) for c, t in (("code", np.int64), ("weight", np.float64), ("place", np.int64)))]
+                 for pdf in batches if len(pdf)]
         growth = Growth(spec, features)
         if parts:
-            pdf = pd.concat(parts, ignore_index=True)
-            bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
-            grow_whole(Block(bins, pdf["code"].to_numpy(np.int64), pdf["weight"].to_numpy(np.float64),
-                             pdf["place"].to_numpy(np.int64), np.zeros((len(pdf), spec.classes))), growth)
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            parts.clear()
+            grow_whole(Block(*columns, np.zeros((len(columns[0]), spec.classes))), growth)
         yield tree_rows(fit, growth.rounds[:growth.done])
 
-    return rows.filter(F.col("side") == side).coalesce(1).mapInPandas(run, _TREES)
+    rows = rows.filter(F.col("side") == side).select("bins", "code", "weight", "place")
+    return rows.coalesce(1).mapInPandas(run, _TREES)
 
 
 def boost(wanted: list[tuple[Side, Boost]], whole: int = WHOLE) -> list[BoostedFit]:

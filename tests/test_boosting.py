@@ -142,3 +142,25 @@ def test_the_driver_gets_splits_and_no_sums(spark, monkeypatch):
     growth = boosting.Growth(KINDS[0], 4)
     boosting._level(rows, [(0, growth)], 6)
     assert sum(len(bytes(v)) for part in seen for r in part for v in r if isinstance(v, (bytes, bytearray))) < 1000 < 8 * growth.cells
+
+
+def test_the_lesser_child_tells_the_sums_of_its_sibling():
+    x, code = data(3000)
+    spec, bins = KINDS[0], np.clip((x * 8 + 32), 0, 63).astype(np.uint8)
+    block = boosting.Block(bins, code, np.ones(len(code)), np.arange(len(code)), np.zeros((len(code), 3)))
+    growth, stats, above = boosting.Growth(spec, 4), block.statistics(spec, 0), None
+    trees, counted = growth.rounds[0].trees, [np.arange(len(code))] * 3
+    for level in range(spec.depth):
+        nodes = [t.leaf(bins) for t in trees]
+        whole, above = block.sums(spec, stats, nodes, level), block.sums(spec, stats, nodes, level, counted, above)
+        assert np.abs(whole - above).max() < 1e-9
+        boosting.split_level(growth, [boosting.best_splits(growth, 1, t, cells) for t, cells in enumerate(whole)])
+
+
+def test_a_side_of_many_rows_needs_no_job_for_each_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_level", lambda *_: pytest.fail("a job for a level"))
+    rows = spark.range(30_000).select(*[F.rand(i).alias(c) for i, c in enumerate("abcd")], (F.col("id") % 3).cast("double").alias("code"),
+                                      F.lit(1.0).alias("weight")).withColumn("a", F.col("a") + F.col("code"))
+    fit = boost([(Side(rows, list("abcd"), 30_000), Boost("newton", 3, 8, 3, 0.3, penalty=1.0, least=1.0))])[0]
+    pdf = rows.toPandas()
+    assert len(fit.rounds) == 8 and accuracy(fit, pdf[list("abcd")].to_numpy(), pdf["code"].to_numpy()) > 0.9
