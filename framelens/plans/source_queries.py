@@ -13,7 +13,7 @@ from framelens.functions import geometry, naming
 from framelens.operators.series import stage_folder
 from framelens.plans.registry import K, Inputs, query, shown, sql
 from framelens.plans.window_queries import KEYS
-from framelens.sources import files, listing
+from framelens.sources import files, listing, tree
 
 URL_PATH = "regexp_replace(url, '^https?://|[?#].*$', '', 'g')"
 
@@ -67,8 +67,9 @@ def _(x):
 @query("write_per_stream", sql(f"SELECT {K}, frame, {shown('avg_ear')} FROM frames", "frames"))
 def _(x):
     root = folder(x)
-    files.write_per_stream(x.frames().select(*KEYS, "frame", "avg_ear"), root, x.series())
-    return x.spark.read.parquet(root).select(*KEYS, "frame", "avg_ear")
+    rows = x.frames().select(*KEYS, "frame", "avg_ear")
+    files.write_per_stream(rows, root, x.series())
+    return files.read_per_stream(x.spark, root, rows.schema, x.series())
 
 
 @query("read_latest", sql(f"SELECT {K}, frame, 2 AS version FROM frames", "frames"))
@@ -98,6 +99,9 @@ MOVES = 16
 def write_tree(rows, root: str, ending: str) -> None:
     """Files of a ``label/modality/stem`` tree, one for each series, by the writer's own layout."""
     spark = rows.sparkSession
+    place = tree.may_write(spark, root)
+    if place:
+        return _write_files(rows, place, ending)
     hadoop = spark._jvm.org.apache.hadoop.fs
     named = rows.withColumns({"_l": F.col("label"), "_m": F.col("modality"), "_s": F.col("file_stem")}).drop(*KEYS)
     writer = named.repartition(files.writers(spark), "_l", "_m", "_s").write.option(*files.TASKS_COMMIT).partitionBy("_l", "_m", "_s")
@@ -124,6 +128,17 @@ def write_tree(rows, root: str, ending: str) -> None:
             pass
 
 
+def _write_files(rows, place: str, ending: str) -> None:
+    """The same by the tasks themselves."""
+    spark, head, file = rows.sparkSession, None, F.concat_ws("/", *KEYS)
+    named = rows.repartition(files.writers(spark), *KEYS).withColumn("_file", F.concat(file, F.lit(f".{ending}"))).drop(*KEYS)
+    if ending == "csv":
+        columns, style = [c for c in named.columns if c != "_file"], {"sep": ";", "quoteAll": "true"}
+        head = ";".join(f'"{c}"' for c in columns) + "\n"
+        named = named.select("_file", F.to_csv(F.struct(*columns), style).alias("line"))
+    tree.write_files(named.sortWithinPartitions("_file"), lambda name, _: f"{place}/{name}", head)
+
+
 def _frames_query(ending: str):
     @query(f"read_frames_{ending}", sql(STORED_SQL, "frames"))
     def _(x):

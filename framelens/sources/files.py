@@ -6,10 +6,12 @@ import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from framelens.config import FRAME_COLUMNS, GAZE_COLUMNS, GAZE_FILE_SUFFIX, GAZE_REQUIRED, OPTIONAL_FRAME_COLUMNS, STREAM_KEYS
 from framelens.functions.naming import stream_keys
 from framelens.operators.series import Series, stage
+from framelens.sources import tree
 
 BOM = "﻿"
 
@@ -32,7 +34,7 @@ def clean_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_name(c) for c in df.columns])
 
 
-def _text(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def _text(spark: SparkSession, root: str | list[str], glob: str) -> DataFrame:
     """Lines with their file and a position that grows along the file."""
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
              .select(F.regexp_replace("value", f"^{BOM}", "").alias("line"),
@@ -72,24 +74,88 @@ def read_delimited(spark: SparkSession, root: str, columns: tuple[str, ...], req
 def _delimited(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...], glob: str,
                anchor: str = "frame") -> tuple[DataFrame, DataFrame]:
     """Rows of the files that can be read, and every file with its error, which is null if there is none."""
-    lines = _text(spark, root, glob)
-    is_header = F.col("line").rlike(rf"(?i)(^|[;,\s\"']){anchor}($|[;,\s\"'])")
-    sep = F.when(F.col("line").contains(";"), ";").otherwise(",")
-    split = lambda line, by: F.when(by == ";", cells(line, ";")).otherwise(cells(line, ","))
-    names = F.transform(split(F.col("line"), sep), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
-    # One pass tells the header of each file and whether it has other lines.
-    headers = (lines.groupBy("path").agg(F.min_by("line", F.when(is_header, F.col("ordinal"))).alias("line"), F.bool_or(~is_header).alias("_filled"))
-               .select("path", sep.alias("_sep"), names.alias("_names"), F.when(F.col("_filled"), True).alias("_filled")))
+    header = rf"(^|[;,\s\"']){anchor}($|[;,\s\"'])"
+    place = tree.plain(spark, root)
+    if place is None:
+        lines = _text(spark, root, glob)
+        # The listing, and not the lines, tells which files there are: an empty one has no line.
+        files = stage(_judged(_listing(spark, root, glob).join(_headers(lines, header), "path", "left"), required))
+        return _parsed_lines(lines, header, files, columns), files.select("path", "error")
+    listed = tree.listing(spark, place, glob)
+    shown, small = _shown(listed), (F.col("size") <= tree.SMALL) & ~F.lower("path").rlike(PACKED)
+    others = [r["path"] for r in shown.filter(~small).select("path").collect()]  # large files, and few for their bytes
+    own = tree.text_heads(shown.filter(small), header)
+    files = _judged(own, required)
+    if others:
+        lines = _text(spark, [_literal_path(p) for p in others], glob)
+        named = shown.filter(~small).select(_uri("path").alias("path"))
+        files = files.unionByName(_judged(named.join(_headers(lines, header), "path", "left"), required).withColumn("path", F.substr("path", F.lit(len(SCHEME) + 1))))
+    files = stage(files)
+    known = shown.filter(small).join(files.filter("error IS NULL").select("path"), "path", "left_semi")
+    found = tree.text_rows(known, header, columns)
+    rows = found.select(_uri("path").alias("path"), "ordinal", *[_number(F.trim(F.translate(c, "\"'", "")), c) for c in columns])
+    named = files.withColumn("path", _uri("path"))
+    if others:
+        rows = rows.unionByName(_parsed_lines(lines, header, named, columns))
+    return rows, named.select("path", "error")
+
+
+#: Endings of files that Spark unpacks as it reads them, and how its sources name files of plain paths.
+PACKED, SCHEME = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$", "file:"
+
+
+def _uri(path: str) -> Column:
+    return F.concat(F.lit(SCHEME), F.col(path))
+
+
+def _shown(listed: DataFrame) -> DataFrame:
+    """Without the lock files that office programs leave."""
+    return listed.filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
+
+
+def _literal_path(path: str) -> str:
+    """A path that is not taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _split(line: Column, by: Column) -> Column:
+    return F.when(by == ";", cells(line, ";")).otherwise(cells(line, ","))
+
+
+def _separator() -> Column:
+    return F.when(F.col("line").contains(";"), ";").otherwise(",")
+
+
+def _names() -> Column:
+    return F.transform(_split(F.col("line"), _separator()), lambda c: F.trim(F.regexp_replace(c, "[\"']", "")))
+
+
+def _headers(lines: DataFrame, header: str) -> DataFrame:
+    """One pass tells the header ``line`` of each file and whether it has other lines."""
+    is_header = F.col("line").rlike("(?i)" + header)
+    return lines.groupBy("path").agg(F.min_by("line", F.when(is_header, F.col("ordinal"))).alias("line"), F.bool_or(~is_header).alias("_filled"))
+
+
+def _judged(files: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """``path, _sep, _names, error`` of files with their header ``line`` and whether they are ``_filled``."""
+    files = files.select("path", _separator().alias("_sep"), _names().alias("_names"), F.when(F.col("_filled"), True).alias("_filled"))
     missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.coalesce("_names", F.array().cast("array<string>")))
-    # The listing, and not the lines, tells which files there are: an empty one has no line.
-    files = _listing(spark, root, glob).join(headers, "path", "left").withColumn("_missing", missing)
+    files = files.withColumn("_missing", missing)
     error = (F.when(F.col("_names").isNull() & F.col("_filled").isNull(), "no rows")
              .when(F.size("_missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("_missing", ", ")))
              .when(F.col("_filled").isNull(), "no rows"))
-    files = stage(files.select("path", "_sep", "_names", error.alias("error")))
+    return files.select("path", "_sep", "_names", error.alias("error"))
+
+
+def _parsed_lines(lines: DataFrame, header: str, files: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     known = files.filter("error IS NULL").select("path", "_sep", "_names")
-    parsed = lines.filter(~is_header).join(known, "path").withColumn("_cells", split(F.col("line"), F.col("_sep")))
-    return parsed.select("path", "ordinal", *[_cell(c) for c in columns]), files.select("path", "error")
+    return _parsed(lines.filter(~F.col("line").rlike("(?i)" + header)).join(known, "path"), columns)
+
+
+def _parsed(lines: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``path, ordinal`` and ``columns`` of lines with the delimiter and the names of their file."""
+    parsed = lines.withColumn("_cells", _split(F.col("line"), F.col("_sep")))
+    return parsed.select("path", "ordinal", *[_cell(c) for c in columns])
 
 
 def _cell(name: str) -> Column:
@@ -107,7 +173,7 @@ def _number(raw: Column, name: str) -> Column:
 def _one_schema(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     """The files as few tables: all in one if their column types agree, else by halves."""
     try:
-        return [spark.read.option("mergeSchema", "true").parquet(*[re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])]
+        return [spark.read.option("mergeSchema", "true").parquet(*[_literal_path(p) for p in paths])]
     except Exception as e:
         if len(paths) == 1 or "merge" not in str(e).lower():
             raise
@@ -142,10 +208,32 @@ def read_columnar(spark: SparkSession, root: str, columns: tuple[str, ...], requ
 def _columnar(spark: SparkSession, root: str, columns: tuple[str, ...], required: tuple[str, ...],
               glob: str) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that can be read, and every file with its error, which is null if there is none."""
-    listed = stage(_listing(spark, root, glob))
+    place = tree.plain(spark, root)
+    if place is None:
+        listed = stage(_listing(spark, root, glob))
+        return _columnar_scan(spark, _stored(spark, root, glob, listed), listed, columns, required)
+    counted = stage(tree.number_counts(_shown(tree.listing(spark, place, glob)), clean_name, columns))
+    own, other = counted.filter("plain"), counted.filter("NOT plain").select(_uri("path").alias("path"))
+    absent = F.array_compact(F.array(*[F.when(F.col(c) == 0, c) for c in required]))
+    error = F.when(F.col("rows") == 0, "no rows").when(F.size(absent) > 0, F.concat(F.lit("missing columns: "), F.array_join(absent, ", ")))
+    files = stage(own.select("path", "size", error.alias("error")))
+    found = tree.numbers(files.filter("error IS NULL").select("path", "size"), clean_name, columns)
+    rows = found.select(_uri("path").alias("path"), "ordinal", *[_number(F.col(c), c) for c in columns])
+    files = files.select(_uri("path").alias("path"), "error")
+    if other.isEmpty():
+        return rows, files
+    other = stage(other)
+    tables = (_stored(spark, root, glob, other) if files.isEmpty() else _one_schema(spark, sorted(r["path"] for r in other.collect())))
+    more, judged = _columnar_scan(spark, tables, other, columns, required)
+    return rows.unionByName(more), files.unionByName(judged)
+
+
+def _columnar_scan(spark: SparkSession, tables: list[DataFrame], listed: DataFrame, columns: tuple[str, ...],
+                   required: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The same by Spark's own source, for the ``listed`` files read as ``tables``."""
     kinds = ", ".join(f"{c} {'long' if c == 'frame' else 'double'}" for c in columns)
     rows = spark.createDataFrame([], f"path string, ordinal long, {kinds}")
-    for stored in _stored(spark, root, glob, listed):
+    for stored in tables:
         # Files may write a name differently; the schema has every spelling, and a file fills one of them.
         cell = lambda c: F.coalesce(F.lit(None).cast("string"), *[
             F.col(f"`{n}`").cast("string") for n in stored.columns if clean_name(n) == c])
@@ -211,8 +299,20 @@ def writers(spark: SparkSession) -> int:
 
 def write_per_stream(df: DataFrame, root: str, s: Series = Series(), mode: str = "overwrite") -> None:
     """One folder per series; a long series is written by several tasks."""
+    spark = df.sparkSession
     spread = list(s.keys) if s.chunk_rows is None or s.order not in df.columns else [*s.keys, s.chunk()]
-    df.repartition(writers(df.sparkSession), *spread).write.mode(mode).option(*TASKS_COMMIT).partitionBy(*s.keys).parquet(root)
+    place = tree.may_write(spark, root)
+    if place and tree.writable(df.schema) and spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static":
+        return tree.write_keyed(df, place, s.keys, spread, writers(spark), mode)
+    df.repartition(writers(spark), *spread).write.mode(mode).option(*TASKS_COMMIT).partitionBy(*s.keys).parquet(root)
+
+
+def read_per_stream(spark: SparkSession, root: str, schema: StructType, s: Series = Series()) -> DataFrame:
+    """The rows that ``write_per_stream`` wrote, with the columns of ``schema``."""
+    place = tree.plain(spark, root)
+    if place and tree.writable(schema):
+        return tree.read_keyed(spark, place, schema, s.keys)
+    return spark.read.schema(schema).parquet(root).select(*schema.names)
 
 
 def write_versioned(df: DataFrame, folder: str, name: str, now: datetime | None = None) -> str:
