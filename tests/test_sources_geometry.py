@@ -248,3 +248,88 @@ def test_few_rows_of_many_series_are_written_by_several_tasks(spark, tmp_path):
     files.write_per_stream(df, str(tmp_path / "out"), Series(("id",), "frame", None))
     assert len({p.name.split("-")[1] for p in (tmp_path / "out").glob("*/part-*")}) > 1
     assert len(list((tmp_path / "out").glob("id=*/part-*"))) == 40 == spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def mixed_tree(place):
+    put(place / "normal/IR/a+b;1.csv", "﻿" + frame_file(";"))
+    put(place / "normal/IR/100%41 {x}.csv", frame_file(";", n=9).replace("0.5", '"0.25"'))
+    put(place / "drowsiness/RGB/clip 2.csv", frame_file(",", tuple(reversed(FRAME_COLUMNS)), bad="NaN").replace("\n", "\r\n"))
+    put(place / "drowsiness/RGB/short.csv", frame_file(";", ("frame", "yaw")))
+    put(place / "drowsiness/RGB/empty.csv", "")
+    put(place / "drowsiness/RGB/head.csv", frame_file(";", n=0))
+    put(place / "drowsiness/RGB/~$temp.csv", frame_file(";"))
+    put(place / "drowsiness/RGB/_hidden.csv", frame_file(";"))
+    put(place / "other/RGB/x.csv", frame_file(";"))
+    put(place / "drowsiness/RGB/note.txt", "frame\n1\n")
+
+
+def test_tasks_and_sources_read_text_alike(spark, tmp_path, monkeypatch):
+    mixed_tree(tmp_path)
+    read = lambda: [rows(df) for df in files.read_frames(spark, str(tmp_path))]
+    good, errors = read()
+    assert len(good) == 15
+    assert sorted(r[1] for r in errors) == sorted(["no rows", "no rows", "unknown label", next(r[1] for r in errors if "short" in r[0])])
+    for most in (400, -1):  # some files, then all of them by Spark's source; its ordinals are others
+        monkeypatch.setattr(files.tree, "SMALL", most)
+        drop = lambda table: sorted(tuple(v for i, v in enumerate(r) if i != at) for r in table)
+        at = files.read_frames(spark, str(tmp_path))[0].columns.index("ordinal")
+        assert [drop(good), errors] == [drop(read()[0]), read()[1]]
+
+
+def test_tasks_and_sources_read_columns_alike(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    full = pd.DataFrame({c: [1, 2, 3] if c == "frame" else [0.5, float("nan"), None] for c in FRAME_COLUMNS})
+    odd = {"plain": full, "padded": full.rename(columns={"pitch": " pitch "}), "bytes": full.assign(face_detected=[1, 0, 1]),
+           "text": full.assign(yaw=["1.5", "x", None]), "half": full.astype({"roll": "float32"}), "short": full[["frame", "yaw"]],
+           "void": full.assign(yaw=float("nan")), "none": full[:0]}
+    for name, table in odd.items():
+        place = tmp_path / f"normal/IR/{name}.parquet"
+        place.parent.mkdir(parents=True, exist_ok=True)
+        table.to_parquet(place)
+    read = lambda: [rows(df) for df in files.read_frames(spark, str(tmp_path), "*.parquet")]
+    tasks = read()
+    assert len(tasks[0]) == 15 and sorted(r[1].split(":")[0] for r in tasks[1]) == ["missing columns", "missing columns", "no rows"]
+    monkeypatch.setattr(files.tree, "SMALL", -1)
+    assert tasks == read()
+
+
+def test_the_driver_lists_no_files_of_series(spark, tmp_path, monkeypatch):
+    put(tmp_path / "normal/IR/a.csv", frame_file(";"))
+    df = spark.createDataFrame([("normal", "IR", "a", 1)], "label string, modality string, file_stem string, frame long")
+    for name in ("_listing", "_text", "_stored"):
+        monkeypatch.setattr(files, name, lambda *a: pytest.fail("a listing of Spark's source"))
+    assert files.read_frames(spark, str(tmp_path))[0].count() == 3
+    files.write_per_stream(df, str(tmp_path / "out"))
+    back = files.read_per_stream(spark, str(tmp_path / "out"), df.schema)
+    assert rows(back) == rows(df) and not [f for f in back.inputFiles() if "/out/" in f]
+
+
+def test_cells_are_the_same_in_tasks(spark):
+    lines = ['1;"a;b";"say ""x"" ;";', ';"";2; "q" ;z"z', '"open;3', '"1"x;2', '"a";"b;c";""', "1;;3", '"', '""', 'x;"', '"a" ;"b"', '"a"";"b"']
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in lines], "v string").coalesce(1).select(files.cells(F.col("v"), ";")).collect()]
+    assert got == [files.tree.cells(v, ";") for v in lines]
+
+
+def test_series_folders_of_odd_names_are_those_of_sparks_writer(spark, tmp_path):
+    names = ["a b", "50%", "x=y/z", "", None, "é", "q'\"[1]"]
+    df = spark.createDataFrame([("normal", n, float(i), i) for i, n in enumerate(names)] * 2, "label string, file_stem string, v double, frame long")
+    s = Series(("label", "file_stem"), "frame", None)
+    df.write.partitionBy(*s.keys).parquet(str(tmp_path / "spark"))
+    for mode in ("overwrite", "overwrite", "append", "ignore"):
+        files.write_per_stream(df, str(tmp_path / "tasks"), s, mode)
+    folders = lambda p: sorted(str(f.relative_to(p)) for f in p.glob("*/*") if f.is_dir())
+    assert folders(tmp_path / "spark") == folders(tmp_path / "tasks")
+    want = sorted(rows(spark.read.schema(df.schema).parquet(str(tmp_path / "spark")).select(df.columns)) * 2, key=repr)
+    assert rows(files.read_per_stream(spark, str(tmp_path / "tasks"), df.schema, s)) == want
+    assert rows(spark.read.schema(df.schema).parquet(str(tmp_path / "tasks")).select(df.columns)) == want
+    assert rows(files.read_per_stream(spark, str(tmp_path / "spark"), df.schema, s)) == rows(spark.read.schema(df.schema).parquet(str(tmp_path / "spark")).select(df.columns))
+    with pytest.raises(ValueError):
+        files.write_per_stream(df, str(tmp_path / "tasks"), s, "errorifexists")
+
+
+def test_patterns_of_names():
+    import re
+
+    match = lambda glob, name: bool(re.fullmatch(files.tree.name_pattern(glob), name))
+    assert match("*.csv", "a.b.csv") and not match("*.csv", "a.csvx") and match("{a,b}?.[ct]sv", "bx.tsv") and not match("[^a]*", "ab") and match(r"\*", "*")
