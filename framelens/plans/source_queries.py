@@ -130,13 +130,13 @@ def write_tree(rows, root: str, ending: str) -> None:
 
 def _write_files(rows, place: str, ending: str) -> None:
     """The same by the tasks themselves."""
-    spark, head, file = rows.sparkSession, None, F.concat_ws("/", *KEYS)
-    named = rows.repartition(files.writers(spark), *KEYS).withColumn("_file", F.concat(file, F.lit(f".{ending}"))).drop(*KEYS)
+    head, file = None, tree.key_values([F.col(k) for k in KEYS])
+    named = rows.repartition(files.writers(rows.sparkSession), *KEYS).withColumn("_file", file).drop(*KEYS)
     if ending == "csv":
         columns, style = [c for c in named.columns if c != "_file"], {"sep": ";", "quoteAll": "true"}
         head = ";".join(f'"{c}"' for c in columns) + "\n"
         named = named.select("_file", F.to_csv(F.struct(*columns), style).alias("line"))
-    tree.write_files(named.sortWithinPartitions("_file"), lambda name, _: f"{place}/{name}", head)
+    tree.write_files(named.sortWithinPartitions("_file"), lambda name, _: f"{place}/{'/'.join(tree.key_names(name))}.{ending}", head)
 
 
 def _frames_query(ending: str):

@@ -10,6 +10,7 @@ large files (which Spark splits) and files in a rare form go through Spark's sou
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -23,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from framelens.operators.series import stage
 
@@ -79,19 +80,22 @@ def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """``path, size`` of the files below ``root`` whose names match; one level of folders a job."""
     pattern, kind = re.compile(name_pattern(glob), re.DOTALL), "path string, size long"
 
-    def scan(batches):
+    def entries(batches):
         for pdf in batches:
             for folder in pdf["path"]:
-                found = []
-                with os.scandir(folder) as entries:
-                    for e in entries:
+                with os.scandir(folder) as found:
+                    for e in found:
                         if not _hidden(e.name):
                             if e.is_dir():
-                                found.append((e.path, None))
+                                yield e.path, None
                             elif pattern.fullmatch(e.name):
-                                found.append((e.path, e.stat().st_size))
-                for lo in range(0, len(found), ROWS):
-                    yield pd.DataFrame(found[lo:lo + ROWS], columns=["path", "size"]).astype({"size": "Int64"})
+                                yield e.path, e.stat().st_size
+
+    def scan(batches):
+        # Folders may hold one file each, so entries are passed on by number and not by folder.
+        every = entries(batches)
+        while some := [*itertools.islice(every, ROWS)]:
+            yield pd.DataFrame(some, columns=["path", "size"]).astype({"size": "Int64"})
 
     files, folders = [], spark.createDataFrame([(root,)], "path string")
     while True:
@@ -395,9 +399,14 @@ def write_files(rows: DataFrame, place, head: str | None = None) -> int:
     return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _folder(name: str, value: str | None) -> str:
-    shown = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else NO_VALUE
-    return f"{name}={shown}"
+def key_values(columns: list) -> Column:
+    """What ``key_names`` turns into names of files and folders."""
+    return F.to_json(F.array(*[c.cast("string") for c in columns]))
+
+
+def key_names(values: str) -> list[str]:
+    """Values as Spark's writer names folders after them."""
+    return [_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else NO_VALUE for v in json.loads(values)]
 
 
 def write_keyed(df: DataFrame, root: str, keys: tuple[str, ...], spread: list, tasks: int, mode: str) -> None:
@@ -413,10 +422,10 @@ def write_keyed(df: DataFrame, root: str, keys: tuple[str, ...], spread: list, t
     job, to = uuid.uuid4().hex, f"{root.rstrip('/')}-{uuid.uuid4().hex}" if mode == "overwrite" else root.rstrip("/")
 
     def place(file: str, task: int) -> str:
-        folders = "/".join(_folder(k, v) for k, v in zip(keys, json.loads(file)))
+        folders = "/".join(f"{k}={v}" for k, v in zip(keys, key_names(file)))
         return f"{to}/{folders}/part-{task:05d}-{job}.c000.snappy.parquet"
 
-    named = df.repartition(tasks, *spread).withColumn("_file", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
+    named = df.repartition(tasks, *spread).withColumn("_file", key_values([F.col(k) for k in keys]))
     write_files(named.drop(*keys).sortWithinPartitions("_file"), place)
     os.makedirs(to, exist_ok=True)
     open(f"{to}/_SUCCESS", "w").close()

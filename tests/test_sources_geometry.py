@@ -333,3 +333,16 @@ def test_patterns_of_names():
 
     match = lambda glob, name: bool(re.fullmatch(files.tree.name_pattern(glob), name))
     assert match("*.csv", "a.b.csv") and not match("*.csv", "a.csvx") and match("{a,b}?.[ct]sv", "bx.tsv") and not match("[^a]*", "ab") and match(r"\*", "*")
+
+
+@pytest.mark.parametrize("ending", ["csv", "parquet"])
+def test_a_tree_holds_a_file_for_each_series_under_the_writers_names(spark, tmp_path, ending):
+    from framelens.plans.source_queries import write_tree
+
+    stems = ["a", "b/c", "d=e", None, ""]
+    df = spark.createDataFrame([("normal", "IR", v, i, 0.5 * i) for i in range(3) for v in stems], "label string, modality string, file_stem string, frame long, v double")
+    write_tree(df, str(tmp_path / "t"), ending)
+    found = sorted(p.name for p in (tmp_path / "t/normal/IR").iterdir())
+    assert found == sorted(f"{n}.{ending}" for n in ("a", "b%2Fc", "d%3De", "__HIVE_DEFAULT_PARTITION__"))
+    back = files.read_tables(spark, str(tmp_path / "t"), ("frame", "v"), ("frame", "v"), f"*.{ending}")[0]
+    assert rows(back.select("frame", "v")) == sorted((i, 0.5 * i) for i in range(3) for _ in "abc")
